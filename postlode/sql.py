@@ -1,0 +1,2 @@
+"""DuckDB SQL that must give the same rows as the Spark queries of the core."""
+from __future__ import annotations
