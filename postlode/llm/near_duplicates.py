@@ -6,7 +6,9 @@ of similarity t must share a shingle within their prefixes. Postings of the pref
 * the length filter (the smaller set has at least t times the size of the larger),
 * the positional filter (a shared shingle at positions i and j must leave room for the overlap still needed),
 * a suffix filter: each posting list is checked at once, as a product of +-1 matrices, against parity bitmaps of the
-  whole sets. Two sets differ in at least as many shingles as their bitmaps in bits, so no true pair is lost,
+  whole sets. Two sets differ in at least as many shingles as their bitmaps in bits, so no true pair is lost. A
+  bitmap of 384 bits serves sets of up to 176 shingles; larger sets carry one of 384 * 2^level bits besides, which
+  folds to the level of a smaller partner, and their pairs are checked a second time on it,
 
 and every surviving pair is verified once on its whole sets. Records with equal sets form one class; joins run between
 classes, and members are expanded only at the end, so a text that a third of all rows share costs one posting list
@@ -36,10 +38,12 @@ from postlode.llm.tokens import Sets, mix, shingle_sets
 from postlode.session import cut, shuffle_width
 
 U = np.uint64
-BITS = 256
+BITS = 384
+LEVEL_SIZE = 176
+TOKEN_BITS = 40
 ORDER_BITS = 20
 FILTER_BITS = 23
-SMALL_LIST = 24
+SMALL_LIST = 48
 BLOCK = 256
 
 
@@ -92,6 +96,48 @@ def _first_of_each(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse.ravel()
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """Level of the larger bitmap of sets of size n; 0: none."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / LEVEL_SIZE))).astype(np.int64)
+
+
+def _large_bitmaps(s: Sets, chosen: np.ndarray) -> list[bytes]:
+    """Bitmaps of the chosen sets (their numbers) at their own levels; empty at level 0."""
+    lv = levels(s.sizes())
+    out = []
+    for i in chosen:
+        one = Sets(s.flat[s.o[i] : s.o[i + 1]], np.array([0, s.o[i + 1] - s.o[i]]), np.array([0])) if lv[i] else None
+        out.append(one.parity(BITS << int(lv[i])).tobytes() if one else b"")
+    return out
+
+
+def _fold(bits: np.ndarray, times: int) -> np.ndarray:
+    """Packed bitmaps at a level lower by `times`: parities of b and b + half add up."""
+    for _ in range(times):
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _refine(pairs: np.ndarray, n: np.ndarray, large: dict[int, bytes], t: Threshold) -> np.ndarray:
+    """Drop the pairs of two large sets that their larger bitmaps rule out."""
+    i, j = (pairs >> 32).astype(np.int64), (pairs & 0xFFFFFFFF).astype(np.int64)
+    lv = levels(n)
+    low = np.minimum(lv[i], lv[j])
+    keep = np.ones(len(pairs), dtype=bool)
+    for a in np.unique(low[low > 0]):
+        at = np.flatnonzero(low == a)
+        docs = np.unique(np.concatenate([i[at], j[at]]))
+        maps = np.stack([_fold(np.frombuffer(large[d], np.uint8)[None, :], int(lv[d] - a))[0] for d in docs]).view(U)
+        x, y = np.searchsorted(docs, i[at]), np.searchsorted(docs, j[at])
+        for c in range(0, len(at), 20000):
+            c = slice(c, c + 20000)
+            apart = np.bitwise_count(maps[x[c]] ^ maps[y[c]]).sum(axis=1, dtype=np.int64)
+            p, q = n[i[at[c]]], n[j[at[c]]]
+            keep[at[c]] = apart <= p + q - 2 * t.needed(p, q)
+    return pairs[keep]
+
+
 def postings(df: DataFrame, ids: str, text: str, order: Broadcast, keys: list[int], k: int, least_words: int, t: Threshold) -> DataFrame:
     """Packed rows for exchange(): per map task and bucket the texts' headers and their prefix postings, and in the
     bucket of its fingerprint every row's membership."""
@@ -99,6 +145,7 @@ def postings(df: DataFrame, ids: str, text: str, order: Broadcast, keys: list[in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, key64, sizes, maps = [], [], [], []
+        large: list[bytes] = []
         post: list[tuple[np.ndarray, ...]] = []
         mem_fp, mem_id = [], []
         known: set[bytes] = set()
@@ -119,14 +166,16 @@ def postings(df: DataFrame, ids: str, text: str, order: Broadcast, keys: list[in
             for b in range(n_buckets):
                 i = slice(ends[b], ends[b + 1])
                 used, local = np.unique(doc[i], return_inverse=True)
-                step = np.diff(tok[i], prepend=U(0))
+                step = np.diff(tok[i], prepend=U(0)) if ends[b + 1] > ends[b] else tok[i]
+                extra = [large[d] for d in used]
                 small = np.uint16 if len(used) < 65536 else np.uint32
                 # the upper and lower halves of the steps apart: the upper ones are mostly zero and pack to nothing
-                out.append(pack(what=pa.array([0]), fp=_one(fp[used]), n=_one(n[used].astype(np.int32)), key=_one(key[used]), bits=_one(bm[used]),
+                out.append(pack(what=pa.array([0]), fp=_one(fp[used]), n=_one(n[used].astype(np.int32)), key=_one(key[used]), bits=_one(bm[used]), large=pa.array([extra], pa.list_(pa.binary())),
                                 hi=_one((step >> U(32)).astype(np.uint32)), lo=_one((step & U(2**32 - 1)).astype(np.uint32)),
                                 doc=_one(local.astype(small)), pos=_one(pos[i].astype(np.uint16 if len(n) and n.max() < 65536 else np.uint32))))
             yield rows(["bucket", "blob"], pa.array(keys, pa.int32()), pa.array(out, pa.binary()))
             base = 0
+            large.clear()
             for x in (fps, key64, sizes, maps, post):
                 x.clear()
             known.clear()
@@ -147,11 +196,13 @@ def postings(df: DataFrame, ids: str, text: str, order: Broadcast, keys: list[in
                 place[first[fresh]] = np.arange(fresh.sum()) + base
                 tok, doc, pos, n = rare_first(s, table)
                 keep = (place[doc] >= 0) & (pos < t.longest_prefix(n))
+                tok = tok & U(2**TOKEN_BITS - 1)
                 post.append((tok[keep], place[doc[keep]], pos[keep]))
                 fps.append(fp[first[fresh]])
                 key64.append(low[fresh])
                 sizes.append(s.sizes()[first[fresh]])
                 maps.append(s.parity(BITS)[first[fresh]])
+                large.extend(_large_bitmaps(s, first[fresh]))
                 base += int(fresh.sum())
             if base >= 60000:
                 yield from flush()
@@ -196,6 +247,7 @@ def candidates(packed: DataFrame, t: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: list[tuple[np.ndarray, ...]] = []
+        large: dict[int, bytes] = {}
         post: list[tuple[np.ndarray, ...]] = []
         base = 0
         for b in batches:
@@ -210,6 +262,8 @@ def candidates(packed: DataFrame, t: Threshold) -> DataFrame:
                     continue
                 n = _take(x, "n", np.int32).astype(np.int64)
                 head.append((fp, n, _take(x, "key", U), _take(x, "bits", np.uint8, BITS // 8)))
+                for d in np.flatnonzero(levels(n)):
+                    large[base + int(d)] = x.column("large")[0].values[int(d)].as_py()
                 hi, lo = _take(x, "hi", np.uint32).astype(U), _take(x, "lo", np.uint32).astype(U)
                 m = len(hi)
                 size = lambda c: np.uint16 if len(x.column(c)[0].as_buffer()) == 2 * m else np.uint32  # noqa: E731, B023
@@ -224,6 +278,7 @@ def candidates(packed: DataFrame, t: Threshold) -> DataFrame:
         if len(first) < len(fp):
             low = np.full(len(first), np.iinfo(np.uint64).max, dtype=np.uint64)
             np.minimum.at(low, inverse, key)
+            large = {int(inverse[d]): v for d, v in large.items()}
             fp, n, key, bits, doc = fp[first], n[first], low, bits[first], inverse[doc]
             by = np.lexsort((doc, tok))
             tok, doc, pos = tok[by], doc[by], pos[by]
@@ -231,7 +286,7 @@ def candidates(packed: DataFrame, t: Threshold) -> DataFrame:
             tok, doc, pos = tok[once], doc[once], pos[once]
         by = np.lexsort((n[doc], tok))
         tok, doc, pos = tok[by], doc[by], pos[by]
-        found = _pairs(tok, doc.astype(np.int32), pos, n, bits, t)
+        found = _refine(_pairs(tok, doc.astype(np.int32), pos, n, bits, t), n, large, t)
         if len(found):
             i, j = (found >> 32).astype(np.int64), (found & 0xFFFFFFFF).astype(np.int64)
             # the smaller fingerprint first, so that every bucket names a pair alike
@@ -362,7 +417,7 @@ def near_duplicates(df: DataFrame, ids: str, text: str, k: int = 5, num: int = 4
     set; links (fa, fb, shared, total) has each pair of different classes that agree, fa < fb."""
     spark = df.sparkSession
     t = Threshold(num, den)
-    width = shuffle_width(spark)
+    width = max(2, shuffle_width(spark) // 2)
     order = share(spark, rarity(df, text, k, least_words))
     packed = exchange(postings(df, ids, text, order, spread_keys(spark, width), k, least_words, t), width)
     both = cut(candidates(packed, t))
