@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlode.llm import garbled as gb
 from postlode.llm import near_duplicates as nd
 from postlode.tables import table
 
@@ -18,6 +19,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gb.garbled(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gb.garbled(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
