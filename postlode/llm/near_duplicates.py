@@ -7,7 +7,7 @@ of similarity t must share a shingle within their prefixes. Postings of the pref
 * the positional filter (a shared shingle at positions i and j must leave room for the overlap still needed),
 * a suffix filter: each posting list is checked at once, as a product of +-1 matrices, against parity bitmaps of the
   whole sets. Two sets differ in at least as many shingles as their bitmaps in bits, so no true pair is lost. A
-  bitmap of 384 bits serves sets of up to 176 shingles; larger sets carry one of 384 * 2^level bits besides, which
+  bitmap of 512 bits serves sets of up to 234 shingles; larger sets carry one of 512 * 2^level bits besides, which
   folds to the level of a smaller partner, and their pairs are checked a second time on it,
 
 and every surviving pair is verified once on its whole sets. Records with equal sets form one class; joins run between
@@ -38,8 +38,8 @@ from postlode.llm.tokens import Sets, mix, shingle_sets
 from postlode.session import cut, shuffle_width
 
 U = np.uint64
-BITS = 384
-LEVEL_SIZE = 176
+BITS = 512
+LEVEL_SIZE = 234
 TOKEN_BITS = 40
 ORDER_BITS = 20
 FILTER_BITS = 23
@@ -313,6 +313,8 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
     length = np.diff(edge)
     out: list[np.ndarray] = []
     words = bits.view(np.uint64)
+    coarse = _fold(bits, 1)
+    width = coarse.shape[1] * 8
     # short lists: all of them together, partner by distance within the list
     short = np.repeat(length <= SMALL_LIST, length)
     group = np.repeat(np.arange(len(length)), length)
@@ -335,7 +337,7 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
         a, b = edge[g], edge[g + 1]
         d, p = doc[a:b], pos[a:b]
         m = n[d]
-        signs = np.unpackbits(bits[d], axis=1).astype(np.float32) * 2 - 1
+        signs = np.unpackbits(coarse[d], axis=1).astype(np.float32) * 2 - 1
         w = (2 * (1 - 2 * share) * m).astype(np.float32)
         left = np.concatenate([signs, w[:, None], np.ones((len(d), 1), np.float32)], axis=1)
         right = np.concatenate([signs, np.ones((len(d), 1), np.float32), w[:, None]], axis=1)
@@ -349,8 +351,8 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
                 c = y + np.flatnonzero(p[y:ye] <= m[y:ye] - t.needed(m[y:ye], np.full(ye - y, m[x])))
                 if not len(r) or not len(c):
                     continue
-                # equal bits minus unequal bits must be at least BITS - 2 * (sizes - 2 * needed)
-                hit = np.flatnonzero((left[r] @ right[c].T >= BITS - 0.01).ravel())
+                # equal bits minus unequal bits must be at least width - 2 * (sizes - 2 * needed)
+                hit = np.flatnonzero((left[r] @ right[c].T >= width - 0.01).ravel())
                 if not len(hit):
                     continue
                 i, j = r[hit // len(c)], c[hit % len(c)]
@@ -358,6 +360,9 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
                 i, j = i[ok], j[ok]
                 need = t.needed(m[i], m[j])
                 ok = (p[i] <= m[i] - need) & (p[j] <= m[j] - need)
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(words[d[i]] ^ words[d[j]]).sum(axis=1, dtype=np.int64)
+                ok = apart <= m[i] + m[j] - 2 * need[ok]
                 out.append(_code(d[i[ok]], d[j[ok]]))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
 
