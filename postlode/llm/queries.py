@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlode.llm import canonical as cn
 from postlode.llm import garbled as gb
 from postlode.llm import near_duplicates as nd
 from postlode.tables import table
@@ -14,6 +15,16 @@ from postlode.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    return cn.map_postings(t("raw_job"), t("postcode_areas"), t("role_titles"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = p4_mapped(spark, sf_dir).where("key is not null and (entry is null or value <> entry)")
+    return other.select(F.col("key").alias("job_id"), "field", F.coalesce("entry", F.lit("none")).alias("entry")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = nd.agreeing_pairs(table(spark, sf_dir, "raw_job"), "job_id", "description", k=3, num=1, den=2, least_words=25)
     return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
@@ -28,6 +39,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_mapped": p4_mapped,
     "p6_found": p6_found,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
