@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postlode.llm import canonical as cn
 from postlode.llm import garbled as gb
+from postlode.llm import names as nm
 from postlode.llm import near_duplicates as nd
 from postlode.tables import table
 
@@ -25,6 +26,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.select(F.col("key").alias("job_id"), "field", F.coalesce("entry", F.lit("none")).alias("entry")).distinct()
 
 
+def _companies(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str]]:
+    return [(table(spark, sf_dir, t), "company") for t in ("raw_job", "incoming_job", "seen_jobs")]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nm.variant_pairs(_companies(spark, sf_dir)).select(F.col("value_a").alias("company_a"), F.col("value_b").alias("company_b"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nm.entities(_companies(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = nd.agreeing_pairs(table(spark, sf_dir, "raw_job"), "job_id", "description", k=3, num=1, den=2, least_words=25)
     return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
@@ -41,6 +54,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_mapped": p4_mapped,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p6_found": p6_found,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
