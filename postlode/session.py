@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, unless their PYTHONPATH has it: Spark sends a zip of it to the executors."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_postlode_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="postlode-zip-")
+    path = os.path.join(folder, "postlode_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, files in os.walk(os.path.join(root, "postlode")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._postlode_shipped = True
