@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postlode.llm import canonical as cn
 from postlode.llm import garbled as gb
+from postlode.llm import leaks as lk
 from postlode.llm import names as nm
 from postlode.llm import near_duplicates as nd
 from postlode.tables import table
@@ -43,6 +44,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=0).select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 16 words up to 2 word edits away."""
+    return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=16, edits=2)
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=0)
+    return lk.leaked_items(found).select("item_id", "documents")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gb.garbled(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -57,6 +72,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p6_found": p6_found,
+    "p9_found": p9_found,
+    "p9_near": p9_near,
+    "p9_items": p9_items,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
