@@ -149,12 +149,19 @@ def title_matcher(roles: list[str], counts: dict[str, int]) -> Callable[[str], t
         turned = len(orders)
         if len(spelt) > 1:
             orders += [spelt[1:] + spelt[:1], plain[1:] + plain[:1]]
+        tried: set[str] = set()
         for k, o in enumerate(orders):
-            hit = book.lookup(squeeze("".join(o)))
+            key = squeeze("".join(o))
+            if key in tried:
+                continue
+            tried.add(key)
+            hit = book.lookup(key)
             if hit:
                 hit = (hit[0] + (0.1 if k >= turned else 0.0), hit[1], hit[2])
                 if best is None or hit < best:
                     best = hit
+                if best[0] == 0:
+                    break
         return best
 
     def match(value: str) -> tuple[str | None, float]:

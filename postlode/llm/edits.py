@@ -82,6 +82,7 @@ class Dictionary:
             if (-n, entry) not in have:
                 have.append((-n, entry))
                 have.sort()
+        self.lengths = {len(k) for k in self.exact}
         for key in self.exact:
             for d in deletes(key, bound(len(key))):
                 self.index.setdefault(d, set()).add(key)
@@ -92,17 +93,24 @@ class Dictionary:
             n, entry = self.exact[key][0]
             return 0.0, n, entry
         d = bound(len(key))
-        if not d:
+        if not d or not any(n in self.lengths for n in range(len(key) - d, len(key) + d + 1)):
             return None
-        found: set[str] = set()
-        for x in deletes(key, d):
-            found |= self.index.get(x, set())
         best = None
-        for k in found:
-            most = float(min(d, bound(len(k))))
-            w = weighted_distance(key, k, most)
-            if w <= most:
-                n, entry = self.exact[k][0]
-                if best is None or (w, n, entry) < best:
-                    best = (w, n, entry)
+        tried: set[str] = set()
+        for depth in range(1, d + 1):
+            found: set[str] = set()
+            for x in deletes(key, depth):
+                if x in self.index:
+                    found |= self.index[x]
+            for k in found - tried:
+                most = float(min(d, bound(len(k))))
+                w = weighted_distance(key, k, most)
+                if w <= most:
+                    n, entry = self.exact[k][0]
+                    if best is None or (w, n, entry) < best:
+                        best = (w, n, entry)
+            tried |= found
+            # two edits cost more than one even where they are cheap
+            if best and best[0] <= 1.0:
+                break
         return best
