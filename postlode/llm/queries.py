@@ -12,6 +12,7 @@ from postlode.llm import garbled as gb
 from postlode.llm import leaks as lk
 from postlode.llm import names as nm
 from postlode.llm import near_duplicates as nd
+from postlode.llm import truncation as tr
 from postlode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
 
 
+def p7_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.endings(table(spark, sf_dir, "raw_job"), "job_id", "description", "source")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_endings(spark, sf_dir).where("cut").select(F.col("id").alias("job_id"))
+
+
+def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.by_source(p7_endings(spark, sf_dir))
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.significant_lengths(table(spark, sf_dir, "raw_job"), "description", "source").select("source", "length", "n")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=0).select("doc_id", "item_id")
 
@@ -72,6 +89,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_sources": p7_sources,
+    "p7_lengths": p7_lengths,
     "p9_found": p9_found,
     "p9_near": p9_near,
     "p9_items": p9_items,
