@@ -80,10 +80,10 @@ def endings(df: DataFrame, ids: str, text: str, source: str) -> DataFrame:
     by_first = counted.groupBy(F.regexp_extract("opening", r"^(\S+)", 1).alias("first")).agg(F.sum("n").alias("all1"), share("none").alias("none1"))
     by_last = counted.where("closing = 'none'").groupBy("last").agg(F.sum("n").alias("ended"))
     final = F.element_at(units(F.col("_t")), -1)
-    tail = base.select("id", "source", F.length("_t").alias("length"), F.rtrim(F.expr("right(_t, 40)")).alias("_e"), final.alias("_u"))
+    tail = base.select("id", "source", F.length("_t").alias("length"), F.rtrim(F.expr("right(_t, 40)")).alias("_e"), final.alias("_u"), F.size(units(F.col("_t"))).alias("_n"))
     tail = tail.select(
         "id", "source", "length", F.col("_e").rlike(MARK).alias("mark"), _openings(F.col("_u")).alias("opening"), _closing(F.col("_u")).alias("closing"), _last_word(F.col("_u")).alias("last"),
-        F.rtrim("_u").rlike(r"[,;:/&(£$\[<–—-]$").alias("open_end"), (F.size(F.split(F.trim("_u"), r"\s+")) < 2).alias("one_word"), (F.size(units(F.col("_t"))) > 1).alias("more"), F.col("_e").rlike(r"(?i)</[a-z0-9]+>$").alias("closed"),
+        F.rtrim("_u").rlike(r"[,;:/&(£$\[<–—-]$").alias("open_end"), (F.size(F.split(F.trim("_u"), r"\s+")) < 2).alias("one_word"), (F.col("_n") > 1).alias("more"), F.col("_e").rlike(r"(?i)</[a-z0-9]+>$").alias("closed"),
     ).distinct()
     seen = tail.withColumn("first", F.regexp_extract("opening", r"^(\S+)", 1)).join(by_opening, "opening", "left").join(by_first, "first", "left").join(by_last, "last", "left")
     lengths = significant_lengths(df.where(F.col(ids).isNotNull()), text, source).select(F.col("source").alias("s2"), F.col("length").alias("l2"), F.lit(True).alias("peak"))
