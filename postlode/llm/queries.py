@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postlode.llm import canonical as cn
 from postlode.llm import garbled as gb
+from postlode.llm import history as hs
 from postlode.llm import leaks as lk
 from postlode.llm import names as nm
 from postlode.llm import near_duplicates as nd
@@ -18,6 +19,25 @@ from postlode.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+AGREE = nd.Threshold(1, 2)
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> tuple[hs.Store, DataFrame, DataFrame]:
+    t = lambda n: table(spark, sf_dir, n)
+    return hs.incoming_against_seen(t("raw_job"), t("seen_jobs"), t("incoming_job"), 3, AGREE, 25)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _incoming(spark, sf_dir)[2].where("repeats is not null").select(F.col("id").alias("job_id"), F.col("repeats").alias("dedup_hash"))
+
+
+def p1_seen_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seen_jobs after all incoming batches: new hashes, raised counts and last dates."""
+    store, batch, resolved = _incoming(spark, sf_dir)
+    after = hs.update(store, batch, "id", "text", resolved, batch.select("id", F.col("scraped_at").alias("at")))
+    return after.seen.select("dedup_hash", F.col("id").alias("job_id"), "first_seen_at", "last_seen_at", "times_seen")
+
+
 def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     return cn.map_postings(t("raw_job"), t("postcode_areas"), t("role_titles"))
@@ -84,6 +104,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_seen_after": p1_seen_after,
     "p4_found": p4_found,
     "p4_mapped": p4_mapped,
     "p5_found": p5_found,

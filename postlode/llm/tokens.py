@@ -129,17 +129,40 @@ class Sets:
         return np.packbits(odd.reshape(n, bits), axis=1)
 
 
-def shingle_sets(texts: list[str | None], k: int, least_words: int, entities: bool = False) -> Iterator[Sets]:
-    """Sets of k-word shingles of the texts with at least `least_words` words (and k), chunk by chunk."""
+def _sets(key: np.ndarray, first: int) -> Sets:
+    key = np.sort(key)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    text = (key >> U(HASH_BITS)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]]))
+    return Sets(key & U(2**HASH_BITS - 1), cuts, text[cuts[:-1]] + first)
+
+
+def _keys(texts: list[str | None], k: int, least_words: int, entities: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for first, part in chunks(texts, entities):
         h, o = words(part)
         g, text, _ = grams(h, o, k)
-        enough = np.diff(o) >= max(least_words, k)
-        key = (text.astype(np.uint64) << U(HASH_BITS)) | (g & U(2**HASH_BITS - 1))
-        key = np.sort(key[enough[text]])
-        if not len(key):
-            continue
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        text = (key >> U(HASH_BITS)).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]]))
-        yield Sets(key & U(2**HASH_BITS - 1), cuts, text[cuts[:-1]] + first)
+        enough = (np.diff(o) >= max(least_words, k))[text]
+        key = ((text.astype(np.uint64) << U(HASH_BITS)) | (g & U(2**HASH_BITS - 1)))[enough]
+        if len(key):
+            yield first, key, text[enough]
+
+
+def shingle_sets(texts: list[str | None], k: int, least_words: int, entities: bool = False) -> Iterator[Sets]:
+    """Sets of k-word shingles of the texts with at least `least_words` words (and k), chunk by chunk."""
+    for first, key, _ in _keys(texts, k, least_words, entities):
+        yield _sets(key, first)
+
+
+def winnowed_sets(texts: list[str | None], k: int, least_words: int, window: int) -> Iterator[tuple[Sets, Sets]]:
+    """(shingles, fingerprints) of the same texts. Fingerprints are the least shingle hash of every `window` consecutive
+    shingles, so two texts that share a run of window + k - 1 words share one; a text of fewer shingles has its least."""
+    for first, key, text in _keys(texts, k, least_words, False):
+        n = len(key)
+        low = key.copy()
+        for i in range(1, window):
+            # the last windows of a text are shorter; a text number in the high bits keeps texts apart
+            same = text[i:] == text[: n - i]
+            low[: n - i] = np.where(same, np.minimum(low[: n - i], key[i:]), low[: n - i])
+        rank = np.arange(n) - np.searchsorted(text, text)
+        left = np.searchsorted(text, text, side="right") - np.arange(n)
+        yield _sets(key, first), _sets(low[(left >= window) | (rank == 0)], first)
