@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlode.llm import canonical as cn
@@ -13,7 +13,10 @@ from postlode.llm import history as hs
 from postlode.llm import leaks as lk
 from postlode.llm import names as nm
 from postlode.llm import near_duplicates as nd
+from postlode.llm import packing as pk
+from postlode.llm import percentiles as pc
 from postlode.llm import truncation as tr
+from postlode.session import cut
 from postlode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +41,39 @@ def p1_seen_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.seen.select("dedup_hash", F.col("id").alias("job_id"), "first_seen_at", "last_seen_at", "times_seen")
 
 
+def annual_pay() -> Column:
+    """Mean of the annual bounds that are present."""
+    return (F.coalesce("salary_annual_min", "salary_annual_max") + F.coalesce("salary_annual_max", "salary_annual_min")) / 2
+
+
+def _wide(rows: DataFrame, name: str) -> DataFrame:
+    at = lambda q: F.max(F.when(F.col("q") == q, F.round("value", 4)))
+    return rows.groupBy(F.col("g").alias(name), "n").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.9).alias("p90"))
+
+
+def p3_salary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(pc.percentiles(table(spark, sf_dir, "raw_job"), F.col("source"), F.col("salary_min")), "source")
+
+
+def p3_pay_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(pc.percentiles(table(spark, sf_dir, "job_analytics"), F.coalesce("role_category", F.lit("Other")), annual_pay()), "category")
+
+
+def p3_pay_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(pc.percentiles(table(spark, sf_dir, "job_analytics"), F.date_format("scraped_at", "yyyy-MM-dd"), annual_pay()), "day")
+
+
+def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mergeable summaries of annual pay, one a category and day."""
+    group = [F.coalesce("role_category", F.lit("Other")).alias("category"), F.to_date("scraped_at").alias("day")]
+    return pc.summary(table(spark, sf_dir, "job_analytics"), group, annual_pay())
+
+
+def p3_from_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of annual pay per category read from the merged daily summaries, within 1% of the exact value."""
+    return pc.read_summary(pc.merge(p3_summary(spark, sf_dir), ["category"]), ["category"], (0.25, 0.5, 0.75))
+
+
 def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     return cn.map_postings(t("raw_job"), t("postcode_areas"), t("role_titles"))
@@ -81,6 +117,24 @@ def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.significant_lengths(table(spark, sf_dir, "raw_job"), "description", "source").select("source", "length", "n")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    capacities = table(spark, sf_dir, "pack_capacity")
+    rows = capacities.where("capacity_tokens > 0").select("capacity_id", "capacity_tokens").orderBy("capacity_id").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 capacities")
+    items = cut(pk.token_counts(table(spark, sf_dir, "documents")))
+    return pk.pack(items, [(r[0], r[1]) for r in rows]), capacities
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, capacities = _packed(spark, sf_dir)
+    return pk.fill(cut(packed), capacities)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=0).select("doc_id", "item_id")
 
@@ -106,6 +160,11 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_seen_after": p1_seen_after,
+    "p3_salary_by_source": p3_salary_by_source,
+    "p3_pay_by_category": p3_pay_by_category,
+    "p3_pay_by_day": p3_pay_by_day,
+    "p3_summary": p3_summary,
+    "p3_from_summaries": p3_from_summaries,
     "p4_found": p4_found,
     "p4_mapped": p4_mapped,
     "p5_found": p5_found,
@@ -114,6 +173,8 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_sources": p7_sources,
     "p7_lengths": p7_lengths,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_near": p9_near,
     "p9_items": p9_items,
