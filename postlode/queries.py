@@ -1,19 +1,30 @@
-"""Registry of the core's queries: name -> f(spark, sf_dir)."""
+"""Importing this module registers the core's queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
 from pyspark.sql import DataFrame, SparkSession
 
+import postlode.plans
 from postlode.operators import units
+from postlode.registry import QUERIES, SQL, query
 from postlode.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+for _m in pkgutil.iter_modules(postlode.plans.__path__):
+    importlib.import_module(f"postlode.plans.{_m.name}")
 
 
+@query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.detect_units(table(spark, sf_dir, "raw_job")).where("unit <> 'annual'").select("job_id", "unit")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
+@query("p2_annual")
+def p2_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting with pay, in pounds a year."""
+    return units.to_annual(units.detect_units(table(spark, sf_dir, "raw_job")))
+
+
+__all__ = ["QUERIES", "SQL"]
