@@ -51,6 +51,12 @@ def _wide(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy(F.col("g").alias(name), "n").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.9).alias("p90"))
 
 
+def p3_pay_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual pay of every slice: category, source and day."""
+    slice_ = F.concat_ws("|", F.coalesce("role_category", F.lit("Other")), F.coalesce("source", F.lit("")), F.date_format("scraped_at", "yyyy-MM-dd"))
+    return _wide(pc.percentiles(table(spark, sf_dir, "job_analytics"), slice_, annual_pay()), "slice")
+
+
 def p3_salary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(pc.percentiles(table(spark, sf_dir, "raw_job"), F.col("source"), F.col("salary_min")), "source")
 
@@ -160,6 +166,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_seen_after": p1_seen_after,
+    "p3_pay_by_slice": p3_pay_by_slice,
     "p3_salary_by_source": p3_salary_by_source,
     "p3_pay_by_category": p3_pay_by_category,
     "p3_pay_by_day": p3_pay_by_day,
