@@ -9,9 +9,9 @@ opening (first two words) is normally closed is counted over all units of all te
 known to end without a stop, "Tools we like: ... and more..." with an ellipsis, and a sentence with a stop. The last
 unit is incomplete if it is closed otherwise than its opening is, or breaks off inside a word, tag or entity.
 
-A text is cut off if its ending is incomplete; at a significant length an ending that the counts know too little about
-counts as incomplete, elsewhere as complete if its last words are a usual ending. All counts are aggregates with
-partial sums; texts are not shuffled, and only the last unit of each goes on.
+A text is cut off if its ending is incomplete, and the significant lengths say which cuts are field limits. A complete
+ending at a significant length stays complete: other texts end there too. All counts are aggregates with partial sums;
+texts are not shuffled, and only the last unit of each goes on.
 
 Defined cases: NULL, blank and letterless descriptions are no case; a NULL source is a source of its own; repeated rows
 of one id give one row; NULL ids give none; an empty table gives no rows; extra columns are ignored.
@@ -22,34 +22,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlode.session import cut as cut_lineage
+
 NEIGHBOURS = 25
 Q = 0.001
-KNOWN = 20
+KNOWN = 5
 ENDINGS = 3
 # Marks that only a cut leaves.
 MARK = r"(?i)(\[\s*(\.{2,}|…)?\s*\]?|\[\s*(con|more|read|trunc|\+)[^\]\s]*\s*\]?|\(\s*(more|cont)[a-z.]*\)?|read more|&[a-z#0-9]{0,8}|<[^<>]*)$"
-
-
-def _clean(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?i)</?(p|li|br|ul|ol|div|h[1-6]|tr|td|table)\b[^<>]*>", "\n"), r"<[^<>]*>", " ")
+# Signs that may follow the last word of a unit.
+TRAIL = " .…!?,;:)]\"'”’"
 
 
 def units(text: Column) -> Column:
-    """Sentences and lines of a text, the empty ones left out."""
-    return F.filter(F.split(_clean(text), r"(?<=[.!?])\s+|\s*\n\s*"), lambda u: F.trim(u) != "")
+    """Sentences and lines of a text, the empty ones left out; tags of blocks end a line."""
+    blocks = F.regexp_replace(text, r"(?i)</?(p|li|br|ul|ol|div|h[1-6]|tr|td|table)\b[^<>]*>", "\n")
+    plain = F.when(F.contains(text, F.lit("<")), F.regexp_replace(blocks, r"<[^<>]*>", " ")).otherwise(text)
+    return F.filter(F.split(plain, r"(?<=[.!?])\s+|\n"), lambda u: F.length(F.trim(u)) > 0)
 
 
-def _openings(unit: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(F.lower(F.trim(unit)), r"[0-9][0-9,.]*", "#"), r"^\s*(\S+(?:\s+\S+)?)", 1)
+def _opening(unit: Column) -> Column:
+    """First two words, digits as #."""
+    return F.substring_index(F.translate(F.lower(F.trim(unit)), "0123456789", "##########"), " ", 2)
 
 
 def _last_word(unit: Column) -> Column:
-    return F.regexp_extract(F.lower(unit), r"([^\s]+?)[\s.…!?,;:)\]]*$", 1)
+    return F.lower(F.substring_index(F.rtrim(unit, F.lit(TRAIL)), " ", -1))
 
 
 def _closing(unit: Column) -> Column:
     u = F.rtrim(unit)
-    return F.when(u.rlike(r"(\.\.|…)$"), "ellipsis").when(u.rlike("[.!?][\"'”’)]*$|[)”\"]$"), "stop").otherwise("none")
+    end = F.right(u, F.lit(1))
+    bare = F.right(F.rtrim(u, F.lit("\"'”’)")), F.lit(1))
+    dots = (end == "…") | (F.right(u, F.lit(2)) == "..")
+    return F.when(dots, "ellipsis").when(bare.isin(".", "!", "?") | end.isin(")", "”", '"'), "stop").otherwise("none")
 
 
 def significant_lengths(df: DataFrame, text: str, source: str, q: float = Q) -> DataFrame:
@@ -71,36 +77,42 @@ def significant_lengths(df: DataFrame, text: str, source: str, q: float = Q) ->
 
 
 def endings(df: DataFrame, ids: str, text: str, source: str) -> DataFrame:
-    """(id, source, length, cut): every text with letters and whether it is cut off."""
+    """(id, source, length, cut, peak): every text with letters and whether it is cut off."""
     base = df.where(F.col(ids).isNotNull() & F.col(text).rlike(r"\w")).select(F.col(ids).alias("id"), F.col(source).alias("source"), F.col(text).alias("_t"))
-    every = base.select(F.explode(units(F.col("_t"))).alias("u")).select(_openings(F.col("u")).alias("opening"), _closing(F.col("u")).alias("closing"), F.when(_closing(F.col("u")) == "none", _last_word(F.col("u"))).alias("last"))
-    counted = every.groupBy("opening", "closing", "last").agg(F.count(F.lit(1)).alias("n"))
-    share = lambda c: F.sum(F.when(F.col("closing") == c, F.col("n")).otherwise(0))
-    by_opening = counted.groupBy("opening").agg(F.sum("n").alias("all"), share("none").alias("none"), share("ellipsis").alias("ellipsis"))
-    by_first = counted.groupBy(F.regexp_extract("opening", r"^(\S+)", 1).alias("first")).agg(F.sum("n").alias("all1"), share("none").alias("none1"))
-    by_last = counted.where("closing = 'none'").groupBy("last").agg(F.sum("n").alias("ended"))
-    final = F.element_at(units(F.col("_t")), -1)
-    tail = base.select("id", "source", F.length("_t").alias("length"), F.rtrim(F.expr("right(_t, 40)")).alias("_e"), final.alias("_u"), F.size(units(F.col("_t"))).alias("_n"))
+    every = base.select(F.explode(units(F.col("_t"))).alias("u")).select(_opening(F.col("u")).alias("opening"), _closing(F.col("u")).alias("closing"), _last_word(F.col("u")).alias("last"))
+    counted = cut_lineage(every.groupBy("opening", "closing", "last").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda c: F.sum(F.when(F.col("closing") == c, F.col("n")).otherwise(0))
+    by_opening = counted.groupBy("opening").agg(F.sum("n").alias("all"), of("none").alias("none"), of("ellipsis").alias("ellipsis"))
+    by_first = counted.groupBy(F.substring_index("opening", " ", 1).alias("first")).agg(F.sum("n").alias("all1"), of("none").alias("none1"))
+    by_last = counted.where("closing = 'stop'").groupBy("last").agg(F.sum("n").alias("stopped"))
+    by_pair = counted.where("closing = 'none'").groupBy("opening", "last").agg(F.sum("n").alias("alike"))
+    # what a short unit may be the beginning of: the most frequent longer opening
+    stems = by_opening.where("length(opening) between 2 and 40").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("opening") - 1), lambda i: F.substring("opening", F.lit(1), i))).alias("opening"), F.col("all").alias("longer"))
+    by_stem = stems.groupBy("opening").agg(F.max("longer").alias("longer"))
+    tail = base.select("id", "source", F.length("_t").alias("length"), F.rtrim(F.right("_t", F.lit(40))).alias("_e"), units(F.col("_t")).alias("_n"))
+    tail = tail.select("id", "source", "length", "_e", F.try_element_at("_n", F.lit(-1)).alias("_u"), (F.size("_n") > 1).alias("more")).where("_u is not null")
     tail = tail.select(
-        "id", "source", "length", F.col("_e").rlike(MARK).alias("mark"), _openings(F.col("_u")).alias("opening"), _closing(F.col("_u")).alias("closing"), _last_word(F.col("_u")).alias("last"),
-        F.rtrim("_u").rlike(r"[,;:/&(£$\[<–—-]$").alias("open_end"), (F.size(F.split(F.trim("_u"), r"\s+")) < 2).alias("one_word"), (F.col("_n") > 1).alias("more"), F.col("_e").rlike(r"(?i)</[a-z0-9]+>$").alias("closed"),
+        "id", "source", "length", "more", F.col("_e").rlike(MARK).alias("mark"), _opening(F.col("_u")).alias("opening"), _closing(F.col("_u")).alias("closing"), _last_word(F.col("_u")).alias("last"),
+        F.right(F.rtrim("_u"), F.lit(1)).isin(*",;:/&(£$[<–—-").alias("open_end"), (F.lower(F.trim("_u")) == _opening(F.col("_u"))).alias("short"), F.col("_e").rlike(r"(?i)</[a-z0-9]+>$").alias("closed"),
     ).distinct()
-    seen = tail.withColumn("first", F.regexp_extract("opening", r"^(\S+)", 1)).join(by_opening, "opening", "left").join(by_first, "first", "left").join(by_last, "last", "left")
-    lengths = significant_lengths(df.where(F.col(ids).isNotNull()), text, source).select(F.col("source").alias("s2"), F.col("length").alias("l2"), F.lit(True).alias("peak"))
-    seen = seen.join(lengths, F.col("source").eqNullSafe(F.col("s2")) & (F.col("length") == F.col("l2")), "left")
+    # a stop needs no counts
+    done, open_ = tail.where("closing = 'stop'"), tail.where("closing <> 'stop'")
+    seen = open_.withColumn("first", F.substring_index("opening", " ", 1)).join(by_opening, "opening", "left").join(by_pair, ["opening", "last"], "left").join(by_stem, "opening", "left").join(by_first, "first", "left").join(by_last, "last", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known = z("all") >= KNOWN
-    usual_end = z("ended") - 1 >= ENDINGS
-    bare = F.when(known & (z("none") < 0.5 * z("all")), True)
-    bare = bare.when(known, ~usual_end)
-    # an opening seldom seen: judged by its first word and by whether others end so, at a peak by the latter alone
-    bare = bare.when(F.coalesce(F.col("peak"), F.lit(False)) & ~usual_end, True)
-    bare = bare.when((z("all1") >= KNOWN) & (z("none1") < 0.5 * z("all1")), True).otherwise(~usual_end)
-    dots = F.when((z("all") >= KNOWN) & (z("ellipsis") >= 0.5 * z("all")), False).otherwise(True)
-    # a lone word after other units is the beginning of one more, unless lines of that kind are usual
-    bare = F.when(F.col("one_word") & F.col("more") & ~known, True).otherwise(bare)
-    cut = F.when(F.col("closed"), False).otherwise(F.col("mark") | F.when(F.col("closing") == "stop", False).when(F.col("open_end"), True).when(F.col("closing") == "ellipsis", dots).otherwise(bare))
-    return seen.groupBy("id").agg(F.first("source").alias("source"), F.max("length").alias("length"), F.max(cut).alias("cut"), F.max(F.coalesce(F.col("peak"), F.lit(False))).alias("peak"))
+    known, known1 = z("all") >= KNOWN, z("all1") >= KNOWN
+    # its last word ends sentences, or is how units of this opening usually end
+    usual_end = (z("stopped") >= ENDINGS) | ((z("alike") > 1) & (z("alike") >= 0.1 * z("none")))
+    begun = F.col("short") & F.col("more") & (z("longer") >= 2 * z("all"))
+    bare = (
+        F.when(begun, True).when(known & (z("none") < 0.5 * z("all")), True).when(known, ~usual_end)
+        .when(known1 & (z("none1") < 0.5 * z("all1")), True).otherwise(~usual_end)
+    )
+    dots = ~(known & (z("ellipsis") >= 0.5 * z("all")))
+    judged = seen.select("id", "source", "length", F.when(F.col("closed"), False).otherwise(F.col("mark") | F.when(F.col("open_end"), True).when(F.col("closing") == "ellipsis", dots).otherwise(bare)).alias("cut"))
+    whole = judged.unionByName(done.select("id", "source", "length", (F.col("mark") & ~F.col("closed")).alias("cut")))
+    lengths = significant_lengths(df.where(F.col(ids).isNotNull()), text, source).select(F.col("source").alias("s2"), F.col("length").alias("l2"), F.lit(True).alias("peak"))
+    whole = whole.join(lengths, F.col("source").eqNullSafe(F.col("s2")) & (F.col("length") == F.col("l2")), "left")
+    return whole.groupBy("id").agg(F.first("source").alias("source"), F.max("length").alias("length"), F.max("cut").alias("cut"), F.max(F.coalesce(F.col("peak"), F.lit(False))).alias("peak"))
 
 
 def by_source(judged: DataFrame) -> DataFrame:
