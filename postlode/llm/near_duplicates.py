@@ -44,7 +44,7 @@ TOKEN_BITS = 40
 ORDER_BITS = 20
 FILTER_BITS = 23
 SMALL_LIST = 48
-BLOCK = 256
+BLOCK = 384
 
 
 class Threshold:
@@ -159,7 +159,7 @@ def postings(df: DataFrame, ids: str, text: str, order: Broadcast, keys: list[in
             fp, n, key, bm = np.concatenate(fps), np.concatenate(sizes), np.concatenate(key64), np.concatenate(maps)
             tok, doc, pos = (np.concatenate(x) for x in zip(*post, strict=True))
             bucket = (mix(tok) >> U(33)) % U(n_buckets)
-            by = np.lexsort((tok, bucket))
+            by = np.argsort((bucket << U(TOKEN_BITS)) | tok)
             tok, doc, pos, bucket = tok[by], doc[by], pos[by], bucket[by]
             ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
             out = []
@@ -284,7 +284,8 @@ def candidates(packed: DataFrame, t: Threshold) -> DataFrame:
             tok, doc, pos = tok[by], doc[by], pos[by]
             once = np.concatenate([[True], (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1])])
             tok, doc, pos = tok[once], doc[once], pos[once]
-        by = np.lexsort((n[doc], tok))
+        # sizes of 2^24 and more share a place in the order, which the filters do not need to be exact
+        by = np.argsort((tok << U(24)) | np.minimum(n[doc], 2**24 - 1).astype(U))
         tok, doc, pos = tok[by], doc[by], pos[by]
         found = _refine(_pairs(tok, doc.astype(np.int32), pos, n, bits, t), n, large, t)
         if len(found):
@@ -333,14 +334,13 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
         out.append(_code(i[ok], j[ok]))
     # long lists: block by block as matrix products; a block of sizes is compared only with sizes in reach of it
     share = t.num / (t.num + t.den)
+    slack = (2 * (1 - 2 * share) * n).astype(np.float32)
     for g in np.flatnonzero(length > SMALL_LIST):
         a, b = edge[g], edge[g + 1]
         d, p = doc[a:b], pos[a:b]
         m = n[d]
-        signs = np.unpackbits(coarse[d], axis=1).astype(np.float32) * 2 - 1
-        w = (2 * (1 - 2 * share) * m).astype(np.float32)
-        left = np.concatenate([signs, w[:, None], np.ones((len(d), 1), np.float32)], axis=1)
-        right = np.concatenate([signs, np.ones((len(d), 1), np.float32), w[:, None]], axis=1)
+        signs = SIGNS[coarse[d]].reshape(len(d), width)
+        w = slack[d]
         for x in range(0, len(d), BLOCK):
             xe = min(x + BLOCK, len(d))
             for y in range(x, len(d), BLOCK):
@@ -348,11 +348,13 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
                 if m[y] * t.num > m[xe - 1] * t.den:
                     break
                 r = x + np.flatnonzero(p[x:xe] <= m[x:xe] - t.needed(m[x:xe], np.maximum(m[y], m[x:xe])))
-                c = y + np.flatnonzero(p[y:ye] <= m[y:ye] - t.needed(m[y:ye], np.full(ye - y, m[x])))
+                c = y + np.flatnonzero(p[y:ye] <= m[y:ye] - t.needed(m[y:ye], m[x]))
                 if not len(r) or not len(c):
                     continue
                 # equal bits minus unequal bits must be at least width - 2 * (sizes - 2 * needed)
-                hit = np.flatnonzero((left[r] @ right[c].T >= width - 0.01).ravel())
+                product = (signs[x:xe] if len(r) == xe - x else signs[r]) @ (signs[y:ye] if len(c) == ye - y else signs[c]).T
+                product += w[r][:, None]
+                hit = np.flatnonzero((product >= width - 0.01 - w[c]).ravel())
                 if not len(hit):
                     continue
                 i, j = r[hit // len(c)], c[hit % len(c)]
@@ -360,16 +362,20 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
                 i, j = i[ok], j[ok]
                 need = t.needed(m[i], m[j])
                 ok = (p[i] <= m[i] - need) & (p[j] <= m[j] - need)
-                i, j = i[ok], j[ok]
-                apart = np.bitwise_count(words[d[i]] ^ words[d[j]]).sum(axis=1, dtype=np.int64)
-                ok = apart <= m[i] + m[j] - 2 * need[ok]
-                out.append(_code(d[i[ok]], d[j[ok]]))
+                i, j, need = d[i[ok]], d[j[ok]], need[ok]
+                if len(i):
+                    ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need
+                    out.append(_code(i[ok], j[ok]))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
+# The eight bits of a byte as +1 and -1.
+SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+
+
 def _code(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     lo, hi = np.minimum(i, j).astype(np.int64), np.maximum(i, j).astype(np.int64)
-    return np.unique((lo << 32) | hi)
+    return (lo << 32) | hi
 
 
 def fetch_sets(df: DataFrame, ids: str, text: str, wanted: DataFrame, k: int, least_words: int, filter_bits: int = FILTER_BITS) -> DataFrame:
