@@ -37,13 +37,14 @@ def surrogate(source: str, url: Column) -> Column:
     return F.concat(F.lit(f"{source}_"), F.substring(F.sha2(url, 256), 1, 8))
 
 
-def quarantine(payloads: DataFrame, body: str, schema: str) -> DataFrame:
-    return payloads.where(F.from_json(body, schema).isNull())
+def quarantine(payloads: DataFrame, body: str, schema: str, required: str) -> DataFrame:
+    """Payloads that do not parse, or lack the required field."""
+    return payloads.where(F.from_json(body, schema)[required].isNull())
 
 
 def adzuna(payloads: DataFrame, body: str = "payload") -> DataFrame:
     """One posting a payload; ISO-8601 dates with a Z."""
-    p = payloads.select(F.from_json(body, ADZUNA).alias("p")).where("p is not null")
+    p = payloads.select(F.from_json(body, ADZUNA).alias("p")).where("p.id is not null")
     return p.select(
         F.concat(F.lit("adzuna_"), F.col("p.id")).alias("job_id"), "p.title", F.col("p.company.display_name").alias("company"), F.col("p.location.display_name").alias("location"),
         "p.salary_min", "p.salary_max", "p.description", F.col("p.redirect_url").alias("url"), F.to_date(F.try_to_timestamp("p.created")).alias("posted_date"),
@@ -52,7 +53,7 @@ def adzuna(payloads: DataFrame, body: str = "payload") -> DataFrame:
 
 def reed(payloads: DataFrame, body: str = "payload") -> DataFrame:
     """One posting a payload; dates as dd/MM/yyyy."""
-    p = payloads.select(F.from_json(body, REED).alias("p")).where("p is not null")
+    p = payloads.select(F.from_json(body, REED).alias("p")).where("p.jobId is not null")
     return p.select(
         F.concat(F.lit("reed_"), F.col("p.jobId")).alias("job_id"), F.col("p.jobTitle").alias("title"), F.col("p.employerName").alias("company"), F.col("p.locationName").alias("location"),
         F.col("p.minimumSalary").alias("salary_min"), F.col("p.maximumSalary").alias("salary_max"), F.col("p.jobDescription").alias("description"), F.col("p.jobUrl").alias("url"),
