@@ -335,11 +335,13 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
     # long lists: block by block as matrix products; a block of sizes is compared only with sizes in reach of it
     share = t.num / (t.num + t.den)
     slack = (2 * (1 - 2 * share) * n).astype(np.float32)
+    # arrays of this size are mapped and unmapped by every allocation: one of each serves all blocks
+    left, right, cells = (np.empty(BLOCK * x, np.float32) for x in (width, width, BLOCK))
+    near = np.empty(BLOCK * BLOCK, bool)
     for g in np.flatnonzero(length > SMALL_LIST):
         a, b = edge[g], edge[g + 1]
         d, p = doc[a:b], pos[a:b]
         m = n[d]
-        signs = SIGNS[coarse[d]].reshape(len(d), width)
         w = slack[d]
         for x in range(0, len(d), BLOCK):
             xe = min(x + BLOCK, len(d))
@@ -352,9 +354,12 @@ def _pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bit
                 if not len(r) or not len(c):
                     continue
                 # equal bits minus unequal bits must be at least width - 2 * (sizes - 2 * needed)
-                product = (signs[x:xe] if len(r) == xe - x else signs[r]) @ (signs[y:ye] if len(c) == ye - y else signs[c]).T
+                of_r = np.take(SIGNS, coarse[d[r]], axis=0, out=left[: len(r) * width].reshape(len(r), -1, 8), mode="clip").reshape(len(r), width)
+                same = len(r) == len(c) and x == y and np.array_equal(r, c)
+                of_c = of_r if same else np.take(SIGNS, coarse[d[c]], axis=0, out=right[: len(c) * width].reshape(len(c), -1, 8), mode="clip").reshape(len(c), width)
+                product = np.matmul(of_r, of_c.T, out=cells[: len(r) * len(c)].reshape(len(r), len(c)))
                 product += w[r][:, None]
-                hit = np.flatnonzero((product >= width - 0.01 - w[c]).ravel())
+                hit = np.flatnonzero(np.greater_equal(product, width - 0.01 - w[c], out=near[: len(r) * len(c)].reshape(len(r), len(c))).ravel())
                 if not len(hit):
                     continue
                 i, j = r[hit // len(c)], c[hit % len(c)]
