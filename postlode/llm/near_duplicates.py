@@ -222,12 +222,13 @@ def postings(df: DataFrame, ids: str, text: str, order: Broadcast, keys: list[in
 def _one(v: np.ndarray) -> pa.Array:
     """A whole numpy array as one binary cell, byte planes apart: near-constant high bytes pack to almost nothing."""
     v = np.ascontiguousarray(v)
-    planes = v.reshape(len(v), -1).view(np.uint8).T if v.ndim == 1 else v.view(np.uint8)
+    planes = v.reshape(len(v), 1).view(np.uint8).T if v.ndim == 1 else v.view(np.uint8)
     return pa.array([np.ascontiguousarray(planes).tobytes()], pa.large_binary())
 
 
 def _take(batch: pa.RecordBatch, name: str, dtype: type, width: int = 1) -> np.ndarray:
-    raw = np.frombuffer(batch.column(name)[0].as_buffer(), dtype=np.uint8)
+    cell = batch.column(name)[0].as_py()
+    raw = np.frombuffer(cell, dtype=np.uint8) if cell else np.empty(0, np.uint8)
     if width > 1:
         return raw.view(dtype).reshape(-1, width)
     size = np.dtype(dtype).itemsize
@@ -266,7 +267,7 @@ def candidates(packed: DataFrame, t: Threshold) -> DataFrame:
                     large[base + int(d)] = x.column("large")[0].values[int(d)].as_py()
                 hi, lo = _take(x, "hi", np.uint32).astype(U), _take(x, "lo", np.uint32).astype(U)
                 m = len(hi)
-                size = lambda c: np.uint16 if len(x.column(c)[0].as_buffer()) == 2 * m else np.uint32  # noqa: E731, B023
+                size = lambda c: np.uint16 if len(x.column(c)[0].as_py()) == 2 * m else np.uint32  # noqa: E731, B023
                 post.append((np.cumsum((hi << U(32)) | lo, dtype=U), _take(x, "doc", size("doc")).astype(np.int64) + base, _take(x, "pos", size("pos")).astype(np.int32)))
                 base += len(fp)
         if not head:
