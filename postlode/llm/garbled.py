@@ -64,7 +64,7 @@ def _sequences(codec: str) -> re.Pattern[str]:
 _SEQ = {c: _sequences(c) for c in READ_AS}
 _LEAD = {c: frozenset(_HIGH[c][0x42:0x75]) for c in READ_AS}
 _TAIL = {c: frozenset(_HIGH[c][0x00:0x40]) for c in READ_AS}
-_LATIN = re.compile("[ -ſȘ-ț‐-…‰′″‹›€№™←-↓−✓ﬁﬂ]")
+_LATIN = re.compile("[\u0020-\u007e\u00a0-\u017fƒˆ˜Ș-ț\u2010-\u2026‰′″‹›€№™\u2190-\u2193−✓ﬁﬂ]")
 _CYRILLIC = re.compile("[ЁЄІЇА-яёєіїҐґ]")
 _CYR_LETTER = re.compile("[Ѐ-ӿ]")
 _GREEK = re.compile("[Ά-ώ]")
@@ -115,7 +115,9 @@ def _utf8(text: str, codec: str) -> tuple[str, int]:
     hits = 0
     if not _SEQ[codec].search(text):
         return text, 0
-    company = codec in _CYRILLIC_READ or sum(1 for r in _SEQ[codec].findall(text) if len(_CYRILLIC.findall(_decode(r, codec) or "")) > 1) > 1
+    company = sum(1 for r in _SEQ[codec].findall(text) if len(_CYRILLIC.findall(_decode(r, codec) or "")) > 1) > 1
+    # real words of a Cyrillic text may look like sequences of bytes; without company all its letters must be such sequences
+    real_words = codec in _CYRILLIC_READ and not company and _CYR_LETTER.search(_SEQ[codec].sub("", text)) is not None
 
     def fix(m: re.Match[str]) -> str:
         nonlocal hits
@@ -125,8 +127,10 @@ def _utf8(text: str, codec: str) -> tuple[str, int]:
         got = _decode(run, codec)
         if got is None or cost(got) >= cost(run):
             return run
+        if real_words:
+            return run
         if codec in _CYRILLIC_READ:
-            # words of these are letters as such: only a whole word can be taken for a sequence of bytes
+            # only a whole word can be taken for a sequence of bytes
             if _CYR_LETTER.match(text[m.start() - 1 : m.start()]) or _CYR_LETTER.match(text[m.end() : m.end() + 1]):
                 return run
         if not _plausible(got):
@@ -135,7 +139,7 @@ def _utf8(text: str, codec: str) -> tuple[str, int]:
                     return run
             elif not (company and _CYRILLIC.fullmatch(got)):
                 return run
-        hits += 1
+        hits += len(run)
         return got
 
     return _SEQ[codec].sub(fix, text), hits
@@ -148,6 +152,12 @@ def _russian(word: str) -> float:
     return total / len(word)
 
 
+def _reads(piece: str) -> float:
+    """How well the Cyrillic words of a piece read as Russian."""
+    words = re.findall("[Ѐ-џ]{2,}", piece)
+    return sum(_russian(w) * len(w) for w in words) / max(1, sum(map(len, words)))
+
+
 def _legacy(text: str) -> str:
     """One single-byte encoding read as another: Cyrillic under Western or other Cyrillic encodings, Polish under Western."""
     for read, meant in CONFUSED:
@@ -165,18 +175,21 @@ def _legacy(text: str) -> str:
             gain += (_russian(other) - before) * len(w)
             seen += 1
         if seen and gain > 4 * seen:
-            body = "[Ѐ-џ]+" if shape is _CYR_WORD else "[À-ÿ¸¨]+"
+            body = re.compile("[Ѐ-џ]+" if shape is _CYR_WORD else "[À-ÿ¸¨]+")
 
-            def turn(m: re.Match[str], read: str = read, meant: str = meant, cyr: bool = shape is _CYR_WORD) -> str:
+            def turn(m: re.Match[str], read: str = read, meant: str = meant) -> str:
                 try:
-                    other = m.group().encode(read).decode(meant)
+                    return m.group().encode(read).decode(meant)
                 except (UnicodeEncodeError, UnicodeDecodeError):
                     return m.group()
-                if cyr and _russian(other) <= _russian(m.group()):
-                    return m.group()
-                return other
 
-            fixed = re.sub(body, turn, text)
+            # sentence by sentence, as a text may be garbled in part
+            pieces = re.split(r"((?<=[.!?])\s+|\n+)", text)
+            for i, piece in enumerate(pieces):
+                other = body.sub(turn, piece)
+                if other != piece and (shape is not _CYR_WORD or _reads(other) > _reads(piece)):
+                    pieces[i] = other
+            fixed = "".join(pieces)
             if fixed != text:
                 return fixed
     inside, edge = len(_POLISH_IN.findall(text)), len(_POLISH_EDGE.findall(text))
