@@ -37,7 +37,9 @@ def word_shingles(c: Column, k: int = 4) -> Column:
     """Distinct k-word shingles; the whole text if shorter, none if empty."""
     w = F.filter(F.split(c, " "), lambda x: x != "")
     n = F.size(w)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    # the words side by side with themselves shifted: a lambda that sliced them would split the text again for each shingle
+    rows = F.arrays_zip(*[F.slice(w, F.lit(i + 1), F.greatest(n - k + 1, F.lit(0))).alias(f"w{i}") for i in range(k)])
+    many = F.array_distinct(F.transform(rows, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
     return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(many)
 
 
