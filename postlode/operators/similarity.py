@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlode.functions import text as tx
+from postlode.session import cut
 
 FUZZY = 0.85
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,8 +23,10 @@ def shingle_pairs(df: DataFrame, key: str, shingles: Column, threshold: float =
 
     Prefix filter: only the rarest n - ceil(t n) + 1 shingles of each row are joined, with the length filter in the join
     condition, and every pair is verified once. Equal sets are one class, so copies are joined as one."""
-    rows = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(shingles)).alias("s")).where("size(s) > 0")
-    classes = rows.groupBy(F.sha2(F.array_join("s", "\x1f"), 256).alias("c")).agg(F.first("s").alias("s"), F.min("k").alias("rep"))
+    rows = df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(shingles)).alias("s")).where("size(s) > 0").withColumn("c", F.sha2(F.array_join("s", "\x1f"), 256))
+    # shingles are made once and read several times below
+    rows = cut(rows)
+    classes = rows.groupBy("c").agg(F.first("s").alias("s"))
     exploded = classes.select("c", F.size("s").alias("n"), F.explode("s").alias("w"))
     frequency = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = exploded.join(frequency, "w", "left").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "w")))
@@ -35,7 +38,7 @@ def shingle_pairs(df: DataFrame, key: str, shingles: Column, threshold: float =
     both = met.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.withColumn("j", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("j") >= threshold).select("ca", "cb", "j")
-    members = rows.select("k", F.sha2(F.array_join("s", "\x1f"), 256).alias("c"))
+    members = rows.select("k", "c")
     across = links.join(members.select(F.col("c").alias("ca"), F.col("k").alias("p")), "ca").join(members.select(F.col("c").alias("cb"), F.col("k").alias("q")), "cb").select("p", "q", "j")
     own = members.select("c", F.col("k").alias("p")).join(members.select("c", F.col("k").alias("q")), "c").where("p < q").select("p", "q", F.lit(1.0).alias("j"))
     every = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("j").alias("jaccard"))
