@@ -72,6 +72,8 @@ _CONTROL = re.compile("[\x80-\x9f]")
 _UPPER_THEN_MARK = re.compile("[A-ZÀ-Þ]Ã[’”…–—](?![A-Za-z])")
 _ACCENT_WORD = re.compile("[À-ÿ¸¨]{4,}")
 _CYR_WORD = re.compile("[Ѐ-џ]{4,}")
+_ACCENT_RUN = re.compile("[À-ÿ¸¨]+")
+_CYR_RUN = re.compile("[Ѐ-џ]+")
 _POLISH_IN = re.compile("(?<=[^\\W\\d_])[¹³¿±¶¼¾£](?=[a-zà-ÿ])")
 _POLISH_EDGE = re.compile("(?<=[a-zà-ÿ]{3})[¹³](?![\\w.])|(?<!\\w)¿(?=[a-z])")
 _POLISH_WORD = re.compile("[\\w¹³¿±¶¼¾£œŸ]+")
@@ -152,46 +154,37 @@ def _russian(word: str) -> float:
     return total / len(word)
 
 
-def _reads(piece: str) -> float:
-    """How well the Cyrillic words of a piece read as Russian."""
-    words = re.findall("[Ѐ-џ]{2,}", piece)
-    return sum(_russian(w) * len(w) for w in words) / max(1, sum(map(len, words)))
+def _reread(run: str, read: str, meant: str) -> str:
+    try:
+        return run.encode(read).decode(meant)
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return run
 
 
 def _legacy(text: str) -> str:
     """One single-byte encoding read as another: Cyrillic under Western or other Cyrillic encodings, Polish under Western."""
+    # sentence by sentence, as a text may be garbled in part
+    pieces = re.split(r"((?<=[.!?])\s+|\n+)", text)
     for read, meant in CONFUSED:
-        shape = _CYR_WORD if read not in ("cp1252", "mac_roman") else _ACCENT_WORD
-        gain, seen = 0.0, 0
-        for w in shape.findall(text):
-            try:
-                other = w.encode(read).decode(meant)
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-            if not _CYR_WORD.fullmatch(other):
-                continue
-            before = _russian(w) if shape is _CYR_WORD else -6.0
-            # pairs of words that read well as they are speak against the change
-            gain += (_russian(other) - before) * len(w)
-            seen += 1
-        if seen and gain > 4 * seen:
-            body = re.compile("[Ѐ-џ]+" if shape is _CYR_WORD else "[À-ÿ¸¨]+")
-
-            def turn(m: re.Match[str], read: str = read, meant: str = meant) -> str:
+        western = read in ("cp1252", "mac_roman")
+        shape, body = (_ACCENT_WORD, _ACCENT_RUN) if western else (_CYR_WORD, _CYR_RUN)
+        changed = False
+        for i, piece in enumerate(pieces):
+            gain, seen = 0.0, 0
+            for w in shape.findall(piece):
                 try:
-                    return m.group().encode(read).decode(meant)
+                    other = w.encode(read).decode(meant)
                 except (UnicodeEncodeError, UnicodeDecodeError):
-                    return m.group()
-
-            # sentence by sentence, as a text may be garbled in part
-            pieces = re.split(r"((?<=[.!?])\s+|\n+)", text)
-            for i, piece in enumerate(pieces):
-                other = body.sub(turn, piece)
-                if other != piece and (shape is not _CYR_WORD or _reads(other) > _reads(piece)):
-                    pieces[i] = other
-            fixed = "".join(pieces)
-            if fixed != text:
-                return fixed
+                    continue
+                if _CYR_WORD.fullmatch(other):
+                    # words that read well as they are speak against the change
+                    gain += (_russian(other) - (-6.0 if western else _russian(w))) * len(w)
+                    seen += 1
+            if seen and gain > 4 * seen:
+                pieces[i] = body.sub(lambda m: _reread(m.group(), read, meant), piece)  # noqa: B023
+                changed |= pieces[i] != piece
+        if changed:
+            return "".join(pieces)
     inside, edge = len(_POLISH_IN.findall(text)), len(_POLISH_EDGE.findall(text))
     if inside or edge > 1:
         meant = "iso8859-2" if re.search("[a-z][±¶¼]", text) else "cp1250"
