@@ -74,8 +74,11 @@ _ACCENT_WORD = re.compile("[À-ÿ¸¨]{4,}")
 _CYR_WORD = re.compile("[Ѐ-џ]{4,}")
 _ACCENT_RUN = re.compile("[À-ÿ¸¨]+")
 _CYR_RUN = re.compile("[Ѐ-џ]+")
-_POLISH_IN = re.compile("(?<=[^\\W\\d_])[¹³¿±¶¼¾£](?=[a-zà-ÿ])")
+_POLISH_IN = re.compile("(?<=[^\\W\\d_])[¹³¿±¶¼¾£](?=[a-zà-ÿ¹³¿])|(?<=[a-z])œ(?=[æcnlmwp])|(?<=[a-zœ])æ(?!\\w)|(?<=[a-z])Ÿ(?=[a-z])")
 _POLISH_EDGE = re.compile("(?<=[a-zà-ÿ]{3})[¹³](?![\\w.])|(?<!\\w)¿(?=[a-z])")
+# Words of a sentence that look Polish, and letters that Polish lacks but its letters turn into.
+_POLISH_LOOK = re.compile("\\w*(?:[csrd]z|ów|ych|iej)\\w*")
+_POLISH_ALSO = re.compile("(?<=[a-z])[êñæœ]")
 _POLISH_WORD = re.compile("[\\w¹³¿±¶¼¾£œŸ]+")
 
 
@@ -180,12 +183,13 @@ def _legacy(text: str) -> str:
                     # words that read well as they are speak against the change
                     gain += (_russian(other) - (-6.0 if western else _russian(w))) * len(w)
                     seen += 1
-            if seen and gain > 4 * seen:
+            if seen and gain > 2 * seen:
                 pieces[i] = body.sub(lambda m: _reread(m.group(), read, meant), piece)  # noqa: B023
                 changed |= pieces[i] != piece
         if changed:
             return "".join(pieces)
     inside, edge = len(_POLISH_IN.findall(text)), len(_POLISH_EDGE.findall(text))
+    inside += sum(1 for piece in pieces if _POLISH_ALSO.search(piece) and len(_POLISH_LOOK.findall(piece)) > 1)
     if inside or edge > 1:
         meant = "iso8859-2" if re.search("[a-z][±¶¼]", text) else "cp1250"
 
