@@ -122,8 +122,9 @@ def dense_weeks(mentions: DataFrame, key: str, n: int | None) -> DataFrame:
     counts = mentions.groupBy("week", key).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(key).agg(F.sum("n").alias("n"))
     keys = (top(totals, key, n) if n else totals).select(key)
-    # weeks and chosen keys are few: calendar weeks and a top-n
-    grid = keys.crossJoin(counts.select("week").distinct())
+    # calendar weeks of the window: a few dozen dates, as literals
+    weeks = sorted(r[0] for r in counts.select("week").distinct().collect())
+    grid = keys.select(key, F.explode(F.array(*[F.lit(w) for w in weeks]) if weeks else F.array().cast("array<date>")).alias("week"))
     return grid.join(counts, [key, "week"], "left").select(key, "week", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -176,10 +177,9 @@ def persistence(fact: DataFrame, seen: DataFrame) -> DataFrame:
 
 def pay_by_skill(fact: DataFrame, least: int = 15) -> DataFrame:
     paid = fact.select(midpoint().alias("m"), F.array_distinct(skills()).alias("s")).where("m is not null")
-    market = paid.agg(F.percentile("m", F.lit(0.5)).alias("market"))
+    market = F.lit(paid.agg(F.percentile("m", F.lit(0.5))).first()[0]).cast("double")
     per = paid.select("m", F.explode("s").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"), F.percentile("m", F.lit(0.5)).alias("median")).where(F.col("n") >= least)
-    # one row on the right
-    return per.crossJoin(market).select("skill", "n", F.round("median", 2).alias("median_salary"), F.round("market", 2).alias("market_median"), F.bround(100 * (F.col("median") - F.col("market")) / F.col("market"), 1).alias("premium_pct"))
+    return per.select("skill", "n", F.round("median", 2).alias("median_salary"), F.round(market, 2).alias("market_median"), F.bround(100 * (F.col("median") - market) / market, 1).alias("premium_pct"))
 
 
 STAGES = ("total_scraped", "total_after_dedup", "total_after_prescreen", "total_scored", "total_qualified")

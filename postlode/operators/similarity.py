@@ -60,20 +60,19 @@ def bm25(docs: DataFrame, key: str, text: Column, terms: list[str]) -> DataFrame
 
     Only postings of query terms are aggregated; corpus statistics are single rows."""
     base = docs.select(F.col(key).alias("k"), tx.tokens(text).alias("t"))
-    stats = base.agg(F.count(F.lit(1)).alias("corpus"), F.avg(F.size("t")).alias("avgdl"))
+    # corpus figures are single numbers
+    corpus, avgdl = base.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
     every = base.select("k", F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(F.col("corpus") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    # one row on the right
-    weights = every.crossJoin(stats).select("w", idf.alias("idf"))
-    mean = weights.agg(F.avg("idf").alias("mean"))
+    weights = cut(every.select("w", (F.ln(F.lit(corpus) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf")))
+    mean = F.lit(weights.agg(F.avg("idf")).first()[0]).cast("double")
     query = docs.sparkSession.createDataFrame([(t,) for t in terms], "w string").groupBy("w").agg(F.count(F.lit(1)).alias("qn"))
-    q = query.join(weights, "w").crossJoin(mean).select("w", "qn", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    q = query.join(weights, "w").select("w", "qn", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf"))
     tf = base.select("k", F.size("t").alias("dl"), F.explode("t").alias("w")).join(F.broadcast(q), "w").groupBy("k", "dl", "w", "qn", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = tf.crossJoin(stats).groupBy("k").agg(F.sum(part).alias("s"))
-    all_ = base.select("k").join(score, "k", "left").select("k", F.coalesce("s", F.lit(0.0)).alias("s"))
-    top = all_.agg(F.max("s").alias("m"))
-    return all_.crossJoin(top).select(F.col("k").alias(key), (F.col("s") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)).alias("score"))
+    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    score = tf.groupBy("k").agg(F.sum(part).alias("s"))
+    all_ = cut(base.select("k").join(score, "k", "left").select("k", F.coalesce("s", F.lit(0.0)).alias("s")))
+    top = all_.agg(F.max("s")).first()[0]
+    return all_.select(F.col("k").alias(key), (F.col("s") / F.lit(top if top and top > 0 else 1.0)).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

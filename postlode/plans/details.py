@@ -49,12 +49,12 @@ def has_skill(spark, d):
     return j.select("job_id", F.exists("s", lambda x: F.contains(F.lower(x), F.lit("sql"))).alias("has_sql"))
 
 
-@query("ref_p30_fenced_json", "SELECT job_id, length(title) % 101 AS score FROM job_analytics WHERE length(title) % 101 BETWEEN 0 AND 100 AND job_id NOT LIKE '%7'")
+@query("ref_p30_fenced_json", "SELECT job_id, length(title) % 101 AS score FROM job_analytics WHERE length(title) % 101 BETWEEN 0 AND 100 AND company IS NOT NULL")
 def fenced_json(spark, d):
     """Answers of a model: code fences stripped, parsed, and held to the schema's ranges; others are left to quarantine."""
     j = table(spark, d, "job_analytics")
     good = F.format_string("```json\n{\"overall_score\": %d}\n```", F.length("title") % 101)
-    answer = F.when(F.col("job_id").endswith("7"), F.lit("no answer")).otherwise(good)
+    answer = F.when(F.col("company").isNull(), F.lit("no answer")).otherwise(good)
     body = F.regexp_replace(F.trim(answer), r"^```(?:json)?\s*|\s*```$", "")
     parsed = j.select("job_id", F.from_json(body, "overall_score int").alias("p"))
     return parsed.where("p.overall_score between 0 and 100").select("job_id", F.col("p.overall_score").alias("score"))

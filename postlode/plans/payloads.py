@@ -66,15 +66,15 @@ def amounts(spark, d):
     return table(spark, d, "raw_job").select("job_id", lo.alias("lowest"), hi.alias("highest")).distinct()
 
 
-@query(
-    "ref_s23_first_line",
-    """WITH l AS (SELECT DISTINCT job_id, trim(concat_ws(' | ', company, title, location)) AS line FROM raw_job WHERE company IS NOT NULL AND title IS NOT NULL AND NOT contains(company, '|') AND NOT contains(title, '|') AND NOT contains(concat(company, title, location), chr(10)))
-    SELECT job_id, trim(string_split(line, '|')[2]) AS title, trim(string_split(line, '|')[1]) AS company FROM l""",
-)
+_FLAT = "translate(coalesce({c}, '?'), '|' || chr(10), '/ ')"
+
+
+@query("ref_s23_first_line", f"SELECT DISTINCT job_id, trim({_FLAT.format(c='title')}) AS title, trim({_FLAT.format(c='company')}) AS company FROM raw_job")
 def first_line(spark, d):
-    j = table(spark, d, "raw_job").where("company is not null and title is not null").where(~F.contains("company", F.lit("|")) & ~F.contains("title", F.lit("|")) & ~F.contains(F.concat_ws("", "company", "title", "location"), F.lit("\n")))
-    title, company = ps.first_line(F.concat_ws(" | ", "company", "title", "location"))
-    return j.select("job_id", title.alias("title"), company.alias("company")).distinct()
+    """'company | title | place' of every posting, bars inside the parts as strokes."""
+    flat = lambda c: F.translate(F.coalesce(c, F.lit("?")), "|\n", "/ ")
+    title, company = ps.first_line(F.concat_ws(" | ", flat("company"), flat("title"), flat("location")))
+    return table(spark, d, "raw_job").select("job_id", title.alias("title"), company.alias("company")).distinct()
 
 
 @query("ref_s24_unix_date", "SELECT job_id, CAST(make_timestamp(CAST(floor(epoch(scraped_at)) AS BIGINT) * 1000000) AS DATE) AS day FROM job_analytics")
@@ -82,12 +82,13 @@ def unix_date(spark, d):
     return table(spark, d, "job_analytics").select("job_id", ps.unix_date(F.unix_seconds("scraped_at")).alias("day"))
 
 
-@query("ref_s34_strip_html", "SELECT DISTINCT job_id, CASE WHEN contains(description, '<') THEN trim(regexp_replace(regexp_replace(description, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) ELSE description END AS text FROM raw_job WHERE description = regexp_replace(description, '[^ -~\\n£…]', '', 'g')")
+@query("ref_s34_strip_html", "SELECT DISTINCT job_id, CASE WHEN contains(d, '<') THEN trim(regexp_replace(regexp_replace(d, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) ELSE d END AS text FROM (SELECT job_id, regexp_replace(coalesce(description, ''), '[^ -~\\n]', ' ', 'g') AS d FROM raw_job)")
 def strip_html(spark, d):
     from postlode.functions.text import strip_html as strip
 
-    j = table(spark, d, "raw_job").where("description is not null").where(~F.col("description").rlike("[^ -~\\n£…]"))
-    return j.select("job_id", strip(F.col("description")).alias("text")).distinct()
+    # white space beyond ASCII differs between the engines
+    j = table(spark, d, "raw_job").select("job_id", F.regexp_replace(F.coalesce("description", F.lit("")), "[^ -~\\n]", " ").alias("d"))
+    return j.select("job_id", strip(F.col("d")).alias("text")).distinct()
 
 
 @query("ref_f21_url_parts", "SELECT DISTINCT job_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM raw_job WHERE url IS NOT NULL")

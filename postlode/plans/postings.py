@@ -136,14 +136,22 @@ def matched_skills(spark, d):
     return j.select("job_id", F.array_join(F.filter(F.array(*[F.lit(s) for s in _INVENTORY]), lambda s: F.array_contains(F.col("w"), F.lower(s))), ",").alias("skills")).distinct()
 
 
-@query("ref_f06_company_key", f"SELECT DISTINCT company, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(company), '{tx.TRADING_AS}', ''), '[^a-z0-9\\s]', ' ', 'g'), '{tx.COMPANY_SUFFIX}', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM raw_job WHERE company IS NOT NULL AND company = regexp_replace(company, '[^ -~]', '', 'g')")
+# \\b and \\s of the two engines differ beyond ASCII: other signs are read as blanks on both sides.
+_ASCII = "regexp_replace(coalesce({c}, ''), '[^ -~]', ' ', 'g')"
+
+
+def _ascii(c: str):
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", " ")
+
+
+@query("ref_f06_company_key", f"SELECT DISTINCT job_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_ASCII.format(c='company')}), '{tx.TRADING_AS}', ''), '[^a-z0-9\\s]', ' ', 'g'), '{tx.COMPANY_SUFFIX}', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM raw_job")
 def company_key(spark, d):
-    return table(spark, d, "raw_job").where("company is not null").where(~F.col("company").rlike("[^ -~]")).select("company", tx.company_key(F.col("company")).alias("key")).distinct()
+    return table(spark, d, "raw_job").select("job_id", tx.company_key(_ascii("company")).alias("key")).distinct()
 
 
-@query("ref_f08_tokens", "SELECT DISTINCT job_id, len(t) AS n, len(list_distinct(t)) AS different FROM (SELECT job_id, regexp_extract_all(lower(title), '\\b[a-z][a-z0-9+#.\\-]{1,}\\b') AS t FROM raw_job WHERE title = regexp_replace(title, '[^ -~]', '', 'g'))")
+@query("ref_f08_tokens", f"SELECT DISTINCT job_id, len(t) AS n, len(list_distinct(t)) AS different FROM (SELECT job_id, regexp_extract_all(lower({_ASCII.format(c='title')}), '\\b[a-z][a-z0-9+#.\\-]{{1,}}\\b') AS t FROM raw_job)")
 def tokens(spark, d):
-    j = table(spark, d, "raw_job").where("title is not null").where(~F.col("title").rlike("[^ -~]")).select("job_id", tx.tokens(F.col("title")).alias("t"))
+    j = table(spark, d, "raw_job").select("job_id", tx.tokens(_ascii("title")).alias("t"))
     return j.select("job_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("different")).distinct()
 
 

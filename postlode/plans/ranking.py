@@ -88,12 +88,13 @@ def register_match(spark, d):
     return sim.register_match(table(spark, d, "incoming_job").where("company is not null"), "company", register, "company")
 
 
-@query("ref_p35_j08_overlapping_boxes", "WITH b AS (SELECT vec_id AS id, embedding[1] AS x, embedding[2] AS y FROM embeddings WHERE label = 0) SELECT p.id AS a, q.id AS b FROM b p JOIN b q ON p.id < q.id AND abs(p.x - q.x) < 0.05 AND abs(p.y - q.y) < 0.05")
+@query("ref_p35_j08_overlapping_boxes", "WITH b AS (SELECT label, vec_id AS id, embedding[1] AS x, embedding[2] AS y FROM embeddings) SELECT p.id AS a, q.id AS b FROM b p JOIN b q ON p.label = q.label AND p.id < q.id AND abs(p.x - q.x) < 0.05 AND abs(p.y - q.y) < 0.05")
 def overlapping_boxes(spark, d):
-    """Boxes of 0.05 by 0.05 that overlap: each meets only the cells of the grid around it."""
-    b = table(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    """Boxes of 0.05 by 0.05 that overlap on their sheet: each meets only the cells of the grid around it."""
+    b = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
     cell = lambda c: F.floor(F.col(c) / F.lit(0.05))
     home = b.withColumns({"cx": cell("x"), "cy": cell("y")})
-    around = home.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(cx + i as cx, cy + j as cy))))")).alias("c")).select("id2", "x2", "y2", "c.cx", "c.cy")
-    hit = (F.col("id") < F.col("id2")) & (F.abs(F.col("x") - F.col("x2")) < F.lit(0.05).cast("float")) & (F.abs(F.col("y") - F.col("y2")) < F.lit(0.05).cast("float"))
-    return home.join(around, ["cx", "cy"]).where(hit).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    cells = F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(cx + i as cx, cy + j as cy))))")
+    around = home.select("label", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(cells).alias("c")).select("label", "id2", "x2", "y2", "c.cx", "c.cy")
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) < F.lit(0.05)
+    return home.join(around, ["label", "cx", "cy"]).where((F.col("id") < F.col("id2")) & close("x", "x2") & close("y", "y2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))

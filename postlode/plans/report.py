@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlode.functions import rules
 from postlode.functions import text as tx
 from postlode.operators import metrics as m
 from postlode.plans.market import SKILLS, WEEK, fact
@@ -60,14 +61,16 @@ def archive(spark, d):
     old = table(spark, d, "market_report").select("id", "report_json")
     old.write.parquet(path)
     body = market_report(spark, d).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "json"))))).alias("report_json"))
-    old.agg((F.max("id") + 1).alias("id")).crossJoin(body).write.mode("append").parquet(path)
+    last = old.agg(F.max("id")).first()[0] or 0
+    body.select(F.lit(last + 1).cast("bigint").alias("id"), "report_json").write.mode("append").parquet(path)
     return spark.read.parquet(path).agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("reports"))
 
 
 @query("ref_f28_search_plan", "SELECT role_title, city FROM role_titles CROSS JOIN (SELECT DISTINCT city FROM postcode_areas)")
 def search_plan(spark, d):
-    """Every role with every place: two short lists."""
-    return table(spark, d, "role_titles").select("role_title").crossJoin(table(spark, d, "postcode_areas").select("city").distinct())
+    """Every role with every place of a short list."""
+    cities = sorted({c for _, c in rules.area_list(table(spark, d, "postcode_areas"))})
+    return table(spark, d, "role_titles").select("role_title", F.explode(F.array(*[F.lit(c) for c in cities])).alias("city"))
 
 
 @query("ref_p26_metric_claims", "SELECT DISTINCT doc_id, len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '([0-9]{1,3})%', 1), lambda x: CAST(x AS INT)), lambda x: x > 50)) AS claims FROM documents")
