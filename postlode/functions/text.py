@@ -35,9 +35,13 @@ def shingle_text(company: Column, description: Column, chars: int = 200) -> Colu
 
 def word_shingles(c: Column, k: int = 4) -> Column:
     """Distinct k-word shingles of a squeezed text; the whole text if shorter, none if empty."""
-    w = F.split(c, " ")
-    n = F.when(c == "", F.lit(0)).otherwise(F.size(w))
-    # the words side by side with themselves shifted: a lambda that sliced them would split the text again for each shingle
+    return shingles_of(F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " ")), k)
+
+
+def shingles_of(w: Column, k: int = 4) -> Column:
+    """Distinct k-word shingles of an array of words. Give it a column: an expression would be evaluated many times."""
+    n = F.size(w)
+    # the words side by side with themselves shifted
     rows = F.arrays_zip(*[F.slice(w, F.lit(i + 1), F.greatest(n - k + 1, F.lit(0))).alias(f"w{i}") for i in range(k)])
     many = F.array_distinct(F.transform(rows, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
     return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(many)

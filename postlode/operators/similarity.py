@@ -23,9 +23,9 @@ def shingle_pairs(df: DataFrame, key: str, shingles: Column, threshold: float =
 
     Prefix filter: only the rarest n - ceil(t n) + 1 shingles of each row are joined, with the length filter in the join
     condition, and every pair is verified once. Equal sets are one class, so copies are joined as one."""
-    rows = df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(shingles)).alias("s")).where("size(s) > 0").withColumn("c", F.sha2(F.array_join("s", "\x1f"), 256))
-    # shingles are made once and read several times below
-    rows = cut(rows)
+    # shingles are made once and read several times below; written out before anything filters on them
+    made = cut(df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(shingles)).alias("s")))
+    rows = made.where("size(s) > 0").withColumn("c", F.sha2(F.array_join("s", "\x1f"), 256))
     classes = rows.groupBy("c").agg(F.first("s").alias("s"))
     exploded = classes.select("c", F.size("s").alias("n"), F.explode("s").alias("w"))
     frequency = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")

@@ -16,8 +16,15 @@ _SETS = f"""WITH r AS (SELECT DISTINCT job_id, list_filter(string_split({_TEXT},
     q AS (SELECT a, b, o / (na + nb - o) AS j FROM p WHERE o / (na + nb - o) >= 0.85)"""
 
 
+def _shingled(df):
+    """(..., s): shingles, with text and words as columns of their own so that each is computed once."""
+    t = df.withColumn("_t", tx.shingle_text(F.col("company"), F.col("description"))).drop("company", "description")
+    w = t.withColumn("_w", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", " ")))
+    return w.withColumn("s", tx.shingles_of(F.col("_w"))).drop("_t", "_w")
+
+
 def _rows(spark, d):
-    return table(spark, d, "raw_job").select("job_id", tx.word_shingles(tx.shingle_text(F.col("company"), F.col("description"))).alias("s")).distinct()
+    return _shingled(table(spark, d, "raw_job").select("job_id", "company", "description").dropDuplicates(["job_id"]))
 
 
 @query("ref_j05_shingle_pairs", _SETS + " SELECT a, b, round(j, 6) AS jaccard FROM q")
@@ -34,12 +41,9 @@ _H = "substr(sha256(" + " || '|' || ".join(f"regexp_replace(lower(coalesce({c},
     SELECT job_id FROM f WHERE job_id NOT IN (SELECT CASE WHEN x.o > y.o THEN a ELSE b END FROM q JOIN f x ON x.job_id = q.a JOIN f y ON y.job_id = q.b)""",
 )
 def keep_new(spark, d):
-    j = table(spark, d, "raw_job")
-    one = j.groupBy("job_id").agg(
-        F.struct(F.min("scraped_at").alias("a"), F.first("job_id").alias("b")).alias("o"), F.first(tx.dedup_hash(F.col("title"), F.col("company"), F.col("location"))).alias("h"),
-        F.first(tx.word_shingles(tx.shingle_text(F.col("company"), F.col("description")))).alias("s"),
-    )
-    return sim.keep_new(one, "job_id", "o", "h", F.col("s"))
+    h = tx.dedup_hash(F.col("title"), F.col("company"), F.col("location"))
+    one = table(spark, d, "raw_job").groupBy("job_id").agg(F.struct(F.min("scraped_at").alias("a"), F.first("job_id").alias("b")).alias("o"), F.first(h).alias("h"), F.first("company").alias("company"), F.first("description").alias("description"))
+    return sim.keep_new(_shingled(one), "job_id", "o", "h", F.col("s"))
 
 
 _TERMS = ("python", "data", "engineer", "data", "kafka")
