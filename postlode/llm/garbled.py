@@ -171,6 +171,8 @@ def _legacy(text: str) -> str:
     for read, meant in CONFUSED:
         western = read in ("cp1252", "mac_roman")
         shape, body = (_ACCENT_WORD, _ACCENT_RUN) if western else (_CYR_WORD, _CYR_RUN)
+        if not shape.search(text):
+            continue
         changed = False
         for i, piece in enumerate(pieces):
             gain, seen = 0.0, 0
