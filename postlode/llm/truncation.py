@@ -7,11 +7,12 @@ Poisson tail, with the false discovery rate of each source's lengths held at Q (
 Endings. A text is a row of units (sentences or lines), each closed by a stop, by an ellipsis or by nothing. How an
 opening (first two words) is normally closed is counted over all units of all texts, so "Apply now" or a list item is
 known to end without a stop, "Tools we like: ... and more..." with an ellipsis, and a sentence with a stop. The last
-unit is incomplete if it is closed otherwise than its opening is, or breaks off inside a word, tag or entity.
+unit is incomplete if it is closed otherwise than its opening is, or breaks off inside a word, tag or entity. Equal texts
+count once, and a text is judged by the others, so that copies of a cut text don't confirm its end.
 
 A text is cut off if its ending is incomplete, and the significant lengths say which cuts are field limits. A complete
 ending at a significant length stays complete: other texts end there too. All counts are aggregates with partial sums;
-texts are not shuffled, and only the last unit of each goes on.
+texts are not shuffled, only the opening, closing and last word of their units; the last unit of each goes on.
 
 Defined cases: NULL, blank and letterless descriptions are no case; a NULL source is a source of its own; repeated rows
 of one id give one row; NULL ids give none; an empty table gives no rows; extra columns are ignored.
@@ -26,8 +27,7 @@ from postlode.session import cut as cut_lineage
 
 NEIGHBOURS = 25
 Q = 0.001
-KNOWN = 5
-ENDINGS = 3
+SHARE = 0.1
 # Marks that only a cut leaves.
 MARK = r"(?i)(\[\s*(\.{2,}|…)?\s*\]?|\[\s*(con|more|read|trunc|\+)[^\]\s]*\s*\]?|\(\s*(more|cont)[a-z.]*\)?|read more|&[a-z#0-9]{0,8}|<[^<>]*)$"
 # Signs that may follow the last word of a unit.
@@ -41,9 +41,15 @@ def units(text: Column) -> Column:
     return F.filter(F.split(plain, r"(?<=[.!?])\s+|\n"), lambda u: F.length(F.trim(u)) > 0)
 
 
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is evaluated once a row, however often it is used: projections are not merged across."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def _opening(unit: Column) -> Column:
-    """First two words, digits as #."""
-    return F.substring_index(F.translate(F.lower(F.trim(unit)), "0123456789", "##########"), " ", 2)
+    """First two words, digits as #, without an ellipsis after them."""
+    two = F.substring_index(F.translate(F.lower(F.trim(unit)), "0123456789", "##########"), " ", 2)
+    return F.when(F.right(two, F.lit(1)).isin("…") | (F.right(two, F.lit(2)) == ".."), F.rtrim(two, F.lit(" .…"))).otherwise(two)
 
 
 def _last_word(unit: Column) -> Column:
@@ -79,35 +85,51 @@ def significant_lengths(df: DataFrame, text: str, source: str, q: float = Q) ->
 def endings(df: DataFrame, ids: str, text: str, source: str) -> DataFrame:
     """(id, source, length, cut, peak): every text with letters and whether it is cut off."""
     base = df.where(F.col(ids).isNotNull() & F.col(text).rlike(r"\w")).select(F.col(ids).alias("id"), F.col(source).alias("source"), F.col(text).alias("_t"))
-    every = base.select(F.explode(units(F.col("_t"))).alias("u")).select(_opening(F.col("u")).alias("opening"), _closing(F.col("u")).alias("closing"), _last_word(F.col("u")).alias("last"))
-    counted = cut_lineage(every.groupBy("opening", "closing", "last").agg(F.count(F.lit(1)).alias("n")))
+    base = _once(base, "_n", units(F.col("_t")))
+    parts = F.transform("_n", lambda u: F.struct(_opening(u).alias("opening"), _closing(u).alias("closing"), _last_word(u).alias("last")))
+    # equal texts count once, and every text once for each of its ways to open and close a unit; a text of a single unit
+    # counts once for each source, as a stub that several sources have is no cut
+    kinds = _once(base.select(F.xxhash64("_t").alias("h"), F.length("_t").alias("length"), "source", "_n"), "p", parts).where("size(p) > 0")
+    texts = kinds.groupBy("h", "length", F.when(F.size("p") == 1, F.col("source"))).agg(F.first("p").alias("p"))
+    every = texts.select(F.explode(F.array_distinct(F.concat(F.transform("p", lambda x: x.withField("end", F.lit(False))), F.array(F.element_at("p", -1).withField("end", F.lit(True)))))).alias("u")).select("u.*")
+    counted = cut_lineage(every.groupBy("opening", "closing", "last", "end").agg(F.count(F.lit(1)).alias("n")))
+    ends, counted = counted.where("end and closing = 'none'"), counted.where("not end")
     of = lambda c: F.sum(F.when(F.col("closing") == c, F.col("n")).otherwise(0))
     by_opening = counted.groupBy("opening").agg(F.sum("n").alias("all"), of("none").alias("none"), of("ellipsis").alias("ellipsis"))
     by_first = counted.groupBy(F.substring_index("opening", " ", 1).alias("first")).agg(F.sum("n").alias("all1"), of("none").alias("none1"))
     by_last = counted.where("closing = 'stop'").groupBy("last").agg(F.sum("n").alias("stopped"))
+    # known cuts: ends of texts without a stop where the opening has one
+    by_end = ends.join(by_opening, "opening").where(F.col("none") < 0.5 * F.col("all")).groupBy("last").agg(F.sum("n").alias("cuts"))
     by_pair = counted.where("closing = 'none'").groupBy("opening", "last").agg(F.sum("n").alias("alike"))
     # what a short unit may be the beginning of: the most frequent longer opening
     stems = by_opening.where("length(opening) between 2 and 40").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("opening") - 1), lambda i: F.substring("opening", F.lit(1), i))).alias("opening"), F.col("all").alias("longer"))
     by_stem = stems.groupBy("opening").agg(F.max("longer").alias("longer"))
-    tail = base.select("id", "source", F.length("_t").alias("length"), F.rtrim(F.right("_t", F.lit(40))).alias("_e"), units(F.col("_t")).alias("_n"))
-    tail = tail.select("id", "source", "length", "_e", F.try_element_at("_n", F.lit(-1)).alias("_u"), (F.size("_n") > 1).alias("more")).where("_u is not null")
+    tail = base.select("id", "source", F.length("_t").alias("length"), F.rtrim(F.right("_t", F.lit(40))).alias("_e"), "_n")
+    tail = tail.select("id", "source", "length", "_e", "_n", F.try_element_at("_n", F.lit(-1)).alias("_u"), (F.size("_n") > 1).alias("more")).where("_u is not null")
     tail = tail.select(
-        "id", "source", "length", "more", F.col("_e").rlike(MARK).alias("mark"), _opening(F.col("_u")).alias("opening"), _closing(F.col("_u")).alias("closing"), _last_word(F.col("_u")).alias("last"),
-        F.right(F.rtrim("_u"), F.lit(1)).isin(*",;:/&(£$[<–—-").alias("open_end"), (F.lower(F.trim("_u")) == _opening(F.col("_u"))).alias("short"), F.col("_e").rlike(r"(?i)</[a-z0-9]+>$").alias("closed"),
+        "id", "source", "length", "more", "_n", F.col("_e").rlike(MARK).alias("mark"), _opening(F.col("_u")).alias("opening"), _closing(F.col("_u")).alias("closing"), _last_word(F.col("_u")).alias("last"),
+        F.right(F.rtrim("_u"), F.lit(1)).isin(*",;:/&(£$[<–—-").alias("open_end"), (F.when(_closing(F.col("_u")) == "ellipsis", F.rtrim(F.lower(F.trim("_u")), F.lit(" .…"))).otherwise(F.lower(F.trim("_u"))) == _opening(F.col("_u"))).alias("short"), F.col("_e").rlike(r"(?i)</[a-z0-9]+>$").alias("closed"),
+    )
+    # a stop needs no counts; for the others, what the text itself has in the counts
+    done = tail.where("closing = 'stop'").drop("_n").distinct()
+    open_ = _once(tail.where("closing <> 'stop'"), "p", F.array_distinct(parts)).withColumn("first", F.substring_index("opening", " ", 1))
+    same, same1 = F.filter("p", lambda x: x["opening"] == F.col("opening")), F.filter("p", lambda x: F.substring_index(x["opening"], " ", 1) == F.col("first"))
+    closed_by = lambda xs, c: F.size(F.filter(xs, lambda x: x["closing"] == c))
+    open_ = _once(_once(open_, "same", same), "same1", same1).select(
+        *[c for c in tail.columns if c != "_n"], "first",
+        F.size("same").alias("own_all"), closed_by("same", "none").alias("own_none"), closed_by("same", "ellipsis").alias("own_ellipsis"), F.size("same1").alias("own_all1"), closed_by("same1", "none").alias("own_none1"),
+        F.size(F.filter("same", lambda x: (x["closing"] == "none") & (x["last"] == F.col("last")))).alias("own_alike"), F.size(F.filter("p", lambda x: (x["closing"] == "stop") & (x["last"] == F.col("last")))).alias("own_stopped"),
     ).distinct()
-    # a stop needs no counts
-    done, open_ = tail.where("closing = 'stop'"), tail.where("closing <> 'stop'")
-    seen = open_.withColumn("first", F.substring_index("opening", " ", 1)).join(by_opening, "opening", "left").join(by_pair, ["opening", "last"], "left").join(by_stem, "opening", "left").join(by_first, "first", "left").join(by_last, "last", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known, known1 = z("all") >= KNOWN, z("all1") >= KNOWN
-    # its last word ends sentences, or is how units of this opening usually end
-    usual_end = (z("stopped") >= ENDINGS) | ((z("alike") > 1) & (z("alike") >= 0.1 * z("none")))
-    begun = F.col("short") & F.col("more") & (z("longer") >= 2 * z("all"))
-    bare = (
-        F.when(begun, True).when(known & (z("none") < 0.5 * z("all")), True).when(known, ~usual_end)
-        .when(known1 & (z("none1") < 0.5 * z("all1")), True).otherwise(~usual_end)
-    )
-    dots = ~(known & (z("ellipsis") >= 0.5 * z("all")))
+    seen = open_.join(by_opening, "opening", "left").join(by_pair, ["opening", "last"], "left").join(by_stem, "opening", "left").join(by_first, "first", "left").join(by_last, "last", "left").join(by_end, "last", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)) - F.col(f"own_{c}")
+    # share of the opening's units without a stop; the fewer other texts have it, the more its first word's share counts
+    bare1 = (z("none1") + 0.5) / (z("all1") + 1)
+    bare_share, dots_share = (z("none") + bare1) / (z("all") + 1), z("ellipsis") / (z("all") + 1)
+    # its last word ends sentences at least as often as cut ones, or is how units of this opening usually end
+    usual_end = ((z("stopped") > 0) & (z("stopped") >= F.coalesce("cuts", F.lit(0)))) | ((z("alike") > 0) & (z("alike") >= SHARE * z("none")))
+    begun = F.col("short") & F.col("more") & (F.coalesce("longer", F.lit(0)) >= 2 * F.coalesce("all", F.lit(0)))
+    bare = F.when(begun, True).when(bare_share < 0.5, True).otherwise(~usual_end)
+    dots = begun | ~(dots_share >= 0.5)
     judged = seen.select("id", "source", "length", F.when(F.col("closed"), False).otherwise(F.col("mark") | F.when(F.col("open_end"), True).when(F.col("closing") == "ellipsis", dots).otherwise(bare)).alias("cut"))
     whole = judged.unionByName(done.select("id", "source", "length", (F.col("mark") & ~F.col("closed")).alias("cut")))
     lengths = significant_lengths(df.where(F.col(ids).isNotNull()), text, source).select(F.col("source").alias("s2"), F.col("length").alias("l2"), F.lit(True).alias("peak"))

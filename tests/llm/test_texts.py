@@ -170,6 +170,15 @@ def test_truncation_edges(spark):
     assert tr.endings(df.limit(0), "job_id", "description", "source").collect() == []
 
 
+def test_copies_of_a_cut_text_do_not_confirm_its_end(spark):
+    """Nor do they when they are a fifth of the table; a short stub that several sources have is complete."""
+    df, _ = truncated_table(spark)
+    hot = "We look after the ledger. Our clients rely on a portal every morning. Zebra crossings are painted by the"
+    rows = [(f"hot{i}", hot, ("limited", "open")[i % 2], "x", 3) for i in range(80)] + [(f"stub{i}", "Kindly phone us", f"s{i % 3}", "x", 3) for i in range(9)]
+    got = {r["id"]: r["cut"] for r in tr.endings(df.unionByName(spark.createDataFrame(rows, df.schema)), "job_id", "description", "source").collect()}
+    assert all(got[f"hot{i}"] for i in range(80)) and not any(got[f"stub{i}"] for i in range(9))
+
+
 # canonical values and names
 
 AREAS = [("QB", "Hollowmere"), ("VX", "Orm"), ("XV", "Stow-on-Marl"), ("QZ", "Saint Aldern"), ("VW", "Oldcastle Fen")]
