@@ -3,8 +3,9 @@
 Round-trip repair: characters are encoded again under a candidate legacy encoding and strictly decoded as the intended
 one, layer by layer, as long as a garbling cost drops. Text may be garbled in part only, so the candidates are the
 sequences that would be valid UTF-8 (one expression for each legacy encoding), words for one legacy encoding read as
-another, and control characters of the range 80-9F. What decodes to characters that no text here would hold (a rare
-script, a lone letter of another script) is left alone: that is how quotation marks next to accented letters look.
+another, and control characters of the range 80-9F. Three or four bytes that decode to an assigned character
+are taken as such. Of two bytes, what decodes to a rare script or a lone letter of another one is left alone, and so are
+letters with only marks or letters after them: that is how quotation marks next to accented letters look.
 
 Restored: the text after all layers. Not restorable: replacement characters (U+FFFD), whose bytes are gone.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from math import log
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,11 +66,15 @@ def _sequences(codec: str) -> re.Pattern[str]:
 _SEQ = {c: _sequences(c) for c in READ_AS}
 _LEAD = {c: frozenset(_HIGH[c][0x42:0x75]) for c in READ_AS}
 _TAIL = {c: frozenset(_HIGH[c][0x00:0x40]) for c in READ_AS}
-_LATIN = re.compile("[\u0020-\u007e\u00a0-\u017fƒˆ˜Ș-ț\u2010-\u2026‰′″‹›€№™\u2190-\u2193−✓ﬁﬂ]")
+_LATIN = re.compile("[\u0020-\u007e\u00a0-\u017fƠơƯưƒˆ˜Ș-ț\u2010-\u2026‰′″‹›€№™\u2190-\u2193−✓ﬁﬂ]")
 _CYRILLIC = re.compile("[ЁЄІЇА-яёєіїҐґ]")
 _CYR_LETTER = re.compile("[Ѐ-ӿ]")
 _GREEK = re.compile("[Ά-ώ]")
 _CONTROL = re.compile("[\x80-\x9f]")
+# Other scripts of two bytes: Armenian, Hebrew, Arabic, Syriac, Thaana.
+_EASTERN = re.compile("[\u0531-\u07b1]")
+# Marks of clean text that may follow an accented letter and look like the rest of a sequence of three or four bytes.
+_MARKS = frozenset("\xa0«»‘’“”‚„…–—•‹›¿¡°")
 _UPPER_THEN_MARK = re.compile("[A-ZÀ-Þ]Ã[’”…–—](?![A-Za-z])")
 _ACCENT_WORD = re.compile("[À-ÿ¸¨]{4,}")
 _CYR_WORD = re.compile("[Ѐ-џ]{4,}")
@@ -109,18 +115,33 @@ def _decode(run: str, codec: str) -> str | None:
         return None
 
 
+def _wide(c: str) -> bool:
+    """An assigned character of three or four bytes in UTF-8."""
+    return ord(c) >= 0x800 and category(c) not in ("Cn", "Co", "Cs")
+
+
 def _plausible(found: str) -> bool:
-    """Characters a text may hold; letters of other scripts only in company."""
-    latin = len(_LATIN.findall(found))
-    cyrillic, greek = len(_CYRILLIC.findall(found)), len(_GREEK.findall(found))
-    return latin + cyrillic + greek == len(found) and (not cyrillic or cyrillic > 1) and (not greek or greek > 2)
+    """Characters a text may hold: any assigned one of three or four bytes; of two bytes, letters of other scripts only in company."""
+    rest = "".join(c for c in found if not _wide(c))
+    latin, eastern = len(_LATIN.findall(rest)), len(_EASTERN.findall(rest))
+    cyrillic, greek = len(_CYRILLIC.findall(rest)), len(_GREEK.findall(rest))
+    return latin + cyrillic + greek + eastern == len(rest) and (not cyrillic or cyrillic > 1) and (not greek or greek > 2) and (not eastern or eastern > 2)
+
+
+def _unsure(run: str, got: str) -> bool:
+    """One letter and marks, or letters alone, as clean text may hold them, that decode to one character not in the list."""
+    return len(got) == 1 and _wide(got) and not _LATIN.match(got) and run[0].isalpha() and (all(c in _MARKS for c in run[1:]) or run.isalpha())
 
 
 def _utf8(text: str, codec: str) -> tuple[str, int]:
     hits = 0
     if not _SEQ[codec].search(text):
         return text, 0
-    company = sum(1 for r in _SEQ[codec].findall(text) if len(_CYRILLIC.findall(_decode(r, codec) or "")) > 1) > 1
+    runs = [(r, _decode(r, codec) or "") for r in _SEQ[codec].findall(text)]
+    company = sum(1 for _, g in runs if len(_CYRILLIC.findall(g)) > 1) > 1
+    eastern = sum(1 for _, g in runs if len(_EASTERN.findall(g)) > 1) > 1
+    # a sequence that clean text cannot look like lets the ambiguous ones be read likewise
+    sure = any(any(_wide(c) for c in g) and not _LATIN.fullmatch(g) and not _unsure(r, g) for r, g in runs)
     # real words of a Cyrillic text may look like sequences of bytes; without company all its letters must be such sequences
     real_words = codec in _CYRILLIC_READ and not company and _CYR_LETTER.search(_SEQ[codec].sub("", text)) is not None
 
@@ -138,11 +159,13 @@ def _utf8(text: str, codec: str) -> tuple[str, int]:
             # only a whole word can be taken for a sequence of bytes
             if _CYR_LETTER.match(text[m.start() - 1 : m.start()]) or _CYR_LETTER.match(text[m.end() : m.end() + 1]):
                 return run
+        if _unsure(run, got) and not sure:
+            return run
         if not _plausible(got):
             if _CONTROL.search(got):
                 if not all(_LATIN.match(c) or _CONTROL.match(c) for c in got):
                     return run
-            elif not (company and _CYRILLIC.fullmatch(got)):
+            elif not (company and _CYRILLIC.fullmatch(got)) and not (eastern and all(_EASTERN.match(c) or _wide(c) or _LATIN.match(c) for c in got)):
                 return run
         hits += len(run)
         return got

@@ -107,6 +107,18 @@ def test_round_trip(text, codec):
     assert gb.restore(bad)[0] == text
 
 
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman"])
+@pytest.mark.parametrize("text", ["Great team \u2605 apply", "\u25cf Python \u25aa SQL \u2714 done", "Join us \U0001f680 today", "日本語の求人", "Lương cao và hồ sơ tiếng Việt", "דרוש מפתח תוכנה", "مطلوب مهندس برمجيات في المدينة", "รับสมัครงาน"])
+def test_any_script_comes_back(text, codec):
+    bad = "".join(gb._HIGH[codec][b - 128] if b > 127 else chr(b) for b in text.encode())
+    assert gb.restore(bad)[0] == text
+
+
+@pytest.mark.parametrize("text", ["Il dit «\xa0voilà\xa0» et “un café”…", "On passe à\xa0«\xa0plus\xa0»", "“naïveté”…"])
+def test_marks_after_accents_are_left_alone(text):
+    assert gb.restore(text) == (text, 0)
+
+
 def test_nested_and_partial():
     text = "Send a résumé to the café. It’s “small”."
     bad = text
