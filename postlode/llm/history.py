@@ -5,9 +5,8 @@ run of WINDOW + k - 1 words shares one. The store keeps, in a written table, the
 fingerprint bucket, a Bloom filter for each bucket and the counts that fix the rare-first order. A batch goes through
 
 1. prescreening: fingerprints that the bucket's Bloom filter lacks, and that occur once in the batch, have no partner;
-2. look-up of the others in the store. Texts that agree share at least COVERAGE of the larger text's fingerprints, so by
-   the prefix principle only the rarest 1 - COVERAGE of each text's fingerprints need to be posted and looked up. Posting
-   lists are checked as in near_duplicates, with parity bitmaps of the whole shingle sets (exact bound, loses nothing);
+2. look-up of the others in the store. All winnowed fingerprints are posted: short texts that agree may share few of
+   them. Posting lists are checked as in near_duplicates, with parity bitmaps of the whole shingle sets (exact bound);
 3. verification of the shared coverage of each surviving pair on the whole shingle sets;
 4. resolution in order of arrival: a posting is a repeat if its hash or text agrees with an accepted one before it,
    else it is accepted. Whole rounds over classes of equal texts and hashes, until nothing changes;
@@ -41,7 +40,6 @@ from postlode.session import cut, shuffle_width
 
 U = np.uint64
 WINDOW = 4
-COVERAGE = (2, 5)
 SKETCH_BITS = 20
 SHORT_LIST = 48
 BLOCK = 256
@@ -101,8 +99,8 @@ class Summary:
 
 
 def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: list[Callable[[np.ndarray], np.ndarray]], side: int, keys: list[int], k: int, least_words: int) -> DataFrame:
-    """Packed rows as in near_duplicates: headers and rare-first prefixes of the fingerprints that pass a screen, and
-    memberships. Prefix lengths count all fingerprints of a text, those screened out included."""
+    """Packed rows as in near_duplicates: headers and, rare first, all fingerprints that pass a screen, and
+    memberships."""
     shared = share(df.sparkSession, (order, screens))
     n_buckets = len(keys)
 
@@ -125,7 +123,7 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: li
                 place = np.full(len(s), -1)
                 place[first] = np.arange(len(first)) + base
                 tok, doc, pos, nf = rare_first(f, table)
-                keep = (place[doc] >= 0) & (pos < nf - -((-COVERAGE[0] * nf) // COVERAGE[1]) + 1)
+                keep = place[doc] >= 0
                 if screen:
                     ok = np.zeros(len(tok), dtype=bool)
                     for test in screen:
@@ -229,8 +227,7 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf:
 
     def keep(i: np.ndarray, j: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
         """i, j: texts; p, q: positions of the shared fingerprint in their orders."""
-        need = -((-COVERAGE[0] * np.maximum(nf[i], nf[j])) // COVERAGE[1])
-        ok = (new[i] | new[j]) & (p <= nf[i] - need) & (q <= nf[j] - need) & (np.minimum(n[i], n[j]) * t.den >= np.maximum(n[i], n[j]) * t.num)
+        ok = (new[i] | new[j]) & (np.minimum(n[i], n[j]) * t.den >= np.maximum(n[i], n[j]) * t.num)
         i, j = i[ok], j[ok]
         if len(i):
             apart = np.bitwise_count(full[i] ^ full[j]).sum(axis=1, dtype=np.int64)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from datetime import datetime
 
 from postlode.llm import history as hs
@@ -73,6 +74,36 @@ def test_chains_and_hot_group(spark):
     assert sum(r["times_seen"] for r in after) == len(chain + hot + same_hash)
 
 
+def test_short_texts_that_share_few_fingerprints(spark):
+    """Of short texts that agree, some share under two fifths of the larger one's fingerprints."""
+    from postlode.llm.tokens import winnowed_sets
+
+    def prints(t):
+        (_, f), *_ = winnowed_sets([t], 3, 25, hs.WINDOW)
+        return set(f.flat.tolist())
+
+    rng = random.Random(5)
+    old, new = [], []
+    for k in range(20_000):
+        w = [f"a{k}x{i}" for i in range(rng.choice([30, 40, 50]))]
+        v = w[: rng.randint(len(w) * 3 // 5, len(w))]
+        for _ in range(rng.randint(0, 2)):
+            v[rng.randrange(len(v))] = "other"
+        a, b = " ".join(w), " ".join(v)
+        s, z = shingles(a), shingles(b)
+        if not z or 2 * len(s & z) < len(s | z):
+            continue
+        p, q = prints(a), prints(b)
+        if 5 * len(p & q) < 2 * max(len(p), len(q)):
+            # what both hold is in history twice, so it sorts behind what only one holds
+            old += [(f"old{k}", a), (f"same{k}", a)]
+            new.append((f"n{k:05}", f"title {k}", "firm", None, b))
+        if len(new) == 12:
+            break
+    assert len(new) > 3
+    check(spark, old, new)
+
+
 def test_store_carries_over_batches(spark):
     rows = texts(21, 120)
     new = [(f"n{k:03}", f"t{k}", "f", "l", t) for k, (_, t) in enumerate(rows)]
