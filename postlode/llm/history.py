@@ -39,10 +39,13 @@ from postlode.llm.tokens import mix, winnowed_sets
 from postlode.session import cut, shuffle_width
 
 U = np.uint64
-WINDOW = 4
+# 1: every shingle is a fingerprint, and links are exact. Larger windows keep 2/(WINDOW + 1) of them and may lose pairs
+# of short texts.
+WINDOW = 1
 SKETCH_BITS = 20
 SHORT_LIST = 48
 BLOCK = 256
+AGREE = Threshold(4, 5)
 _BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 BLANKS = f"^{_BLANK}|{_BLANK}$"
 
@@ -98,8 +101,8 @@ class Summary:
         return self.counts[(f & U(len(self.counts) - 1)).astype(np.int64)] > 1
 
 
-def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: list[Callable[[np.ndarray], np.ndarray]], side: int, keys: list[int], k: int, least_words: int) -> DataFrame:
-    """Packed rows as in near_duplicates: headers and, rare first, all fingerprints that pass a screen, and
+def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: list[Callable[[np.ndarray], np.ndarray]], side: int, keys: list[int], k: int, least_words: int, t: Threshold) -> DataFrame:
+    """Packed rows as in near_duplicates: headers, the fingerprints that a partner must share and that pass a screen, and
     memberships."""
     shared = share(df.sparkSession, (order, screens))
     n_buckets = len(keys)
@@ -124,6 +127,8 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: li
                 place[first] = np.arange(len(first)) + base
                 tok, doc, pos, nf = rare_first(f, table)
                 keep = place[doc] >= 0
+                if WINDOW == 1:
+                    keep &= pos < t.longest_prefix(nf)
                 if screen:
                     ok = np.zeros(len(tok), dtype=bool)
                     for test in screen:
@@ -228,6 +233,9 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf:
     def keep(i: np.ndarray, j: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
         """i, j: texts; p, q: positions of the shared fingerprint in their orders."""
         ok = (new[i] | new[j]) & (np.minimum(n[i], n[j]) * t.den >= np.maximum(n[i], n[j]) * t.num)
+        if WINDOW == 1:
+            need = t.needed(n[i], n[j])
+            ok &= (p <= n[i] - need) & (q <= n[j] - need)
         i, j = i[ok], j[ok]
         if len(i):
             apart = np.bitwise_count(full[i] ^ full[j]).sum(axis=1, dtype=np.int64)
@@ -263,10 +271,16 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf:
             hi = np.searchsorted(m, m[rows_[-1]] * t.den // t.num, "right")
             for y in range(lo, hi, 4 * BLOCK):
                 ye = min(y + 4 * BLOCK, hi)
-                hit = np.flatnonzero((left[x : x + BLOCK] @ right[y:ye].T >= width - 0.01).ravel())
+                r, c = np.arange(len(rows_)), np.arange(y, ye)
+                if WINDOW == 1:
+                    r = r[p[rows_] <= m[rows_] - t.needed(m[rows_], np.maximum(m[y], -(-m[rows_] * t.num // t.den)))]
+                    c = c[p[c] <= m[c] - t.needed(m[c], np.maximum(m[rows_[0]], -(-m[c] * t.num // t.den)))]
+                if not len(r) or not len(c):
+                    continue
+                hit = np.flatnonzero((left[x + r] @ right[c].T >= width - 0.01).ravel())
                 if not len(hit):
                     continue
-                i, j = rows_[hit // (ye - y)], y + hit % (ye - y)
+                i, j = rows_[r[hit // len(c)]], c[hit % len(c)]
                 ok = (i < j) | ~new[d[j]]
                 i, j = i[ok], j[ok]
                 keep(d[i], d[j], p[i], p[j])
@@ -285,22 +299,23 @@ class Store:
     keys: list[int]
     k: int
     least_words: int
+    t: Threshold
 
 
-def build(texts: DataFrame, ids: str, text: str, seen: DataFrame, k: int = 5, least_words: int = 5) -> Store:
+def build(texts: DataFrame, ids: str, text: str, seen: DataFrame, k: int = 5, least_words: int = 5, t: Threshold = AGREE) -> Store:
     """Store of the accepted texts. seen: (id, dedup_hash, first_seen_at, times_seen, last_seen_at)."""
     spark = texts.sparkSession
     summary = Summary(_summary(texts, text, k, least_words))
     keys = spread_keys(spark, max(2, shuffle_width(spark) // 2))
-    postings = _postings(texts, ids, text, summary.order(), [], 0, keys, k, least_words)
-    return Store(postings, summary, summary.order(), seen, keys, k, least_words)
+    postings = _postings(texts, ids, text, summary.order(), [], 0, keys, k, least_words, t)
+    return Store(postings, summary, summary.order(), seen, keys, k, least_words, t)
 
 
 def links(store: Store, history: DataFrame, batch: DataFrame, ids: str, text: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (kind, fp, id) with kind 1 for history and 2 for the batch; links (fa, fb, shared,
     total) between different classes of which one has a batch member. history: the texts behind the store."""
     mine = Summary(_summary(batch, text, store.k, store.least_words))
-    found = _postings(batch, ids, text, store.order, [store.summary.has, mine.often], 1, store.keys, store.k, store.least_words)
+    found = _postings(batch, ids, text, store.order, [store.summary.has, mine.often], 1, store.keys, store.k, store.least_words, t)
     packed = exchange(store.postings.unionByName(found), len(store.keys))
     both = cut(_candidates(packed, t))
     members = both.where("kind > 0").select("kind", F.col("fa").alias("fp"), "id").distinct()
@@ -360,7 +375,7 @@ def update(store: Store, batch: DataFrame, ids: str, text: str, resolved: DataFr
     added = Summary(_summary(texts, text, store.k, store.least_words))
     merged = Summary.__new__(Summary)
     merged.bits, merged.counts = store.summary.bits | added.bits, store.summary.counts + added.counts
-    postings = store.postings.unionByName(_postings(texts, ids, text, store.order, [], 0, store.keys, store.k, store.least_words))
+    postings = store.postings.unionByName(_postings(texts, ids, text, store.order, [], 0, store.keys, store.k, store.least_words, store.t))
     at = resolved.join(when, "id")
     again = at.where("repeats is not null").groupBy(F.col("repeats").alias("dedup_hash")).agg(F.count(F.lit(1)).alias("more"), F.max("at").alias("last"))
     fresh = at.where("repeats is null").select("id", F.col("hash").alias("dedup_hash"), F.col("at").alias("first_seen_at"), F.lit(1).alias("times_seen"), F.col("at").alias("last_seen_at"))
@@ -378,7 +393,7 @@ def incoming_against_seen(raw: DataFrame, seen: DataFrame, incoming: DataFrame,
     accepted = seen.where(F.col("dedup_hash").isNotNull()).select(F.col("job_id").alias("id"), "dedup_hash", "first_seen_at", "times_seen", "last_seen_at")
     history = raw.select(F.col("job_id").alias("id"), F.col("description").alias("text"))
     batch = incoming.where("job_id is not null").select(F.col("job_id").alias("id"), F.col("description").alias("text"), "seq", "scraped_at", dedup_hash(F.col("title"), F.col("company"), F.col("location")).alias("hash"))
-    store = build(history, "id", "text", accepted, k, least_words)
+    store = build(history, "id", "text", accepted, k, least_words, t)
     members, verified = links(store, history, batch, "id", "text", t)
     return store, batch, resolve(store, batch.select("id", "seq", "hash"), members, verified)
 

@@ -75,11 +75,11 @@ def test_chains_and_hot_group(spark):
 
 
 def test_short_texts_that_share_few_fingerprints(spark):
-    """Of short texts that agree, some share under two fifths of the larger one's fingerprints."""
+    """Of short texts that agree, some share under two fifths of the larger one's fingerprints of window 4."""
     from postlode.llm.tokens import winnowed_sets
 
     def prints(t):
-        (_, f), *_ = winnowed_sets([t], 3, 25, hs.WINDOW)
+        (_, f), *_ = winnowed_sets([t], 3, 25, 4)
         return set(f.flat.tolist())
 
     rng = random.Random(5)
