@@ -114,6 +114,37 @@ def test_any_script_comes_back(text, codec):
     assert gb.restore(bad)[0] == text
 
 
+def read_as_western(text, meant):
+    return "".join(gb._HIGH["cp1252"][b - 128] if b > 127 else chr(b) for b in text.encode(meant))
+
+
+@pytest.mark.parametrize(
+    ("meant", "text"),
+    [("cp1253", "Ελληνική γλώσσα και κείμενο για εργασία"), ("gb2312", "我们正在寻找一名软件工程师"), ("euc_kr", "한국어 문장을 잘못 읽었습니다"), ("euc_jp", "日本語の文章を間違えて読みました"),
+     ("cp1254", "Takım çalışmasına yatkın, iş deneyimi olan çalışanlar arıyoruz"), ("cp1250", "Hledáme zkušeného vývojáře, který má zájem o práci v týmu a umí řídit"), ("iso8859-2", "Poszukujemy osoby, która będzie odpowiedzialna za obsługę klientów"),
+     ("cp1251", "Ищем разработчика"), ("cp1255", "שלום לכולם אנחנו מחפשים"), ("cp1250", "Munkatársat keresünk, aki szívesen dolgozik velünk és jól tűri a terhelést, erős")],
+)
+def test_legacy_encodings_of_any_script(meant, text):
+    assert gb.restore(read_as_western(text, meant))[0] == text
+    assert gb.restore(text) == (text, 0)
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("text", ["The α level", "नमस्ते दुनिया आप कैसे हैं", "안녕하세요 세계", "こんにちは世界", "→ apply ✓ ★ ok", "Ελληνικά κείμενα", "İstanbul’da çalışma", "Příliš žluťoučký kůň"])
+def test_utf8_of_any_script(codec, text):
+    bad = "".join(gb._HIGH[codec][b - 128] if b > 127 else chr(b) for b in text.encode())
+    assert gb.restore(bad)[0] == text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Fróðlegt er að þýða íslenskan texta á önnur tungumál, það er gaman", "Blåbærgrød på fløde er godt til æbler", "Não há informação disponível, são João e irmão", "Crème brûlée à la carte, où êtes-vous, élève, naïve, Noël",
+     "Però è così, perché può, città, più, già", "Zażółć gęślą jaźń", "m² and m³ – 5 µm ± 2 ¼", "El niño comió piñas ¿qué? ¡sí!", "Türkçe çalışma ığdır", "Ünlü ÀÉÈ", "Їжак і її друзі прийшли", "Нова работа за програмист", "“«Été»” … – Žižkov café"],
+)
+def test_clean_text_of_other_languages(text):
+    assert gb.restore(text) == (text, 0)
+
+
 @pytest.mark.parametrize("text", ["Il dit «\xa0voilà\xa0» et “un café”…", "On passe à\xa0«\xa0plus\xa0»", "“naïveté”…"])
 def test_marks_after_accents_are_left_alone(text):
     assert gb.restore(text) == (text, 0)
