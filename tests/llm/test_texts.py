@@ -289,6 +289,41 @@ def test_names(spark):
     assert nm.variant_pairs([(df.limit(0), "company")]).collect() == []
 
 
+def test_short_and_brief_names(spark):
+    groups = [
+        ["ARM Ltd", "Arm Limited", "arm"], ["IBM", "IBM UK", "ibm ltd"], ["BT Group plc", "BT"], ["SAP UK", "SAP"], ["3M", "3M UK Ltd"], ["EY", "EY LLP"], ["Robert Hartwell Software", "R. Hartwell Software", "Bob Hartwell Software Ltd"],
+        ["William Hartwell Software", "W. Hartwell Software", "Hartwell Software"], ["Brozzthorpe Clumbeldale Engineering Ltd", "Brozzthorpe Clumb. Engineering", "Brozzthorpe Clumbleedale Engineering"], ["Old Flindbury Luvvermoor Health", "Flindbury Luvvermoor Health Ltd (FLH)"],
+    ]
+    rows = [(v, 1) for g in groups for v in g for _ in range(5 if v == g[0] else 1)] + [("William Hartwell Software", 1)] * 5
+    df = spark.createDataFrame(rows, "company string, root int")
+    got = {(r["value_a"], r["value_b"]) for r in nm.variant_pairs([(df, "company")]).collect()}
+    assert got == {(min(a, b), max(a, b)) for g in groups for a in g for b in g if a != b}
+
+
+def test_brief_cores_of_several_readings_are_not_linked(spark):
+    names = ["Flindbury Luvvermoor Health", "Flindbury Luvverdale Health", "Flindbury Luv. Health", "Flindbury Health"]
+    assert nm.variant_pairs([(spark.createDataFrame([(v,) for v in names], "company string"), "company")]).collect() == []
+
+
+def test_assignment_against_all_permutations():
+    from itertools import permutations
+
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 5)
+        m = rng.randint(n, 6)
+        cost = [[rng.choice([0.0, 0.5, 1.0, 1.8, 2.8]) for _ in range(m)] for _ in range(n)]
+        got = nm.assignment(cost)
+        assert len(set(got)) == n
+        assert abs(sum(cost[i][j] for i, j in enumerate(got)) - min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))) < 1e-9
+
+
+def test_lists_of_words_are_parameters(spark):
+    df = spark.createDataFrame([("Zorb Werke GmbH",), ("Zorb Werke AG",), ("Zorb Anlagen AG",)], "company string")
+    words = nm.Words(legal=frozenset({"gmbh", "ag"}), trades=("werke", "anlagen"))
+    assert [(r[0], r[1]) for r in nm.entities([(df, "company")], words).where("value like '%Werke%' and entity like '%Werke%'").orderBy("value").select("entity", "value").collect()] == [("Zorb Werke GmbH", "Zorb Werke AG"), ("Zorb Werke GmbH", "Zorb Werke GmbH")]
+
+
 # packing
 
 
