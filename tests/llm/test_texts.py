@@ -201,6 +201,9 @@ def test_truncation(spark):
     assert ("limited", 200) in lengths and all(s == "limited" for s, _ in lengths)
     got = {r["id"] for r in tr.endings(df, "job_id", "description", "source").where("cut").collect()}
     assert len(got & cut) >= 0.9 * len(cut) and len(got - cut) <= 0.03 * 400
+    # hazards tell field limits from cuts in transfer
+    kinds = {(r["source"], r["length"] == 200, r["kind"]) for r in tr.endings(df, "job_id", "description", "source").where("cut").collect()}
+    assert ("limited", True, "limit") in kinds and all((k == "limit") == (s == "limited" and at) for s, at, k in kinds)
     rates = {r["source"]: r["share"] for r in tr.by_source(tr.endings(df, "job_id", "description", "source")).collect()}
     assert rates["limited"] > 0.3 > rates["open"]
 
@@ -213,6 +216,22 @@ def test_truncation_edges(spark):
     assert tr.endings(df.limit(0), "job_id", "description", "source").collect() == []
 
 
+def test_hazard_of_a_length_is_counted_over_distinct_texts(spark):
+    """A stub that many rows share makes no length significant; a limit near the longest texts does."""
+    rng = random.Random(9)
+    rows = [(f"s{i}", "Please phone us about this post.", "a") for i in range(500)]
+    rows += [(f"t{i}", "".join(rng.choice("abcdef ") for _ in range(min(rng.randint(50, 400), 300))), "a") for i in range(900)]
+    df = spark.createDataFrame(rows, "job_id string, description string, source string")
+    found = {r["length"]: r for r in tr.significant_lengths(df, "description", "source").collect()}
+    assert set(found) == {300} and found[300]["at_risk"] == found[300]["n"] and found[300]["n"] > 20 * found[300]["expected"]
+
+
+def test_open_tag_longer_than_the_tail(spark):
+    rows = [("a", 'We look after the ledger. See <a href="https://example.org/' + "x" * 200, "s"), ("b", "Five < six. Done.", "s"), ("c", "<p>Whole.</p>", "s")]
+    got = {r["id"]: r["cut"] for r in tr.endings(spark.createDataFrame(rows, "job_id string, description string, source string"), "job_id", "description", "source").collect()}
+    assert got == {"a": True, "b": False, "c": False}
+
+
 def test_copies_of_a_cut_text_do_not_confirm_its_end(spark):
     """Nor do they when they are a fifth of the table; a short stub that several sources have is complete."""
     df, _ = truncated_table(spark)
