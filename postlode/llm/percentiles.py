@@ -1,53 +1,49 @@
 """Percentiles of very large numeric columns per group: exact order statistics by distributed multi-select, and a
 mergeable summary with a stated error bound.
 
-Multi-select. Every group and rank is a target with an open range of values that may still hold it. In each round every
-partition proposes, for each target, the median of its values in range with their number; the weighted median of the
-proposals is the pivot; one more pass counts below, at and above the pivot, and the side that cannot hold the rank is
-discarded. At least a quarter of the values in range go each round. What is left of a target when at most LIMIT values
-remain in range is sorted in one place. The error is zero: the result is the value of that rank.
+Multi-select. Every group and rank is a target with a range of values that may still hold it. In each round every
+partition proposes, for each target, the weighted median of its values in range with their number; the weighted median of
+the proposals is the pivot; the values below, at and above it are counted, and the side that cannot hold the rank is
+discarded. At least a quarter of the values in range go each round, mostly half. Targets with at most LIMIT different
+values in range are finished by a sort of those. The error is zero: the result is the value of that rank.
 
 Summary. Values fall into logarithmic buckets of relative width 2*ALPHA/(1-ALPHA); their counts per group and slice add
 up across slices, partitions or days, and any percentile read from them is within a relative ALPHA of the exact one
 (zeros are exact; negative values mirror). The summary of all slices also gives multi-select its first ranges, so only
 the buckets that hold a rank are ever looked at again.
 
-Only counts, medians and pivots travel; the driver holds one range per target, in blocks of at most BLOCK targets.
+Targets, ranges, pivots and results are tables, joined on the target; the driver sees only how many targets are left.
+Equal values in range are one row with their count, so ties and hot groups shrink before anything is shuffled. A table
+of targets is broadcast as long as it has at most BROADCAST rows; more are joined by a shuffle.
 
-Defined cases: NULL and NaN values are left out, a NULL group is a group of its own, groups without a value give no
-row; ties and repeated rows count as often as they occur; an empty table gives no rows; extra columns are ignored.
+Defined cases: NULL and NaN values are left out, infinite ones count as the largest and smallest; a NULL group is a group
+of its own, groups without a value give no row; ties and repeated rows count as often as they occur; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlode.llm.blobs import share
 from postlode.session import cut
 
 ALPHA = 0.01
-LIMIT = 1000
-BLOCK = 500_000
+LIMIT = 4
+BROADCAST = 500_000
 _GAMMA = (1 + ALPHA) / (1 - ALPHA)
 
 
 def bucket(x: Column) -> Column:
     """Number of the value's bucket, ascending with the value: sign times a shifted logarithm; 0 for zero."""
-    log = F.greatest(F.ceil(F.ln(F.abs(x)) / float(np.log(_GAMMA))), F.lit(-40000)) + 40001
+    log = F.greatest(F.ceil(F.least(F.ln(F.abs(x)) / float(np.log(_GAMMA)), F.lit(40000.0))), F.lit(-40000)) + 40001
     return F.when(x == 0, F.lit(0)).when(x > 0, log).otherwise(-log).cast("int")
 
 
-def _edge(b: np.ndarray | int) -> float:
-    """Upper edge of the magnitudes of a bucket number's absolute value."""
-    return float(_GAMMA ** (abs(int(b)) - 40001))
-
-
 def summary(df: DataFrame, group: list[Column], value: Column) -> DataFrame:
     """(g..., bucket, n): mergeable counts. Group columns are named by the caller's aliases."""
     x = df.select(*group, value.cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
@@ -62,8 +58,6 @@ def merge(parts: DataFrame, group: list[str]) -> DataFrame:
 
 def read_summary(merged: DataFrame, group: list[str], qs: tuple[float, ...]) -> DataFrame:
     """(group..., n, q, value) within a relative ALPHA of the value of rank ceil(q*n)."""
-    from pyspark.sql import Window
-
     up = merged.withColumns({"total": F.sum("n").over(Window.partitionBy(*group)), "upto": F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))})
     targets = up.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs])))
     hit = targets.where((F.col("upto") >= F.greatest(F.ceil(F.col("q") * F.col("total")), F.lit(1))) & (F.col("upto") - F.col("n") < F.greatest(F.ceil(F.col("q") * F.col("total")), F.lit(1))))
@@ -71,158 +65,84 @@ def read_summary(merged: DataFrame, group: list[str], qs: tuple[float, ...]) ->
     return hit.select(*group, F.col("total").alias("n"), "q", F.when(F.col("bucket") == 0, 0.0).when(F.col("bucket") > 0, magnitude).otherwise(-magnitude).alias("value"))
 
 
-class _Targets:
-    """Ranges of all targets: group number, rank within the range (0-based), open range (lo, hi)."""
-
-    def __init__(self, groups: list, g: np.ndarray, rank: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray):
-        self.number = {x: i for i, x in enumerate(groups)}
-        self.g, self.rank, self.lo, self.hi, self.n = g, rank, lo, hi, n
-        self.pivot = np.full(len(g), np.nan)
-        self.found = np.full(len(g), np.nan)
-        self.active = np.ones(len(g), dtype=bool)
-
-
-def _in_range(batches: Iterator[pa.RecordBatch], t: _Targets) -> Iterator[tuple[int, np.ndarray]]:
-    """(target, sorted values of this partition in its range) of the active targets."""
-    by_group: dict[int, list[np.ndarray]] = {}
-    for b in batches:
-        codes = b.column(0).dictionary_encode()
-        names = codes.dictionary.to_pylist()
-        index = codes.indices.to_numpy(zero_copy_only=False) if codes.null_count == 0 else np.where(codes.indices.is_null().to_numpy(zero_copy_only=False), -1, codes.indices.fill_null(0).to_numpy(zero_copy_only=False))
-        x = b.column(1).to_numpy(zero_copy_only=False)
-        for c in np.unique(index):
-            number = t.number.get(None if c < 0 else names[c])
-            if number is not None:
-                by_group.setdefault(number, []).append(x[index == c])
-    sorted_ = {g: np.sort(np.concatenate(v)) for g, v in by_group.items()}
-    for k in np.flatnonzero(t.active):
-        v = sorted_.get(int(t.g[k]))
-        if v is None:
-            continue
-        a, b2 = np.searchsorted(v, t.lo[k], "right"), np.searchsorted(v, t.hi[k], "left")
-        if b2 > a:
-            yield int(k), v[a:b2]
-
-
-def select_ranks(values: DataFrame, t: _Targets, limit: int = LIMIT) -> np.ndarray:
-    """Values of all targets. values: (g string, x double) without NULL x."""
-    spark = values.sparkSession
-
-    def mapped(schema: str, names: list[str], per: object) -> DataFrame:
-        shared = share(spark, t)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = [per(k, v, shared.value) for k, v in _in_range(batches, shared.value)]  # type: ignore[operator]
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 or names[i] in ("n", "below", "at") else pa.list_(pa.float64()) if names[i] == "v" else pa.float64()) for i, c in enumerate(cols)], names=names)
-
-        return values.mapInArrow(run, schema)
-
-    while True:
-        t.active &= (t.n > limit) & np.isnan(t.found)
-        if not t.active.any():
-            break
-        proposals = mapped("k bigint, m double, n bigint", ["k", "m", "n"], lambda k, v, _: (k, float(v[(len(v) - 1) // 2]), len(v)))
-        for r in proposals.groupBy("k").agg(F.percentile("m", F.lit(0.5), F.col("n")).alias("p")).collect():
-            t.pivot[r["k"]] = r["p"]
-        counts = mapped("k bigint, below bigint, at bigint, n bigint", ["k", "below", "at", "n"], lambda k, v, s: (k, int(np.searchsorted(v, s.pivot[k], "left")), int(np.searchsorted(v, s.pivot[k], "right") - np.searchsorted(v, s.pivot[k], "left")), len(v)))
-        for r in counts.groupBy("k").agg(F.sum("below").alias("below"), F.sum("at").alias("at"), F.sum("n").alias("n")).collect():
-            k, below, at, n = r["k"], r["below"], r["at"], r["n"]
-            if t.rank[k] < below:
-                t.hi[k], t.n[k] = t.pivot[k], below
-            elif t.rank[k] < below + at:
-                t.found[k] = t.pivot[k]
-            else:
-                t.lo[k], t.rank[k], t.n[k] = t.pivot[k], t.rank[k] - below - at, n - below - at
-    t.active = np.isnan(t.found)
-    if t.active.any():
-        rest = mapped("k bigint, v array<double>", ["k", "v"], lambda k, v, _: (k, v.tolist()))
-        # at most `limit` values a target
-        for r in rest.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("v"))).alias("v")).select("k", "v").toLocalIterator():
-            t.found[r["k"]] = r["v"][int(t.rank[r["k"]])]
-    return t.found
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
+def _local_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, m, w): of the rows (k, x, c) of one partition, each target's weighted median and its weight."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    k, x, c = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(3))
+    by = np.lexsort((x, k))
+    k, x, c = k[by], x[by], c[by]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    total = np.add.reduceat(c, first)
+    upto = np.cumsum(c)
+    before = upto[first] - c[first]
+    # the first row of each target at which half of its weight is reached
+    at = np.searchsorted(upto, before + (total + 1) // 2)
+    yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(x[at]), pa.array(total)], names=["k", "m", "w"])
+
+
+def select_ranks(values: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(k, value) of all targets. values: (k, x, c), the different values in range of each target and how often they
+    occur, written out; targets: (k, r), the 0-based rank of each among them."""
+    found: list[DataFrame] = []
+    state = cut(targets.join(values.groupBy("k").agg(F.count(F.lit(1)).alias("different")), "k"))
+    live, brief = values, F.col("different") <= max(limit, 0)
+    while left := state.where(~brief).count():
+        if limit > 0:
+            found.append(_sorted(live, state.where(brief)))
+        live = live.join(_small(state.where(~brief).select("k", "r"), left), "k")
+        pivots = live.select("k", "x", "c").mapInArrow(_local_medians, "k bigint, m double, w bigint").groupBy("k").agg(F.percentile("m", F.lit(0.5), F.col("w")).alias("p"))
+        beside = live.join(_small(pivots, left), "k")
+        below, at = (F.sum(F.when(x, F.col("c")).otherwise(0)) for x in (F.col("x") < F.col("p"), F.col("x") == F.col("p")))
+        after = cut(beside.groupBy("k").agg(F.first("r").alias("r"), F.first("p").alias("p"), below.alias("below"), at.alias("at")))
+        hit = (F.col("r") >= F.col("below")) & (F.col("r") < F.col("below") + F.col("at"))
+        found.append(after.where(hit).select("k", F.col("p").alias("value")))
+        lower = F.col("r") < F.col("below")
+        ranges = after.where(~hit).select("k", "p", lower.alias("lower"), F.when(lower, F.col("r")).otherwise(F.col("r") - F.col("below") - F.col("at")).alias("rank"))
+        inside = live.join(_small(ranges, left), "k").where(F.when(F.col("lower"), F.col("x") < F.col("p")).otherwise(F.col("x") > F.col("p")))
+        inside = cut(inside.select("k", "x", "c", "rank"))
+        state = cut(inside.groupBy("k").agg(F.first("rank").alias("r"), F.count(F.lit(1)).alias("different")))
+        live = inside.drop("rank")
+    if limit > 0:
+        found.append(_sorted(live, state))
+    if not found:
+        return state.select("k", F.lit(None).cast("double").alias("value"))
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    return whole
+
+
+def _sorted(values: DataFrame, state: DataFrame) -> DataFrame:
+    """(k, value) of the targets of `state`, which have few different values."""
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("x"))
+    short = values.join(state.select("k", "r"), "k").withColumn("upto", upto)
+    return short.where((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("c") <= F.col("r"))).select("k", F.col("x").alias("value"))
 
 
 def percentiles(df: DataFrame, group: Column, value: Column, qs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9), limit: int = LIMIT) -> DataFrame:
     """(g, n, q, value) with linear interpolation between the two exact order statistics around q*(n-1)."""
-    spark = df.sparkSession
     values = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and not isnan(x)")
+    # a NULL group needs a key to join on
+    values = values.select(F.coalesce(F.concat(F.lit("="), F.col("g")), F.lit("")).alias("g"), "x")
     counts = cut(summary(values, [F.col("g")], F.col("x")))
-    out: list[tuple] = []
     sizes = counts.groupBy("g").agg(F.sum("n").alias("n"))
-    per_block = max(1, BLOCK // (2 * len(qs)))
-    blocks = max(1, -(-sizes.count() // per_block))
-    for block in range(blocks):
-        here = F.pmod(F.xxhash64("g"), F.lit(blocks)) == block
-        table: dict[str | None, list[tuple[int, int]]] = {}
-        for r in counts.where(here).orderBy("g", "bucket").toLocalIterator():
-            table.setdefault(r["g"], []).append((r["bucket"], r["n"]))
-        groups = list(table)
-        want: list[tuple[int, int, float, float, int]] = []
-        spots: dict[tuple[int, int], int] = {}
-        asked: list[tuple[int, float, int, int, float, int]] = []
-        for i, g in enumerate(groups):
-            n = sum(c for _, c in table[g])
-            for q in qs:
-                at = q * (n - 1)
-                low = floor(at)
-                pair = []
-                for rank in (low, min(low + 1, n - 1)):
-                    if (i, rank) not in spots:
-                        below = 0
-                        for b, c in table[g]:
-                            if rank < below + c:
-                                break
-                            below += c
-                        # one bucket to each side, as edges round
-                        lo = -np.inf if not below else (_edge(b - 2) if b > 2 else -_edge(b - 1) * 1.0001 if b < 0 else -np.finfo(float).tiny if b == 0 else 0.0)
-                        hi = _edge(b) * 1.0001 if b > 0 else (np.finfo(float).tiny if b == 0 else -_edge(b + 2) if b < -2 else 0.0)
-                        spots[i, rank] = len(want)
-                        want.append((i, rank, lo, hi, n))
-                    pair.append(spots[i, rank])
-                asked.append((i, q, n, pair[0], at - low, pair[1]))
-        if not want:
-            continue
-        t, chosen = _narrowed(values.where(here), groups, want)
-        found = select_ranks(chosen, t, limit)
-        for i, q, n, a, part, b in asked:
-            lo, hi = found[a], found[b]
-            out.append((groups[i], n, q, float(lo + (hi - lo) * part)))
-    return spark.createDataFrame(out, "g string, n bigint, q double, value double")
-
-
-def _narrowed(values: DataFrame, groups: list, want: list[tuple]) -> tuple[_Targets, DataFrame]:
-    """Targets with exact counts below their first ranges, and the values that any range holds, written out once."""
-    g = np.array([w[0] for w in want])
-    t = _Targets(groups, g, np.array([w[1] for w in want], dtype=np.int64), np.array([w[2] for w in want]), np.array([w[3] for w in want]), np.array([w[4] for w in want], dtype=np.int64))
-    shared = share(values.sparkSession, t)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        wide = _Targets(list(s.number), s.g, s.rank, np.full(len(s.g), -np.inf), s.hi, s.n)
-        out = [(k, int(np.searchsorted(v, s.lo[k], "right")), len(v) - int(np.searchsorted(v, s.lo[k], "right"))) for k, v in _in_range(batches, wide)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k", "below", "n"])
-
-    for r in values.mapInArrow(count, "k bigint, below bigint, n bigint").groupBy("k").agg(F.sum("below").alias("b"), F.sum("n").alias("n")).collect():
-        t.rank[r["k"]] -= r["b"]
-        t.n[r["k"]] = r["n"]
-
-    shared2 = share(values.sparkSession, t)
-
-    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared2.value
-        spans: dict[int, list[tuple[float, float]]] = {}
-        for k in range(len(s.g)):
-            spans.setdefault(int(s.g[k]), []).append((s.lo[k], s.hi[k]))
-        for b in batches:
-            names, x = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            number = np.array([s.number.get(n, -1) for n in names])
-            keep = np.zeros(len(x), dtype=bool)
-            for i in np.unique(number):
-                at = np.flatnonzero(number == i)
-                for lo, hi in spans.get(int(i), ()):
-                    keep[at] |= (x[at] > lo) & (x[at] < hi)
-            yield b.filter(pa.array(keep))
-
-    return t, cut(values.mapInArrow(survivors, "g string, x double"))
+    asked = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("at", F.col("q") * (F.col("n") - 1))
+    asked = cut(asked.withColumn("low", F.floor("at")).select("g", "n", "q", "low", F.least(F.col("low") + 1, F.col("n") - 1).alias("high"), (F.col("at") - F.col("low")).alias("part")))
+    ranks = asked.select("g", F.explode(F.array("low", "high")).alias("rank")).groupBy("g").agg(F.collect_set("rank").alias("ranks"))
+    ladder = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("bucket")))
+    held = ladder.join(ranks, "g").select("g", "bucket", (F.col("upto") - F.col("n")).alias("below"), F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    targets = cut(held.select(F.monotonically_increasing_id().alias("k"), "g", "bucket", "rank", (F.col("rank") - F.col("below")).alias("r")))
+    many = targets.count()
+    inside = values.withColumn("bucket", bucket(F.col("x"))).join(_small(targets.select("g", "bucket", "k"), many), ["g", "bucket"])
+    found = select_ranks(cut(inside.groupBy("k", "x").agg(F.count(F.lit(1)).alias("c"))), targets.select("k", "r"), limit)
+    at = targets.join(found, "k").select("g", "rank", "value")
+    low, high = at.select("g", F.col("rank").alias("low"), F.col("value").alias("a")), at.select("g", F.col("rank").alias("high"), F.col("value").alias("b"))
+    both = asked.join(low, ["g", "low"]).join(high, ["g", "high"])
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
+    return both.select(F.when(F.col("g") != "", F.expr("substring(g, 2)")).alias("g"), "n", "q", between.alias("value"))
