@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 # The tokenizer's pattern for skill and ranking tokens.
 TOKEN = r"\b[a-z][a-z0-9+#.\-]{1,}\b"
-# Legal forms and trading names that a register's names are compared without.
-COMPANY_SUFFIX = r"\b(limited|ltd|llp|plc|inc|incorporated|corp|corporation|co|company|group|holdings|uk)\b"
-TRADING_AS = r"\b(t/a|trading as)\b.*$"
+# What a register's names are compared without; what follows a trading mark stays.
+COMPANY_SUFFIX = r"\b(limited|ltd|llp|plc|inc|incorporated|corp|corporation|t\s*/\s*a|trading\s+as)\b\.?"
 
 
 def strip(c: Column) -> Column:
@@ -57,10 +56,9 @@ def title_of_slug(c: Column) -> Column:
 
 
 def company_key(c: Column) -> Column:
-    """Company name without legal form, trading name and punctuation, for comparison with a register."""
-    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), TRADING_AS, "")
-    x = F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\s]", " "), COMPANY_SUFFIX, " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    """Company name without legal forms, trading marks and punctuation, for comparison with a register."""
+    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), COMPANY_SUFFIX, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def sheet_safe(c: Column) -> Column:

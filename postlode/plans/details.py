@@ -78,29 +78,6 @@ def thread_comments(spark, d):
     return ps.thread_comments(items, list(_KEYS)).select("seq")
 
 
-@query("ref_s29_ats_embed", "SELECT DISTINCT job_id, CASE length(title) % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' END AS platform FROM raw_job WHERE title IS NOT NULL")
-def ats_embed(spark, d):
-    n = F.length("title") % 3
-    page = F.when(n == 0, F.lit('<iframe src="https://boards.greenhouse.io/firm">')).when(n == 1, F.lit('<a href="https://jobs.lever.co/firm/1">')).otherwise(F.lit("<p>nothing</p>"))
-    return table(spark, d, "raw_job").where("title is not null").select("job_id", ps.ats_embed(page)["platform"].alias("platform")).distinct()
-
-
-@query("ref_s38_result_title", "SELECT DISTINCT job_id, trim(title) AS title FROM raw_job WHERE title IS NOT NULL AND NOT regexp_matches(title, '\\s[|\\-—–]\\s') AND company IS NOT NULL")
-def result_title(spark, d):
-    j = table(spark, d, "raw_job").where("title is not null and company is not null").where(~F.col("title").rlike(r"\s[|\-—–]\s"))
-    return j.select("job_id", ps.result_title(F.concat_ws(" | ", F.trim("title"), "company")).alias("title")).distinct()
-
-
-_SKIP = " AND ".join(f"NOT contains(host, '{x}')" for x in ps.NOT_COMPANIES)
-
-
-@query("ref_s35_funded_companies", f"SELECT DISTINCT host FROM (SELECT regexp_extract(replace(url, '.example', '.io'), '^https?://(?:www\\.)?([a-z0-9.-]+)', 1) AS host FROM raw_job WHERE url IS NOT NULL) WHERE {_SKIP}")
-def funded_companies(spark, d):
-    """Companies by the addresses in articles, here the postings' links under an ending that companies have."""
-    j = table(spark, d, "raw_job").where("url is not null").select(F.xxhash64("job_id").alias("article"), F.concat_ws(" ", F.lit("see"), F.replace(F.col("url"), F.lit(".example"), F.lit(".io"))).alias("text"))
-    return ps.funded_companies(j).select(F.col("domain").alias("host"))
-
-
 @query("ref_k06_append_scores", "SELECT job_id, 1 AS batch FROM job_analytics UNION ALL SELECT job_id, 2 FROM incoming_job")
 def append_scores(spark, d):
     return table(spark, d, "job_analytics").select("job_id", F.lit(1).alias("batch")).unionByName(table(spark, d, "incoming_job").select("job_id", F.lit(2).alias("batch")))

@@ -52,31 +52,6 @@ def ats_token(spark, d):
     return table(spark, d, "raw_job").where(F.col("url").rlike("/[a-z0-9-]+/")).select("job_id", F.coalesce(ps.ats_token(u, "lever"), F.lit("")).alias("token")).distinct()
 
 
-@query("ref_s28_json_ld", "SELECT DISTINCT title, company, coalesce(location, 'UK') AS location, url FROM raw_job WHERE title IS NOT NULL AND NOT contains(coalesce(title, '') || coalesce(company, '') || coalesce(location, ''), '<')")
-def json_ld(spark, d):
-    j = table(spark, d, "raw_job").where("title is not null").where(~F.contains(F.concat_ws("", "title", "company", "location"), F.lit("<"))).select("title", "company", "location", "url").distinct()
-    thing = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), "title", "url", F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.col("location").alias("addressLocality")).alias("address")).alias("jobLocation")))
-    pages = j.select("url", F.concat(F.lit('<html><script type="application/ld+json">'), thing, F.lit("</script></html>")).alias("html"))
-    return ps.json_ld(pages).select("title", "company", "location", "url").distinct()
-
-
-@query("ref_s21_amounts", "SELECT DISTINCT job_id, list_min(a) AS lowest, CASE WHEN len(a) >= 2 THEN list_max(a) END AS highest FROM (SELECT job_id, list_transform(regexp_extract_all(coalesce(description, ''), '£\\s?([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS a FROM raw_job)")
-def amounts(spark, d):
-    lo, hi = ps.amounts(F.coalesce("description", F.lit("")))
-    return table(spark, d, "raw_job").select("job_id", lo.alias("lowest"), hi.alias("highest")).distinct()
-
-
-_FLAT = "translate(coalesce({c}, '?'), '|' || chr(10), '/ ')"
-
-
-@query("ref_s23_first_line", f"SELECT DISTINCT job_id, trim({_FLAT.format(c='title')}) AS title, trim({_FLAT.format(c='company')}) AS company FROM raw_job")
-def first_line(spark, d):
-    """'company | title | place' of every posting, bars inside the parts as strokes."""
-    flat = lambda c: F.translate(F.coalesce(c, F.lit("?")), "|\n", "/ ")
-    title, company = ps.first_line(F.concat_ws(" | ", flat("company"), flat("title"), flat("location")))
-    return table(spark, d, "raw_job").select("job_id", title.alias("title"), company.alias("company")).distinct()
-
-
 @query("ref_s24_unix_date", "SELECT job_id, CAST(make_timestamp(CAST(floor(epoch(scraped_at)) AS BIGINT) * 1000000) AS DATE) AS day FROM job_analytics")
 def unix_date(spark, d):
     return table(spark, d, "job_analytics").select("job_id", ps.unix_date(F.unix_seconds("scraped_at")).alias("day"))
@@ -103,17 +78,6 @@ def title_of_slug(spark, d):
     return table(spark, d, "raw_job").select("job_id", titled(F.regexp_extract("url", r"//[^/]+/([a-z0-9-]+)", 1)).alias("name")).distinct()
 
 
-@query("ref_s30_s31_page_links")
-def page_links(spark, d):
-    """Pages made of the postings of a source: main text and links to postings."""
-    j = table(spark, d, "raw_job").where("title is not null and url is not null")
-    item = F.concat(F.lit('<a href="'), F.col("url"), F.lit('">'), F.regexp_replace("title", "[<>&]", " "), F.lit("</a>"))
-    pages = j.groupBy(F.regexp_extract("url", "^(https?://[^/]+)/", 1).alias("host"), F.pmod(F.xxhash64("job_id"), F.lit(997)).alias("page")).agg(F.array_join(F.array_sort(F.collect_set(item)), " ").alias("links"))
-    html = F.concat(F.lit("<html><nav>menu</nav><main>"), F.col("links"), F.lit("</main></html>"))
-    content = ps.page_content(pages.select(F.concat("host", F.lit("/page"), F.col("page").cast("string")).alias("url"), html.alias("html")))
-    return ps.job_links(content, ["engineer", "data"])
-
-
 @query("ref_f18_json_props", "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k FROM events")
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))

@@ -144,7 +144,11 @@ def _ascii(c: str):
     return F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", " ")
 
 
-@query("ref_f06_company_key", f"SELECT DISTINCT job_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_ASCII.format(c='company')}), '{tx.TRADING_AS}', ''), '[^a-z0-9\\s]', ' ', 'g'), '{tx.COMPANY_SUFFIX}', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM raw_job")
+@query(
+    "ref_f06_company_key",
+    f"""SELECT DISTINCT job_id, trim(regexp_replace(regexp_replace(regexp_replace(lower({_ASCII.format(c='company')}),
+    '\\b(limited|ltd|llp|plc|inc|incorporated|corp|corporation|t\\s*/\\s*a|trading\\s+as)\\b\\.?', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM raw_job""",
+)
 def company_key(spark, d):
     return table(spark, d, "raw_job").select("job_id", tx.company_key(_ascii("company")).alias("key")).distinct()
 

@@ -1,28 +1,32 @@
 """Postings from landed payloads of job boards, search results, ATS feeds, threads and pages.
 
 Network access is the caller's: responses are landed as text and parsed here. A payload that does not parse gives no
-row; `quarantine` lists those. JSON goes through from_json with a declared schema; HTML through the standard library's
-parser in Arrow batches.
+row; `quarantine` lists those. JSON goes through from_json with a declared schema; HTML pages are read in pages.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlparse
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlode.functions.text import strip, strip_html
+
 # Patterns of feeds and pages.
 ATS_TOKEN = {
     "greenhouse": r"(?:boards\.greenhouse\.io|boards-api\.greenhouse\.io/v1/boards)/([A-Za-z0-9_-]+)",
     "lever": r"(?:jobs\.lever\.co|api\.lever\.co/v0/postings)/([A-Za-z0-9_-]+)",
     "ashby": r"jobs\.ashbyhq\.com/([A-Za-z0-9_-]+)",
 }
-THREAD_TITLE = r"(?i)who is hiring"
-AMOUNT = r"£\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
+# Marks of feeds that a page embeds.
+ATS_EMBED = {
+    "greenhouse": r"boards\.greenhouse\.io/embed/job_board\?for=([a-zA-Z0-9_-]+)",
+    "lever": r"jobs\.lever\.co/([a-zA-Z0-9_-]+)",
+    "ashby": r"jobs\.ashbyhq\.com/([a-zA-Z0-9_-]+)",
+    "workable": r"([a-zA-Z0-9_-]+)\.workable\.com",
+}
+# Author and title of the monthly hiring thread.
+THREAD_AUTHOR = "whoishiring"
+THREAD_TITLE = r"(?i)who\s+is\s+hiring"
 SCRIPT_JSONLD = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
 ADZUNA = "struct<id:string,title:string,description:string,redirect_url:string,created:string,salary_min:double,salary_max:double,company:struct<display_name:string>,location:struct<display_name:string>>"
@@ -32,6 +36,9 @@ GREENHOUSE = "struct<id:string,title:string,absolute_url:string,content:string,l
 JSONLD = "struct<`@type`:string,title:string,description:string,url:string,datePosted:string,jobLocationType:string,hiringOrganization:struct<name:string>,jobLocation:struct<address:struct<addressLocality:string,addressRegion:string>>>"
 
 
+GOOGLE_JOBS = "struct<title:string,company_name:string,location:string,description:string,related_links:array<struct<link:string>>>"
+
+
 def surrogate(source: str, url: Column) -> Column:
     """Stable id from the address."""
     return F.concat(F.lit(f"{source}_"), F.substring(F.sha2(url, 256), 1, 8))
@@ -79,9 +86,9 @@ def ats_token(url: Column, platform: str) -> Column:
 
 
 def ats_embed(html: Column) -> Column:
-    """The first of the known feeds that a page embeds: platform and token."""
-    found = [F.when(html.rlike(p), F.struct(F.lit(k).alias("platform"), F.regexp_extract(html, p, 1).alias("token"))) for k, p in ATS_TOKEN.items()]
-    return F.coalesce(*found)
+    """All feeds that a page embeds, as an array of (platform, token), the first token of each."""
+    found = [F.struct(F.lit(k).alias("platform"), F.nullif(F.regexp_extract(html, p, 1), F.lit("")).alias("token")) for k, p in ATS_EMBED.items()]
+    return F.filter(F.array(*found), lambda x: x["token"].isNotNull())
 
 
 def search_result(results: DataFrame, domain: str, source: str) -> DataFrame:
@@ -90,14 +97,35 @@ def search_result(results: DataFrame, domain: str, source: str) -> DataFrame:
     return results.where(F.contains("url", F.lit(domain))).select(surrogate(source, F.col("url")).alias("job_id"), "title", F.nullif(F.initcap(F.regexp_replace(slug, "[-_]+", " ")), F.lit("")).alias("company"), F.col("content").alias("description"), "url")
 
 
-def json_ld(pages: DataFrame, html: str = "html") -> DataFrame:
-    """JobPosting objects of a page's JSON-LD scripts, single or in lists; locality before region, remote by its type."""
+def json_ld(pages: DataFrame, html: str = "html", most: int = 8000) -> DataFrame:
+    """JobPosting objects of a page's JSON-LD scripts, single or in lists. Place: locality before region of the address,
+    else UK; an object whose jobLocation is a list counts as remote if its type says so."""
     blocks = pages.select("url", F.explode(F.regexp_extract_all(html, F.lit(SCRIPT_JSONLD), F.lit(1))).alias("b"))
-    body = F.when(F.ltrim("b").startswith("["), F.from_json("b", f"array<{JSONLD}>")).otherwise(F.array(F.from_json("b", JSONLD)))
-    p = blocks.select(F.col("url").alias("page"), F.explode(body).alias("p")).where("p.`@type` = 'JobPosting' and p.title is not null")
-    where = F.when(F.upper("p.jobLocationType") == "TELECOMMUTE", "Remote (UK)").otherwise(F.coalesce("p.jobLocation.address.addressLocality", "p.jobLocation.address.addressRegion", F.lit("UK")))
-    url = F.coalesce("p.url", "page")
-    return p.select(surrogate("career_pages", F.concat(url, F.lit("#"), F.col("p.title"))).alias("job_id"), "p.title", F.col("p.hiringOrganization.name").alias("company"), where.alias("location"), "p.description", url.alias("url"), F.to_date(F.try_to_timestamp("p.datePosted")).alias("posted_date"))
+    items = F.when(F.ltrim("b").startswith("["), F.from_json("b", "array<string>")).otherwise(F.array("b"))
+    raw = blocks.select(F.col("url").alias("page"), F.explode(items).alias("b"))
+    p = raw.select("page", F.from_json("b", JSONLD).alias("p"), F.coalesce(F.get_json_object("b", "$.jobLocation"), F.lit("{}")).alias("l"))
+    p = p.where(F.col("p.`@type`").isin("JobPosting", "jobPosting") & (F.coalesce("p.title", F.lit("")) != ""))
+    part = lambda k: F.nullif(F.get_json_object("l", f"$.address.{k}"), F.lit(""))
+    remote = F.when(F.col("p.jobLocationType") == "TELECOMMUTE", "Remote (UK)").otherwise("UK")
+    where = F.when(F.col("l").startswith("{"), F.coalesce(part("addressLocality"), part("addressRegion"), F.lit("UK"))).otherwise(remote)
+    text = F.substring(strip_html(F.coalesce("p.description", F.lit(""))), 1, most)
+    return p.select(
+        "page", surrogate("cp", F.concat("page", F.col("p.title"))).alias("job_id"), "p.title", F.col("p.hiringOrganization.name").alias("company"), where.alias("location"), text.alias("description"),
+        F.coalesce("p.url", "page").alias("url"), F.to_date(F.try_to_timestamp("p.datePosted")).alias("posted_date"),
+    )
+
+
+def google_jobs(payloads: DataFrame, body: str = "payload", most: int = 8000) -> DataFrame:
+    """Postings of a job search payload; the address is that of the first related link."""
+    p = payloads.select(F.explode(F.from_json(F.get_json_object(body, "$.jobs_results"), f"array<{GOOGLE_JOBS}>")).alias("p"))
+    url = F.coalesce(F.try_element_at("p.related_links", F.lit(1))["link"], F.lit(""))
+    return p.select(surrogate("indeed", F.concat_ws("|", "p.title", "p.company_name", url)).alias("job_id"), "p.title", F.col("p.company_name").alias("company"), "p.location", F.substring(F.coalesce("p.description", F.lit("")), 1, most).alias("description"), url.alias("url"))
+
+
+def hiring_thread(stories: DataFrame) -> DataFrame:
+    """(id): the latest story of the thread's author and title. stories: (id, author, title, created)."""
+    mine = stories.where((F.col("author") == THREAD_AUTHOR) & F.coalesce("title", F.lit("")).rlike(THREAD_TITLE))
+    return mine.agg(F.max(F.struct("created", "id")).alias("m")).where("m is not null").select("m.id")
 
 
 def thread_comments(items: DataFrame, keywords: list[str], most: int = 500) -> DataFrame:
@@ -108,13 +136,16 @@ def thread_comments(items: DataFrame, keywords: list[str], most: int = 500) -> D
 
 
 def first_line(text: Column) -> tuple[Column, Column]:
-    """(title, company) of a comment's first line: 'company | title | ...', 'company - title', or a short line for both."""
-    line = F.trim(F.element_at(F.split(F.coalesce(text, F.lit("")), "\n"), 1))
-    parts = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
-    dash = r"^(.{2,60}?)\s+(?:-|–|—)\s+(.{3,80})$"
-    short = (F.length(line) <= 60) & ~line.contains("?") & (line != "")
-    title = F.when(F.size(parts) >= 2, parts[1]).when(line.rlike(dash), F.regexp_extract(line, dash, 2)).when(short, line).otherwise("")
-    company = F.when(F.size(parts) >= 2, parts[0]).when(line.rlike(dash), F.regexp_extract(line, dash, 1)).when(short, line).otherwise("")
+    """(title, company) of a comment's first line: 'company | title | ...', 'company - title' or 'company (title)', or a
+    line of 5 to 200 letters without a question mark for both."""
+    line = strip(F.element_at(F.split(F.coalesce(text, F.lit("")), "\n"), 1))
+    parts = F.filter(F.split(line, r"\s*\|\s*"), lambda x: x != "")
+    # Fixed value: company, then a dash or bracket, then the title.
+    dash = r"^([^\-(:]{2,80}?)\s*[-(]\s*(.{2,150}?)\)?\s*$"
+    whole = F.when(F.length(line).between(5, 200) & ~F.contains(line, F.lit("?")), line).otherwise("")
+    piped = F.contains(line, F.lit("|")) & (F.size(parts) >= 2)
+    title = F.when(piped, strip(F.try_element_at(parts, F.lit(2)))).when(line.rlike(dash), strip(F.regexp_extract(line, dash, 2))).otherwise(whole)
+    company = F.when(piped, strip(F.try_element_at(parts, F.lit(1)))).when(line.rlike(dash), strip(F.regexp_extract(line, dash, 1))).otherwise(whole)
     return title, company
 
 
@@ -122,15 +153,27 @@ def unix_date(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds))
 
 
-def amounts(text: Column) -> tuple[Column, Column]:
-    """(lowest, highest) pound amount; a single one has no upper bound."""
-    all_ = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
-    return F.array_min(all_), F.when(F.size(all_) >= 2, F.array_max(all_))
+def result_title(title: Column) -> Column:
+    """Part of a search result's title before the first separator; the whole title if that is under five letters."""
+    first = strip(F.element_at(F.split(strip(title), r"\s*[|\-—]\s*"), 1))
+    return F.when(F.length(first) < 5, strip(title)).otherwise(first)
 
 
-def result_title(title: Column) -> Column:
-    """Part of a search result's title before the first separator."""
-    return F.trim(F.element_at(F.split(title, r"\s[|\-—–]\s"), 1))
+def result_company(title: Column, agency: str) -> Column:
+    """Company of a search result's title: after 'at', else its second part unless that is the agency."""
+    at = F.regexp_extract(title, r"\bat\s+([A-Z][A-Za-z0-9\s&]+?)(?:\s*[|\-]|$)", 1)
+    second = strip(F.coalesce(F.try_element_at(F.split(title, r"\s*[|\-—]\s*"), F.lit(2)), F.lit("")))
+    return F.when(at != "", strip(at)).when((F.lower(second) != agency.lower()) & (F.length(second) > 2), second).otherwise(f"Via {agency}")
+
+
+def recruiter_results(results: DataFrame, agency: str, most: int = 8000) -> DataFrame:
+    """Postings from an agency's search results (title, url, content): place and pay as the content names them first."""
+    r = results.select(strip("title").alias("t"), "url", F.coalesce("content", F.lit("")).alias("c")).where("t <> '' and url <> ''")
+    # Places and the form of pay.
+    place = F.regexp_extract("c", r"(?i)\b(London|Manchester|Edinburgh|Remote|Hybrid|UK\s+Remote)\b", 1)
+    pay = F.regexp_extract("c", r"(?i)£[\d,]+(?:\s*[-–]\s*£[\d,]+)?(?:\s*(?:per\s+annum|pa|k))?", 0)
+    text = F.when(pay != "", F.concat(F.lit("Salary: "), pay, F.lit("\n\n"), F.col("c"))).otherwise(F.col("c"))
+    return r.select(surrogate("rec", F.col("url")).alias("job_id"), result_title(F.col("t")).alias("title"), result_company(F.col("t"), agency).alias("company"), F.when(place == "", "London, UK").otherwise(place).alias("location"), F.substring(text, 1, most).alias("description"), "url")
 
 
 def register_csv(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -144,89 +187,26 @@ def register_csv(lines: DataFrame, column: str = "value") -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(F.struct("name", "town", "route"), "line").alias("r")).select("key", "r.*")
 
 
-class _Page(HTMLParser):
-    """Links and main text of a page."""
-
-    DROP = frozenset(["nav", "header", "footer", "aside", "script", "style"])
-    MAIN = frozenset(["main", "article", "section"])
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.drop = self.main = 0
-        self.links: list[tuple[str, str]] = []
-        self.href: str | None = None
-        self.label: list[str] = []
-        self.inner: list[str] = []
-        self.outer: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.drop += tag in self.DROP
-        self.main += tag in self.MAIN
-        if tag == "a":
-            self.href, self.label = dict(attrs).get("href"), []
-
-    def handle_endtag(self, tag: str) -> None:
-        self.drop -= tag in self.DROP and self.drop > 0
-        self.main -= tag in self.MAIN and self.main > 0
-        if tag == "a" and self.href:
-            self.links.append((self.href, " ".join("".join(self.label).split())))
-            self.href = None
-
-    def handle_data(self, data: str) -> None:
-        if self.href is not None:
-            self.label.append(data)
-        if not self.drop:
-            self.outer.append(data)
-            if self.main:
-                self.inner.append(data)
-
-
-def page_content(pages: DataFrame, most: int = 8000) -> DataFrame:
-    """(url, content, links): main text without navigation, else the body's; links as (href, text), resolved."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for url, html in zip(b["url"], b["html"], strict=True):
-                p = _Page()
-                p.feed(html or "")
-                inner, outer = (" ".join(" ".join(x).split()) for x in (p.inner, p.outer))
-                out.append((url, (inner if len(inner) > 80 else outer)[:most], [{"href": urljoin(url or "", h), "text": t} for h, t in p.links]))
-            yield pd.DataFrame(out, columns=["url", "content", "links"])
-
-    return pages.select("url", "html").mapInPandas(run, "url string, content string, links array<struct<href:string,text:string>>")
-
-
-def job_links(content: DataFrame, keywords: list[str], most: int = 30) -> DataFrame:
-    """Links of a page that lead to postings: text of 5 to 120 letters, same host or a known feed, a keyword, each address
-    once, at most `most` a page."""
-    from pyspark.sql import Window
-
-    host = lambda c: F.coalesce(F.try_parse_url(c, F.lit("HOST")), F.lit(""))
-    l = content.select("url", F.posexplode("links").alias("at", "l")).select("url", "at", "l.href", "l.text").where("length(text) between 5 and 120")  # noqa: E741
-    known = (host(F.col("href")) == host(F.col("url"))) | F.col("href").rlike("|".join(ATS_TOKEN.values()))
-    word = F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower(F.concat_ws(" ", "text", "href")), k))
-    once = l.where(known & word).groupBy("url", "href").agg(F.min_by("text", "at").alias("text"), F.min("at").alias("at"))
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("at"))).where(F.col("r") <= most).select("url", "href", "text")
-
-
 # Hosts that a funding article links to without naming a company, and endings of company hosts.
-NOT_COMPANIES = ("techcrunch", "crunchbase", "linkedin", "twitter", "facebook", "youtube", "google", "medium", "wikipedia", "bloomberg")
-COMPANY_TLDS = ("com", "io", "ai", "co", "co.uk", "uk", "dev", "tech")
+NOT_COMPANIES = (
+    "techcrunch.com", "sifted.eu", "twitter.com", "x.com", "linkedin.com",
+    "crunchbase.com", "bloomberg.com", "reuters.com", "ft.com",
+    "theguardian.com", "bbc.co.uk", "google.com", "youtube.com",
+    "facebook.com", "instagram.com", "medium.com", "substack.com",
+    "github.com", "notion.so", "docs.google.com", "angel.co",
+    "wellfound.com", "glassdoor.com", "indeed.com", "adzuna.co.uk",
+    "pitchbook.com", "beauhurst.com", "businessinsider.com",
+)
+COMPANY_ENDING = r"\.(ai|io|co\.uk|com)$"
 
 
 def funded_companies(articles: DataFrame, text: str = "text", most: int = 4) -> DataFrame:
-    """(domain, name, article): companies by their addresses in articles; the first article of each domain, at most `most` each."""
-    from pyspark.sql import Window
-
-    found = articles.select("article", F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"https?://(?:www\.)?([a-z0-9-]+(?:\.[a-z0-9-]+)+)"), F.lit(1))).alias("at", "domain"))
-    label, ending = F.regexp_extract("domain", r"^([^.]+)", 1), F.regexp_extract("domain", r"^[^.]+\.(.+)$", 1)
-    ok = ~F.exists(F.array(*[F.lit(x) for x in NOT_COMPANIES]), lambda x: F.contains(F.col("domain"), x)) & ending.isin(*COMPANY_TLDS) & (F.length(label) > 2)
-    per = found.where(ok).groupBy("article", "domain").agg(F.min("at").alias("at"))
-    capped = per.withColumn("r", F.row_number().over(Window.partitionBy("article").orderBy("at"))).where(F.col("r") <= most)
-    first = capped.groupBy("domain").agg(F.min("article").alias("article"))
-    return first.select("domain", F.initcap(F.regexp_replace(label, "-", " ")).alias("name"), "article")
-
-
-def host(url: str) -> str:
-    return urlparse(url).netloc
+    """(domain, name, article): companies by their addresses in articles; the first article of each domain. An article
+    names at most `most`, repeated ones counted."""
+    links = F.regexp_extract_all(F.lower(text), F.lit(r"https?://(?:www\.)?([a-z0-9.\-]+)"), F.lit(1))
+    plain = F.transform(links, lambda x: F.regexp_replace(x, r"^\.+|\.+$", ""))
+    skip = F.array(*[F.lit(x) for x in NOT_COMPANIES])
+    ok = lambda x: ~F.exists(skip, lambda k: F.contains(x, k)) & x.rlike(COMPANY_ENDING) & (F.length(F.substring_index(x, ".", 1)) > 2)
+    found = articles.select("article", F.explode(F.slice(F.filter(plain, ok), 1, most)).alias("domain"))
+    first = found.groupBy("domain").agg(F.min("article").alias("article"))
+    return first.select("domain", F.initcap(F.replace(F.substring_index("domain", ".", 1), F.lit("-"), F.lit(" "))).alias("name"), "article")
