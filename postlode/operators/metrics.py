@@ -195,3 +195,12 @@ def funnel(runs: DataFrame, n: int = 10) -> DataFrame:
 def funnel_averages(runs: DataFrame, n: int = 10) -> DataFrame:
     f = funnel(runs, n)
     return f.agg(F.count(F.lit(1)).alias("n_runs"), *[F.bround(F.avg(c), 1).alias(c) for c in f.columns if c != "run_id"])
+
+
+def ranked(counts: DataFrame, most: int | None) -> DataFrame:
+    """(r, k, n): counts (k, n) numbered from the most frequent; the first `most`, found before they are numbered, or all
+    of a short list."""
+    from pyspark.sql import Window
+
+    top = counts.orderBy(F.desc("n"), "k").limit(most) if most else counts
+    return top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "k")))

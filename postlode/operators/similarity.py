@@ -125,19 +125,36 @@ def token_sort_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.mapInPandas(run, pairs.schema.simpleString()[7:-1] + ",ratio:double")
 
 
+def _grams(c: str) -> Column:
+    """Distinct pairs of neighbouring letters of a name with its words sorted."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+
+
 def register_match(names: DataFrame, name: str, register: DataFrame, entry: str, cutoff: float = NAME_RATIO) -> DataFrame:
     """(name, licensed): names equal to a register entry after normalising, or with a token-sort ratio of the cutoff.
 
-    The fuzzy step runs over distinct unmatched names that share a word of three letters or its beginning with an entry
-    and are long enough for the cutoff to be possible."""
+    The fuzzy step is exact. A ratio of the cutoff leaves at most d = (1 - cutoff/100) * (both lengths) insertions and
+    deletions, and each of them removes at most two letter pairs; so of two such names, the 2d + 1 rarest letter pairs of
+    each hold the rarest one they share (prefix filter). Names of so few pairs that they might share none meet by a mark.
+    Candidates must pass the length bound and the built-in edit distance, which is never above d, before they are aligned."""
     n = names.select(F.col(name).alias("name")).distinct().select("name", tx.company_key(F.col("name")).alias("key"))
     e = register.select(tx.company_key(F.col(entry)).alias("key")).where("key <> ''").distinct()
     exact = n.where("key <> ''").join(e, "key", "left_semi").select("name")
-    rest = n.where("key <> ''").join(e, "key", "left_anti").select(F.col("key").alias("k")).distinct()
-    block = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 3)))
-    lens = F.least(F.length("k"), F.length("r")) / F.greatest(F.length("k"), F.length("r")) >= cutoff / (200 - cutoff)
-    met = rest.select("k", F.explode(block(F.col("k"))).alias("b")).join(e.select(F.col("key").alias("r"), F.explode(block(F.col("key"))).alias("b")), "b").where(lens).select("k", "r").distinct()
+    by_words = F.array_join(F.array_sort(F.filter(F.split("key", " "), lambda w: w != "")), " ")
+    rest = n.where("key <> ''").join(e, "key", "left_anti").select(by_words.alias("k")).distinct()
+    entries = e.select(by_words.alias("k")).distinct()
+    slack = 1 - cutoff / 100
+    # most edits with any partner that the length bound admits
+    edits = F.floor(F.length("k") * F.lit(slack * (1 + (1 + slack) / (1 - slack))))
+    both = rest.select("k", F.lit(True).alias("mine")).unionByName(entries.select("k", F.lit(False).alias("mine"))).select("k", "mine", edits.alias("d"), _grams("k").alias("gs"))
+    pairs = both.select("k", "mine", "d", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+    often = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = pairs.join(often, "g").groupBy("k", "mine", "d", "size").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
+    keys = F.concat(F.transform(F.slice("r", F.lit(1), (2 * F.col("d") + 1).cast("int")), lambda x: x["g"]), F.when(F.col("size") <= 4 * F.col("d"), F.array(F.lit("few"))).otherwise(F.array().cast("array<string>")))
+    posted = ranked.select("k", "mine", F.explode(keys).alias("g"))
+    most = slack * (F.length("k") + F.length("r"))
+    met = posted.where("mine").select("k", "g").join(posted.where("not mine").select(F.col("k").alias("r"), "g"), "g").where((F.abs(F.length("k") - F.length("r")) <= most) & (F.levenshtein("k", "r") <= most)).select("k", "r").distinct()
     close = token_sort_ratio(met, "k", "r").where(F.col("ratio") >= cutoff).select("k").distinct()
-    fuzzy = n.join(close, n.key == close.k, "left_semi").select("name")
+    fuzzy = n.where("key <> ''").withColumn("k", by_words).join(close, "k", "left_semi").select("name")
     hit = exact.union(fuzzy).distinct().withColumn("hit", F.lit(True))
     return n.select("name").join(hit, "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("licensed"))

@@ -82,11 +82,14 @@ def metric_claims(spark, d):
 
 @query(
     "ref_f24_document_text",
-    f"SELECT job_id, concat_ws(chr(10), title, company, array_to_string(list_slice({SKILLS}, 1, 6), ', ')) AS text FROM job_analytics",
+    f"""WITH t AS (SELECT job_id, max(description) AS description FROM raw_job GROUP BY 1)
+    SELECT job_id, concat_ws(chr(10), title, company, array_to_string(list_slice({SKILLS}, 1, 6), ', '), substr(description, 1, 800)) AS text FROM job_analytics LEFT JOIN t USING (job_id)""",
 )
 def document_text(spark, d):
-    """Text of a posting for an index: title, company and up to six skills."""
-    return table(spark, d, "job_analytics").select("job_id", F.concat_ws("\n", "title", "company", F.array_join(F.slice(m.skills(), 1, 6), ", ")).alias("text"))
+    """Text of a posting for an index: title, company, up to six skills and the head of the description, as long as the
+    index takes it."""
+    t = table(spark, d, "raw_job").groupBy("job_id").agg(F.max("description").alias("description"))
+    return table(spark, d, "job_analytics").join(t, "job_id", "left").select("job_id", F.concat_ws("\n", "title", "company", F.array_join(F.slice(m.skills(), 1, 6), ", "), F.substring("description", 1, 800)).alias("text"))
 
 
 @query("ref_w01_stream_dedup", "SELECT DISTINCT job_id FROM raw_job WHERE job_id IS NOT NULL")
@@ -107,3 +110,69 @@ def stream_sightings(spark, d):
     s = inc.read(spark, d, "raw_job").select(tx.dedup_hash(F.col("title"), F.col("company"), F.col("location")).alias("dedup_hash"), "scraped_at")
     r = inc.settle(inc.sightings(s, "dedup_hash", "scraped_at"), "complete")
     return r.select("dedup_hash", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "times_seen")
+
+
+_DAY = "CAST(scraped_at AT TIME ZONE 'UTC' AS DATE)"
+
+
+def _look_back(days: int) -> str:
+    return f"SELECT source, {_DAY} + CAST(k AS INTEGER) AS until, count(*) AS n FROM job_analytics, range(1, {days + 1}) x(k) GROUP BY 1, 2"
+
+
+@query("ref_w04_stream_look_back_7", _look_back(7))
+def look_back_7(spark, d):
+    """Postings of a source in the seven days before every midnight."""
+    return inc.settle(inc.sliding(inc.read(spark, d, "job_analytics"), "source", "scraped_at", 7), "complete").select("source", F.to_date("until").alias("until"), "n")
+
+
+@query("ref_w04_stream_look_back_90", _look_back(90))
+def look_back_90(spark, d):
+    return inc.settle(inc.sliding(inc.read(spark, d, "job_analytics"), "source", "scraped_at", 90), "complete").select("source", F.to_date("until").alias("until"), "n")
+
+
+@query("ref_j04_w02_stream_against_seen", "SELECT DISTINCT job_id FROM incoming_job WHERE job_id IS NOT NULL AND job_id NOT IN (SELECT job_id FROM seen_jobs WHERE job_id IS NOT NULL)")
+def stream_against_seen(spark, d):
+    """New postings checked against the seen table and against the batches before."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams/{uuid.uuid4().hex}"
+    inc.against_seen(inc.read(spark, d, "incoming_job").where("job_id is not null").select("job_id", "scraped_at"), table(spark, d, "seen_jobs"), "job_id", f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("job_id")
+
+
+_TOP = "row_number() OVER (ORDER BY n DESC, k) AS r"
+
+
+@query(
+    "ref_k11_o09_text_report",
+    f"""WITH s AS (SELECT 1 AS part, k, n, {_TOP} FROM (SELECT unnest({SKILLS}) AS k, count(*) AS n FROM job_analytics WHERE json_valid(matched_skills_json) GROUP BY 1) WHERE k IS NOT NULL),
+    w AS (SELECT 2 AS part, k, n, {_TOP} FROM (SELECT coalesce(work_model, 'unknown') AS k, count(*) AS n FROM job_analytics GROUP BY 1)),
+    c AS (SELECT 3 AS part, k, n, {_TOP} FROM (SELECT company AS k, count(*) AS n FROM job_analytics WHERE company IS NOT NULL GROUP BY 1)),
+    o AS (SELECT 4 AS part, k, n, {_TOP} FROM (SELECT source AS k, count(*) AS n FROM job_analytics WHERE source IS NOT NULL GROUP BY 1)),
+    p AS (SELECT 5 AS part, k, n, {_TOP} FROM (SELECT company_stage AS k, count(*) AS n FROM job_analytics WHERE company_stage IS NOT NULL GROUP BY 1))
+    SELECT part, r AS line, CASE part WHEN 1 THEN printf('  %2d. %-30s %d mentions', r, k, n) WHEN 2 THEN printf('  %-12s %d', k, n) WHEN 3 THEN printf('  %-35s %d roles', k, n) ELSE printf('  %-20s %d', k, n) END AS text
+    FROM (SELECT * FROM s WHERE r <= 10 UNION ALL SELECT * FROM w UNION ALL SELECT * FROM c WHERE r <= 8 UNION ALL SELECT * FROM o UNION ALL SELECT * FROM p)""",
+)
+def text_report(spark, d):
+    """Lines of the printed report, most frequent first: skills, work models, companies, sources, stages."""
+    f = table(spark, d, "job_analytics")
+    counts = lambda df, c: df.select(c.alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    form = {1: ("  %2d. %-30s %d mentions", True, 10), 2: ("  %-12s %d", False, None), 3: ("  %-35s %d roles", False, 8), 4: ("  %-20s %d", False, None), 5: ("  %-20s %d", False, None)}
+    parts = {1: counts(f, F.explode(m.skills())), 2: counts(f, F.coalesce("work_model", F.lit("unknown"))), 3: counts(f, F.col("company")), 4: counts(f, F.col("source")), 5: counts(f, F.col("company_stage"))}
+    whole = None
+    for part, df in parts.items():
+        fmt, numbered, most = form[part]
+        # a part is a top-n, or one row for each value of a short list
+        lines = m.ranked(df, most).select(F.lit(part).alias("part"), F.col("r").alias("line"), F.format_string(fmt, *(["r", "k", "n"] if numbered else ["k", "n"])).alias("text"))
+        whole = lines if whole is None else whole.unionByName(lines)
+    return whole
+
+
+@query(
+    "ref_o08_slide_pay",
+    "SELECT category, n, median FROM (SELECT coalesce(role_category, 'Other') AS category, count(*) AS n, CASE WHEN count(x) >= 5 THEN median(x) END AS median FROM (SELECT role_category, (coalesce(salary_annual_min, salary_annual_max) + coalesce(salary_annual_max, salary_annual_min)) / 2 AS x FROM job_analytics) GROUP BY 1) ORDER BY median DESC NULLS LAST, category LIMIT 8",
+)
+def slide_pay(spark, d):
+    """The eight categories of highest median pay; those with too few figures have none and come last."""
+    x = (F.coalesce("salary_annual_min", "salary_annual_max") + F.coalesce("salary_annual_max", "salary_annual_min")) / 2
+    g = table(spark, d, "job_analytics").groupBy(F.coalesce("role_category", F.lit("Other")).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(x) >= 5, F.median(x)).alias("median"))
+    return g.orderBy(F.desc_nulls_last("median"), "category").limit(8)

@@ -56,16 +56,24 @@ def settle(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{base}/table")
 
 
-def against_seen(stream: DataFrame, seen_path: str, key: str, out_path: str, checkpoint: str) -> None:
-    """Write the rows whose key the seen table lacks, batch by batch, and add their keys to it: unbounded history in a
-    table, not in state."""
+def sliding(stream: DataFrame, key: str, time: str, days: int, every: int = 1, delay: str | None = None) -> DataFrame:
+    """Rows a key in look-backs of `days` days that end every `every` days."""
+    s = stream.withWatermark(time, delay) if delay else stream
+    return s.groupBy(key, F.window(time, f"{days} days", f"{every} days").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.end").alias("until"), "n")
+
+
+def against_seen(stream: DataFrame, seen: DataFrame, key: str, out_path: str, checkpoint: str) -> None:
+    """Write the rows whose key neither the seen table nor an earlier batch has, batch by batch, under out_path/batch=N:
+    unbounded history in tables, not in state. The rows written are themselves the record of what is seen since, so there
+    is one write a batch; a batch that is run again after a failure ignores its own part and overwrites it whole."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = stores.unseen(batch.dropDuplicates([key]), spark.read.parquet(seen_path), key).persist()
-        # a batch that is run again after a failure overwrites its own part
+        fresh = stores.unseen(batch.dropDuplicates([key]), seen, key)
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_path)
+        if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+            earlier = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, batch bigint").parquet(out_path).where(F.col("batch") < number)
+            fresh = stores.unseen(fresh, earlier, key)
         fresh.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        fresh.select(key).write.mode("append").parquet(seen_path)
-        fresh.unpersist()
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()

@@ -12,6 +12,7 @@ from postlode.functions import text as tx
 from postlode.operators import metrics as m
 from postlode.operators import similarity as sim
 from postlode.operators import stores
+from postlode.sources import pages as pg
 from postlode.sources import parsers as ps
 
 T0 = datetime(2026, 5, 4)
@@ -127,19 +128,90 @@ def test_register_match(spark):
 def test_parsers(spark):
     bad = spark.createDataFrame([("{broken",), ('{"id":"1","title":"T","created":"2026-03-01T00:00:00Z"}',)], "payload string")
     assert [r["job_id"] for r in ps.adzuna(bad).collect()] == ["adzuna_1"]
+    assert [r["payload"] for r in ps.quarantine(bad, "payload", ps.ADZUNA, "id").collect()] == ["{broken"]
     lines = [("Firm | Engineer | Remote", "Engineer", "Firm"), ("Firm - Engineer", "Engineer", "Firm"), ("Hello there", "Hello there", "Hello there"), ("Anyone hiring?", "", ""), ("", "", "")]
     t, c = ps.first_line(F.col("x"))
     for text, title, company in lines:
         r = spark.createDataFrame([(text,)], "x string").select(t.alias("t"), c.alias("c")).first()
         assert (r["t"], r["c"]) == (title, company)
-    html = '<html><nav><a href="/x">menu entry</a></nav><main><a href="/jobs/1">Data Engineer</a> ' + "word " * 30 + "</main></html>"
-    content = ps.page_content(spark.createDataFrame([("https://firm.example/careers", html), ("https://e.example", None)], "url string, html string"))
-    links = ps.job_links(content, ["engineer"]).collect()
+    html = '<html><body><nav><a href="/x">menu entry</a></nav><main><a href="/jobs/1">Data Engineer</a> ' + "word " * 30 + "in Bristol</main></body></html>"
+    content = pg.page_content(spark.createDataFrame([("https://firm.example/careers", html), ("https://e.example", None)], "url string, html string"))
+    links = pg.job_links(content, ["engineer"]).collect()
     assert [(r["href"], r["text"]) for r in links] == [("https://firm.example/jobs/1", "Data Engineer")]
+    assert {r["url"]: r["place"] for r in content.collect()} == {"https://firm.example/careers": "Bristol", "https://e.example": "UK"}
     art = spark.createDataFrame([(1, "See https://www.acme.io/x and https://techcrunch.com and https://acme.io"), (2, "https://acme.io https://ab.io")], "article int, text string")
     assert [(r["domain"], r["article"]) for r in ps.funded_companies(art).collect()] == [("acme.io", 1)]
-    emb = spark.createDataFrame([('<iframe src="https://boards.greenhouse.io/acme">',), ("none",)], "h string").select(ps.ats_embed(F.col("h")).alias("e")).collect()
-    assert emb[0]["e"]["token"] == "acme" and emb[1]["e"] is None
+    emb = spark.createDataFrame([('<iframe src="https://boards.greenhouse.io/embed/job_board?for=acme">',), ("none",), ("https://boards.greenhouse.io/acme",)], "h string").select(ps.ats_embed(F.col("h")).alias("e")).collect()
+    assert [[(x["platform"], x["token"]) for x in r["e"]] for r in emb] == [[("greenhouse", "acme")], [], []]
+
+
+@pytest.mark.parametrize(("name", "key"), [("Acme Ltd.", "acme"), ("ACME LIMITED", "acme"), ("Acme Ltd T/A Acme Foods", "acme acme foods"), ("Acme Holdings", "acme holdings"), ("Acme Group trading  as Foods & Co", "acme group foods co"), (None, "")])
+def test_company_key(spark, name, key):
+    assert spark.createDataFrame([(name,)], "c string").select(tx.company_key(F.col("c"))).first()[0] == key
+
+
+@pytest.mark.parametrize(
+    ("line", "title", "company"),
+    [("Firm (Data Engineer)", "Data Engineer", "Firm"), ("Firm | ", "Firm |", "Firm |"), ("| Firm | Engineer", "Engineer", "Firm"), ("Who | What?", "What?", "Who"), ("Hey?", "", ""), ("Tiny", "", "")],
+)
+def test_first_line_forms(spark, line, title, company):
+    t, c = ps.first_line(F.col("x"))
+    r = spark.createDataFrame([(line,)], "x string").select(t.alias("t"), c.alias("c")).first()
+    assert (r["t"], r["c"]) == (title, company)
+
+
+def test_register_match_against_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeo") for _ in range(rng.randint(1, 9)))
+    register = [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)] + ["microsoft", "aaaaaaaaaaaaaaaa"]
+    names = ["mmicrosoft", "aaaaaaaaaaaaaaa"]
+    for r in register:
+        x = list(r)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randint(0, 1)] = rng.choice("abcdeo")
+        names.append(" ".join(reversed("".join(x).split())))
+    got = {r["name"]: r["licensed"] for r in sim.register_match(spark.createDataFrame([(n,) for n in names], "c string"), "c", spark.createDataFrame([(r,) for r in register], "o string"), "o").collect()}
+    key = lambda v: " ".join(sorted(v.split()))
+    want = {n: bool(n.strip()) and any(sim._indel(key(n), key(r)) >= 92 for r in register) for n in names}
+    assert got == want and 20 < sum(want.values()) < len(want)
+
+
+def test_stream_against_seen_is_replay_safe(spark, tmp_path):
+    """A batch that failed after its write, before its commit, is run again and loses nothing."""
+    from postlode.streaming import incremental as inc
+
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "k string, v int").write.parquet(source)
+    seen = spark.createDataFrame([("a",)], "k string")
+    run = lambda: inc.against_seen(spark.readStream.schema("k string, v int").parquet(source), seen, "k", str(tmp_path / "out"), str(tmp_path / "state"))
+    run()
+    commit = next((tmp_path / "state" / "commits").glob("0"))
+    commit.unlink()
+    for crc in (tmp_path / "state" / "commits").glob(".0.crc"):
+        crc.unlink()
+    run()
+    assert [r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b"]
+    spark.createDataFrame([("b", 4), ("c", 5)], "k string, v int").write.mode("append").parquet(source)
+    run()
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["b", "c"]
+
+
+def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
+    """Rows older than the watermark no longer count; those within it do."""
+    from datetime import timedelta
+
+    from postlode.streaming import incremental as inc
+
+    schema = "k string, at timestamp"
+    rows = [[("a", T0), ("a", T0 + timedelta(days=40))], [("a", T0 + timedelta(days=1)), ("a", T0 + timedelta(days=35))], [("a", T0 + timedelta(days=80))], [("z", T0 + timedelta(days=81))]]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        w = inc.weekly(spark.readStream.schema(schema).parquet(source), "k", "at", "14 days")
+        w.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r["week"]: r["n"] for r in spark.read.parquet(out).where("k = 'a'").collect()}
+    assert got == {datetime(2026, 5, 4): 1, datetime(2026, 6, 8): 2}
 
 
 def test_funnel_nulls(spark):
