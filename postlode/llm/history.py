@@ -1,22 +1,30 @@
 """Deduplicating new batches against all history with a persistent fingerprint store.
 
-A text's fingerprints are its winnowed word shingles: the least hash of every WINDOW consecutive shingles, so any shared
-run of WINDOW + k - 1 words shares one. The store keeps, in a written table, the postings of the accepted texts by
-fingerprint bucket, a Bloom filter for each bucket and the counts that fix the rare-first order. A batch goes through
-
-1. prescreening: fingerprints that the bucket's Bloom filter lacks, and that occur once in the batch, have no partner;
-2. look-up of the others in the store. All winnowed fingerprints are posted: short texts that agree may share few of
-   them. Posting lists are checked as in near_duplicates, with parity bitmaps of the whole shingle sets (exact bound);
+A text's fingerprints are its winnowed word shingles: the least hash of every WINDOW consecutive shingles. Agreement is
+defined on all shingles, so WINDOW is 1 and links are exact; larger windows are smaller stores that may miss short texts.
+Fingerprints are ordered rare first by an order fixed when the store is made; texts that agree share one of the rarest of
+both (prefix filter), and only those are posted.
+
+The store is a folder of written tables: packed postings and memberships of the accepted texts, one part a batch; for
+every part and bucket of fingerprints a Bloom filter whose size follows from its number of fingerprints; and the order.
+A batch goes through
+
+1. prescreening: its fingerprints meet the filters of their bucket; what the filters lack, and the batch has once, has no
+   partner and goes no further;
+2. look-up: the store's postings are read in place and only those of a surviving fingerprint are shuffled to its bucket,
+   where parity bitmaps of whole sets rule out most pairs (exact bound, as in near_duplicates);
 3. verification of the shared coverage of each surviving pair on the whole shingle sets;
 4. resolution in order of arrival: a posting is a repeat if its hash or text agrees with an accepted one before it,
    else it is accepted. Whole rounds over classes of equal texts and hashes, until nothing changes;
-5. update: accepted postings join the store (postings, filters) and the table of seen hashes.
+5. update: accepted postings join the store as a new part (postings, filters) and the table of seen hashes.
 
 A hash class or text class that a third of all rows share is one class: rounds use the least arrival of each class,
 never its pairs.
 
-Scale. Bloom filters and counts have fixed sizes set by parameters. History's texts are read when they enter the store,
-and again only those that a surviving pair names; a batch costs its own look-ups.
+Scale. What is broadcast is the order, of a fixed size, and Bloom filters of the batch's fingerprints and of the texts to
+verify, sized by their count up to 2^MOST_FILTER_BITS bits; a fuller filter lets more through and loses nothing. History's
+texts are fingerprinted once, when they enter. A batch reads the store's postings without shuffling those it does not
+hit, and scans history's texts once, keeping only those a surviving pair names.
 
 Defined cases: a NULL, blank or short text agrees with none and only its hash counts; missing parts of the hash are
 empty; ties of similarity go to the posting accepted first; an empty batch or history gives no rows or only new ones;
@@ -25,27 +33,30 @@ repeated rows of one id count once; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm.blobs import BLOB, exchange, pack, rows, share, sketch_sum, spread_keys, unpack
-from postlode.llm.near_duplicates import BITS, PAIR, TOKEN_BITS, Threshold, _bin, _code, _first_of_each, _fold, _large_bitmaps, _list, _one, _refine, _take, fetch_sets, levels, rare_first, verify
+from postlode.llm.blobs import Bloom, bloom_of, column, exchange, pack, rows, share, sketch_sum, spread_keys, unpack
+from postlode.llm.near_duplicates import BITS, ORDER_BITS, PAIR, TOKEN_BITS, Threshold, _bin, _code, _first_of_each, _fold, _large_bitmaps, _list, _one, _refine, _take, fetch_sets, filter_bits, levels, rare_first, verify
 from postlode.llm.tokens import mix, winnowed_sets
-from postlode.session import cut, shuffle_width
+from postlode.session import cut, ensure_checkpoint_dir, shuffle_width
 
 U = np.uint64
-# 1: every shingle is a fingerprint, and links are exact. Larger windows keep 2/(WINDOW + 1) of them and may lose pairs
-# of short texts.
 WINDOW = 1
-SKETCH_BITS = 20
 SHORT_LIST = 48
 BLOCK = 256
+FLUSH = 60_000
 AGREE = Threshold(4, 5)
+# what: 0 postings, 1 memberships, 2 a Bloom filter of the bucket's fingerprints.
+ROWS = "bucket int, what int, n bigint, blob binary"
+_NAMES = ["bucket", "what", "n", "blob"]
 _BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 BLANKS = f"^{_BLANK}|{_BLANK}$"
 
@@ -56,70 +67,83 @@ def dedup_hash(title: Column, company: Column, location: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", part(title), part(company), part(location)), 256), 1, 16)
 
 
-def _summary(df: DataFrame, text: str, k: int, least_words: int) -> np.ndarray:
-    """One array for counts and Bloom filter of the fingerprints: count in the upper, filter bits in the lower half."""
-    size = 1 << SKETCH_BITS
+def _order(df: DataFrame, text: str, k: int, least_words: int, window: int) -> np.ndarray:
+    """Class of frequency (two steps a doubling) of every cell of fingerprints, counted over all texts."""
+    size = 1 << ORDER_BITS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        count, bits = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint32)
+        count = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for _, f in winnowed_sets(b.column(0).to_pylist(), k, least_words, WINDOW):
+            for _, f in winnowed_sets(b.column(0).to_pylist(), k, least_words, window):
                 count += np.bincount((f.flat & U(size - 1)).astype(np.int64), minlength=size)
-                word, mask = _probe(f.flat)
-                np.bitwise_or.at(bits, word, mask)
-        return (np.minimum(count, 2**31).astype(U) << U(32)) | bits.astype(U)
+        return count
+
+    total = sketch_sum(df.select(text), partial, lambda a, b: a + b)
+    return np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
 
-    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (((a >> U(32)) + (b >> U(32))) << U(32)) | ((a | b) & U(2**32 - 1))
 
-    return sketch_sum(df.select(text), partial, merge)
+def _packed(bucket: int, what: int, n: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([what], pa.int32()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=_NAMES)
 
 
-def _probe(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bits of a fingerprint in the Bloom filters; its bucket's filter is a range of words."""
-    h = mix(f ^ U(0xA5A5A5A5A5A5A5A5))
-    word = (h >> U(64 - SKETCH_BITS)).astype(np.int64)
-    mask = (U(1) << (h & U(31))) | (U(1) << ((h >> U(5)) & U(31)))
-    return word, mask.astype(np.uint32)
+def _steps(tok: np.ndarray) -> dict[str, pa.Array]:
+    """Ascending fingerprints as steps, the upper and lower halves apart."""
+    step = np.diff(tok, prepend=U(0)) if len(tok) else tok
+    return {"hi": _one((step >> U(32)).astype(np.uint32)), "lo": _one((step & U(2**32 - 1)).astype(np.uint32))}
 
 
-class Summary:
-    """Order and partitioned Bloom filters of a fingerprint store."""
+def _tokens(x: pa.RecordBatch) -> np.ndarray:
+    return np.cumsum((_take(x, "hi", np.uint32).astype(U) << U(32)) | _take(x, "lo", np.uint32).astype(U), dtype=U)
 
-    def __init__(self, v: np.ndarray):
-        self.counts = (v >> U(32)).astype(np.int64)
-        self.bits = (v & U(2**32 - 1)).astype(np.uint32)
 
-    def order(self) -> np.ndarray:
-        return np.floor(2 * np.log2(np.maximum(self.counts, 1))).astype(np.uint8)
+def _pack_postings(side: int, head: tuple[np.ndarray, ...], large: list[bytes], tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Postings ascending by fingerprint, with the headers of the texts they name."""
+    used, local = np.unique(doc, return_inverse=True)
+    fp, n, nf, key, bits = (h[used] for h in head)
+    return pack(side=pa.array([side]), fp=_one(fp), n=_one(n.astype(np.int32)), nf=_one(nf.astype(np.int32)), key=_one(key), bits=_one(bits),
+                large=pa.array([[large[d] for d in used]], pa.list_(pa.binary())), **_steps(tok), doc=_one(local.astype(np.uint32)), pos=_one(pos.astype(np.uint32)))
 
-    def has(self, f: np.ndarray) -> np.ndarray:
-        word, mask = _probe(f)
-        return (self.bits[word] & mask) == mask
 
-    def often(self, f: np.ndarray) -> np.ndarray:
-        return self.counts[(f & U(len(self.counts) - 1)).astype(np.int64)] > 1
+def _unpack_postings(x: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    head = (_take(x, "fp", U, 2), _take(x, "n", np.int32).astype(np.int64), _take(x, "nf", np.int32).astype(np.int64), _take(x, "key", U), _take(x, "bits", np.uint8, BITS // 8))
+    return head, x.column("large")[0].values, _tokens(x), _take(x, "doc", np.uint32).astype(np.int64), _take(x, "pos", np.uint32).astype(np.int64)
 
 
-def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: list[Callable[[np.ndarray], np.ndarray]], side: int, keys: list[int], k: int, least_words: int, t: Threshold) -> DataFrame:
-    """Packed rows as in near_duplicates: headers, the fingerprints that a partner must share and that pass a screen, and
-    memberships."""
-    shared = share(df.sparkSession, (order, screens))
+def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int, keys: list[int], k: int, least_words: int, t: Threshold, window: int) -> DataFrame:
+    """Packed rows: postings by bucket of fingerprints with their texts' headers, and memberships."""
+    shared = share(df.sparkSession, order)
     n_buckets = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, screen = shared.value
+        table = shared.value
         head: list[tuple[np.ndarray, ...]] = []
         large: list[bytes] = []
         post: list[tuple[np.ndarray, ...]] = []
-        mem_fp, mem_id = [], []
         base = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal base
+            if not base:
+                return
+            whole = tuple(np.concatenate(x) for x in zip(*head, strict=True))
+            tok, doc, pos = (np.concatenate(x) for x in zip(*post, strict=True))
+            bucket = (mix(tok) >> U(33)) % U(n_buckets)
+            by = np.lexsort((tok, bucket))
+            tok, doc, pos, bucket = tok[by], doc[by], pos[by], bucket[by]
+            ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            for b in range(n_buckets):
+                i = slice(ends[b], ends[b + 1])
+                if ends[b + 1] > ends[b]:
+                    yield _packed(keys[b], 0, int(ends[b + 1] - ends[b]), _pack_postings(side, whole, large, tok[i], doc[i], pos[i]))
+            base = 0
+            for x in (head, large, post):
+                x.clear()
+
         for b in batches:
             ident, key = b.column(0), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for s, f in winnowed_sets(b.column(2).to_pylist(), k, least_words, WINDOW):
+            for s, f in winnowed_sets(b.column(2).to_pylist(), k, least_words, window):
                 fp = s.fingerprints()
-                mem_fp.append(fp)
-                mem_id.append(ident.take(pa.array(s.which)))
+                yield _packed(keys[0], 1, len(fp), pack(fp=_one(fp), id=_list(ident.take(pa.array(s.which)).cast(pa.string()))))
                 first, inverse = _first_of_each(fp)
                 low = np.full(len(first), np.iinfo(np.uint64).max, dtype=np.uint64)
                 np.minimum.at(low, inverse, key[s.which])
@@ -127,72 +151,144 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, screens: li
                 place[first] = np.arange(len(first)) + base
                 tok, doc, pos, nf = rare_first(f, table)
                 keep = place[doc] >= 0
-                if WINDOW == 1:
+                if window == 1:
                     keep &= pos < t.longest_prefix(nf)
-                if screen:
-                    ok = np.zeros(len(tok), dtype=bool)
-                    for test in screen:
-                        ok |= test(tok)
-                    keep &= ok
                 post.append((tok[keep] & U(2**TOKEN_BITS - 1), place[doc[keep]], pos[keep]))
                 head.append((fp[first], s.sizes()[first], f.sizes()[first], low, s.parity(BITS)[first]))
                 large.extend(_large_bitmaps(s, first))
                 base += len(first)
-        if not base:
-            return
-        fp, n, nf, key64, bm = (np.concatenate(x) for x in zip(*head, strict=True))
-        tok, doc, pos = (np.concatenate(x) for x in zip(*post, strict=True))
-        bucket = (mix(tok) >> U(33)) % U(n_buckets)
-        by = np.lexsort((tok, bucket))
-        tok, doc, pos, bucket = tok[by], doc[by], pos[by], bucket[by]
-        ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        out = []
-        for b in range(n_buckets):
-            i = slice(ends[b], ends[b + 1])
-            used, local = np.unique(doc[i], return_inverse=True)
-            step = np.diff(tok[i], prepend=U(0)) if ends[b + 1] > ends[b] else tok[i]
-            out.append(pack(what=pa.array([0]), side=pa.array([side]), fp=_one(fp[used]), n=_one(n[used].astype(np.int32)), nf=_one(nf[used].astype(np.int32)), key=_one(key64[used]), bits=_one(bm[used]),
-                            large=pa.array([[large[d] for d in used]], pa.list_(pa.binary())), hi=_one((step >> U(32)).astype(np.uint32)), lo=_one((step & U(2**32 - 1)).astype(np.uint32)),
-                            doc=_one(local.astype(np.uint32)), pos=_one(pos[i].astype(np.uint32))))
-        yield rows(["bucket", "blob"], pa.array(keys, pa.int32()), pa.array(out, pa.binary()))
-        fp = np.concatenate(mem_fp)
-        ids_all = pa.concat_arrays(mem_id)
-        to = (fp[:, 0] >> U(17)) % U(n_buckets)
-        for b in range(n_buckets):
-            m = np.flatnonzero(to == b)
-            if len(m):
-                yield rows(["bucket", "blob"], pa.array([keys[b]], pa.int32()), pa.array([pack(what=pa.array([1]), side=pa.array([side]), fp=_one(fp[m]), id=_list(ids_all.take(pa.array(m))))], pa.binary()))
-
-    return df.where(F.col(ids).isNotNull()).select(ids, F.xxhash64(ids), text).mapInArrow(run, BLOB)
-
-
-def _candidates(packed: DataFrame, t: Threshold) -> DataFrame:
-    """Candidate pairs of classes with a batch member in at least one, and memberships (kind 1: history, 2: batch)."""
+            if base >= FLUSH:
+                yield from flush()
+        yield from flush()
+
+    return df.where(F.col(ids).isNotNull()).select(ids, F.xxhash64(ids), text).mapInArrow(run, ROWS)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(bucket, rows) of a task whose rows are sorted by bucket."""
+    held: tuple[int, list] | None = None
+    for b in batches:
+        for bucket, what, n, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0] != bucket:
+                yield held
+                held = None
+            held = held or (bucket, [])
+            held[1].append((what, n, blob))
+    if held:
+        yield held
+
+
+def _filters(written: DataFrame, n_buckets: int) -> DataFrame:
+    """One Bloom filter a bucket of the written postings, sized by its fingerprints."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                tok = np.unique(_tokens(unpack(blob)))
+                yield _packed(bucket, 3, len(tok), pack(**_steps(tok)))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, found in _by_bucket(batches):
+            bloom = Bloom(max(6, ceil(log2(16 * sum(n for _, n, _ in found) + 1))))
+            for _, _, blob in found:
+                bloom.add(_tokens(unpack(blob)))
+            yield _packed(bucket, 2, bloom.log2_bits, pack(v=bloom.bits))
+
+    return exchange(written.where("what = 0").mapInArrow(tokens, ROWS), n_buckets).sortWithinPartitions("bucket").mapInArrow(build, ROWS)
+
+
+def _screened(batch_rows: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
+    """The batch's postings without fingerprints that the bucket's filters lack and that the batch has once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, found in _by_bucket(batches):
+            blooms = [Bloom(n, column(unpack(blob), "v")) for what, n, blob in found if what == 2]
+            mine = [_unpack_postings(unpack(blob)) for what, _, blob in found if what == 0]
+            if not mine:
+                continue
+            tok, times = np.unique(np.concatenate([m[2] for m in mine]), return_counts=True)
+            known = times > 1
+            for f in blooms:
+                known |= f.has(tok)
+            live = tok[known]
+            for head, large, t, doc, pos in mine:
+                at = np.flatnonzero(np.isin(t, live))
+                if len(at):
+                    yield _packed(bucket, 0, len(at), _pack_postings(1, head, large.to_pylist(), t[at], doc[at], pos[at]))
+
+    both = batch_rows.where("what = 0").unionByName(filters)
+    return exchange(both, n_buckets).sortWithinPartitions("bucket", "what").mapInArrow(run, ROWS)
+
+
+def _hit(written: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The store's postings of fingerprints that a screened batch has, up to a Bloom filter's false hits."""
+    count = wanted.agg(F.sum("n")).first()[0] or 0
+    bits = filter_bits(count)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        f = Bloom(bits)
+        for b in batches:
+            for blob in b.column(3).to_pylist():
+                f.add(_tokens(unpack(blob)))
+        return f.bits
+
+    shared = share(wanted.sparkSession, Bloom(bits, sketch_sum(wanted, partial, np.bitwise_or)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                head, large, tok, doc, pos = _unpack_postings(unpack(blob))
+                at = np.flatnonzero(bloom.has(tok))
+                if len(at):
+                    yield _packed(bucket, 0, len(at), _pack_postings(0, head, large.to_pylist(), tok[at], doc[at], pos[at]))
+
+    return written.where("what = 0").mapInArrow(run, ROWS)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first 64 bits of each class's fingerprint."""
+    for b in batches:
+        raw = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(raw[::2])], names=["half"])
+
+
+def _members(found: DataFrame, wanted: Bloom | None = None) -> DataFrame:
+    """(fp, id) of the membership rows, those of wanted classes up to false hits."""
+    shared = share(found.sparkSession, wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        for b in batches:
+            for blob in b.column(3).to_pylist():
+                x = unpack(blob)
+                fp, ident = _take(x, "fp", U, 2), x.column("id")[0].values
+                at = np.arange(len(fp)) if bloom is None else np.flatnonzero(bloom.has(fp[:, 0]))
+                yield pa.RecordBatch.from_arrays([_bin(fp[at]), ident.take(pa.array(at))], names=["fp", "id"])
+
+    return found.where("what = 1").mapInArrow(run, "fp binary, id string")
+
+
+def _candidates(packed: DataFrame, t: Threshold, window: int) -> DataFrame:
+    """Candidate pairs of classes with a batch member in at least one."""
     names = ["kind", "fa", "fb", "ka", "kb", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _by_bucket(batches):
+            yield from meet([unpack(blob) for _, _, blob in found])
+
+    def meet(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: list[tuple[np.ndarray, ...]] = []
         post: list[tuple[np.ndarray, ...]] = []
         large: dict[int, bytes] = {}
         base = 0
-        for b in batches:
-            for blob in b.column(1).to_pylist():
-                x = unpack(blob)
-                fp, side = _take(x, "fp", U, 2), x.column("side")[0].as_py()
-                if x.column("what")[0].as_py() == 1:
-                    ident = x.column("id")[0].values
-                    zero = pa.nulls(len(ident), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ident), 1 + side, np.int32)), _bin(fp), pa.nulls(len(ident), pa.binary()), zero, zero, ident.cast(pa.string())], names=names)
-                    continue
-                n = _take(x, "n", np.int32).astype(np.int64)
-                head.append((fp, n, _take(x, "nf", np.int32).astype(np.int64), _take(x, "key", U), _take(x, "bits", np.uint8, BITS // 8), np.full(len(n), side == 1)))
-                for d in np.flatnonzero(levels(n)):
-                    large[base + int(d)] = x.column("large")[0].values[int(d)].as_py()
-                hi, lo = _take(x, "hi", np.uint32).astype(U), _take(x, "lo", np.uint32).astype(U)
-                post.append((np.cumsum((hi << U(32)) | lo, dtype=U), _take(x, "doc", np.uint32).astype(np.int64) + base, _take(x, "pos", np.uint32).astype(np.int64)))
-                base += len(n)
-        if not head:
-            return
+        for x in found:
+            (fp, n, nf, key, bits), extra, tok, doc, pos = _unpack_postings(x)
+            head.append((fp, n, nf, key, bits, np.full(len(n), x.column("side")[0].as_py() == 1)))
+            for d in np.flatnonzero(levels(n)):
+                large[base + int(d)] = extra[int(d)].as_py()
+            post.append((tok, doc + base, pos))
+            base += len(n)
         fp, n, nf, key, bits, new = (np.concatenate(z) for z in zip(*head, strict=True))
         tok, doc, pos = (np.concatenate(z) for z in zip(*post, strict=True))
         first, inverse = _first_of_each(fp)
@@ -209,8 +305,8 @@ def _candidates(packed: DataFrame, t: Threshold) -> DataFrame:
             tok, doc, pos = tok[once], doc[once], pos[once]
         by = np.lexsort((n[doc], tok))
         tok, doc, pos = tok[by], doc[by], pos[by]
-        found = _refine(_meet(tok, doc, pos, n, nf, bits, new, t), n, large, t)
-        i, j = (found >> 32).astype(np.int64), (found & 0xFFFFFFFF).astype(np.int64)
+        pairs = _refine(_meet(tok, doc, pos, n, bits, new, t, window == 1), n, large, t)
+        i, j = (pairs >> 32).astype(np.int64), (pairs & 0xFFFFFFFF).astype(np.int64)
         swap = (fp[i, 0] > fp[j, 0]) | ((fp[i, 0] == fp[j, 0]) & (fp[i, 1] > fp[j, 1]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         for a in range(0, len(i), 200_000):
@@ -220,10 +316,10 @@ def _candidates(packed: DataFrame, t: Threshold) -> DataFrame:
                 names=names,
             )
 
-    return packed.mapInArrow(run, PAIR)
+    return packed.sortWithinPartitions("bucket").mapInArrow(run, PAIR)
 
 
-def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf: np.ndarray, bits: np.ndarray, new: np.ndarray, t: Threshold) -> np.ndarray:
+def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bits: np.ndarray, new: np.ndarray, t: Threshold, positional: bool) -> np.ndarray:
     """Distinct pairs of texts, one of them new, that meet in a posting list and that no filter rules out."""
     edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
     length = np.diff(edge)
@@ -233,7 +329,7 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf:
     def keep(i: np.ndarray, j: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
         """i, j: texts; p, q: positions of the shared fingerprint in their orders."""
         ok = (new[i] | new[j]) & (np.minimum(n[i], n[j]) * t.den >= np.maximum(n[i], n[j]) * t.num)
-        if WINDOW == 1:
+        if positional:
             need = t.needed(n[i], n[j])
             ok &= (p <= n[i] - need) & (q <= n[j] - need)
         i, j = i[ok], j[ok]
@@ -272,7 +368,7 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf:
             for y in range(lo, hi, 4 * BLOCK):
                 ye = min(y + 4 * BLOCK, hi)
                 r, c = np.arange(len(rows_)), np.arange(y, ye)
-                if WINDOW == 1:
+                if positional:
                     r = r[p[rows_] <= m[rows_] - t.needed(m[rows_], np.maximum(m[y], -(-m[rows_] * t.num // t.den)))]
                     c = c[p[c] <= m[c] - t.needed(m[c], np.maximum(m[rows_[0]], -(-m[c] * t.num // t.den)))]
                 if not len(r) or not len(c):
@@ -290,40 +386,86 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, nf:
 
 @dataclass
 class Store:
-    """A fingerprint store: packed postings (a written table), its summary, and the accepted postings behind it."""
+    """A fingerprint store in a folder: `rows` (postings and memberships) and `filters`, each with a part for every batch,
+    and `meta`; and the table of accepted hashes (id, dedup_hash, first_seen_at, times_seen, last_seen_at)."""
 
-    postings: DataFrame
-    summary: Summary
+    path: str
+    rows: DataFrame
+    filters: DataFrame
     order: np.ndarray
     seen: DataFrame
     keys: list[int]
     k: int
     least_words: int
     t: Threshold
+    window: int
+    parts: int
+
+
+def _fresh_path(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stores/{uuid.uuid4().hex}"
+
+
+def _add_part(spark: SparkSession, path: str, part: int, postings: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, filters) of the store with a part more; a part written again replaces its former self."""
+    postings.write.mode("overwrite").parquet(f"{path}/rows/part={part}")
+    _filters(spark.read.schema(ROWS).parquet(f"{path}/rows/part={part}"), n_buckets).write.mode("overwrite").parquet(f"{path}/filters/part={part}")
+    return _tables(spark, path)
+
+
+def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda name: spark.read.schema(f"{ROWS}, part int").parquet(f"{path}/{name}").drop("part")
+    return read("rows"), read("filters")
 
 
-def build(texts: DataFrame, ids: str, text: str, seen: DataFrame, k: int = 5, least_words: int = 5, t: Threshold = AGREE) -> Store:
-    """Store of the accepted texts. seen: (id, dedup_hash, first_seen_at, times_seen, last_seen_at)."""
+def build(texts: DataFrame, ids: str, text: str, seen: DataFrame, k: int = 5, least_words: int = 5, t: Threshold = AGREE, window: int = WINDOW, path: str | None = None) -> Store:
+    """Store of the accepted texts, written to `path` or else to the checkpoint folder. seen: (id, dedup_hash,
+    first_seen_at, times_seen, last_seen_at)."""
     spark = texts.sparkSession
-    summary = Summary(_summary(texts, text, k, least_words))
+    path = path or _fresh_path(spark)
+    order = _order(texts, text, k, least_words, window)
     keys = spread_keys(spark, max(2, shuffle_width(spark) // 2))
-    postings = _postings(texts, ids, text, summary.order(), [], 0, keys, k, least_words, t)
-    return Store(postings, summary, summary.order(), seen, keys, k, least_words, t)
+    found, filters = _add_part(spark, path, 0, _postings(texts, ids, text, order, 0, keys, k, least_words, t, window), len(keys))
+    meta = [(bytearray(pack(v=order)), keys, k, least_words, t.num, t.den, window)]
+    spark.createDataFrame(meta, "order_ binary, keys array<int>, k int, least_words int, num int, den int, window int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return Store(path, found, filters, order, seen, keys, k, least_words, t, window, 1)
+
+
+def save_seen(store: Store) -> None:
+    """Write the accepted hashes into the store's folder, as the version of its number of parts."""
+    store.seen.write.mode("overwrite").parquet(f"{store.path}/seen/version={store.parts}")
+
+
+def load(spark: SparkSession, path: str) -> Store:
+    """The store that an earlier session wrote, with its last version of the accepted hashes."""
+    m = spark.read.parquet(f"{path}/meta").first()
+    found, filters = _tables(spark, path)
+    versions = spark.read.parquet(f"{path}/seen")
+    last = versions.agg(F.max("version")).first()[0]
+    last = 1 if last is None else last
+    return Store(path, found, filters, column(unpack(bytes(m["order_"])), "v"), versions.where(F.col("version") == last).drop("version"), m["keys"], m["k"], m["least_words"], Threshold(m["num"], m["den"]), m["window"], last)
 
 
 def links(store: Store, history: DataFrame, batch: DataFrame, ids: str, text: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (kind, fp, id) with kind 1 for history and 2 for the batch; links (fa, fb, shared,
-    total) between different classes of which one has a batch member. history: the texts behind the store."""
-    mine = Summary(_summary(batch, text, store.k, store.least_words))
-    found = _postings(batch, ids, text, store.order, [store.summary.has, mine.often], 1, store.keys, store.k, store.least_words, t)
-    packed = exchange(store.postings.unionByName(found), len(store.keys))
-    both = cut(_candidates(packed, t))
-    members = both.where("kind > 0").select("kind", F.col("fa").alias("fp"), "id").distinct()
-    pairs = cut(both.where("kind = 0").groupBy("fa", "fb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb")))
+    """(members, links): members (kind, fp, id) with kind 1 for history and 2 for the batch, of all classes that the batch
+    has or is linked to; links (fa, fb, shared, total) between different classes of which one has a batch member.
+    history: the texts behind the store."""
+    n = len(store.keys)
+    mine = cut(_postings(batch, ids, text, store.order, 1, store.keys, store.k, store.least_words, t, store.window))
+    screened = cut(_screened(mine, store.filters, n))
+    packed = exchange(_hit(store.rows, screened).unionByName(screened), n)
+    both = cut(_candidates(packed, t, store.window))
+    pairs = cut(both.groupBy("fa", "fb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb")))
     wanted = pairs.select("ka").union(pairs.select("kb"))
     texts = history.select(ids, text).unionByName(batch.select(ids, text))
     sets = cut(fetch_sets(texts, ids, text, wanted, store.k, store.least_words))
-    return members, cut(verify(pairs.select("fa", "fb"), sets, t))
+    found = cut(verify(pairs.select("fa", "fb"), sets, t))
+    new = cut(_members(mine))
+    classes = new.select("fp").union(found.select("fa")).union(found.select("fb")).distinct()
+    classes = cut(classes.mapInArrow(_halves, "half bigint"))
+    old = _members(store.rows, bloom_of(classes, filter_bits(classes.count())))
+    return old.select(F.lit(1).alias("kind"), "fp", "id").union(new.select(F.lit(2), "fp", "id")).distinct(), found
 
 
 def resolve(store: Store, batch: DataFrame, members: DataFrame, verified: DataFrame) -> DataFrame:
@@ -372,10 +514,8 @@ def update(store: Store, batch: DataFrame, ids: str, text: str, resolved: DataFr
     when: (id, at), the time of each batch posting."""
     new = resolved.where("repeats is null")
     texts = batch.join(new.select(F.col("id").alias(ids)), ids, "left_semi")
-    added = Summary(_summary(texts, text, store.k, store.least_words))
-    merged = Summary.__new__(Summary)
-    merged.bits, merged.counts = store.summary.bits | added.bits, store.summary.counts + added.counts
-    postings = store.postings.unionByName(_postings(texts, ids, text, store.order, [], 0, store.keys, store.k, store.least_words, store.t))
+    spark = batch.sparkSession
+    found, filters = _add_part(spark, store.path, store.parts, _postings(texts, ids, text, store.order, 0, store.keys, store.k, store.least_words, store.t, store.window), len(store.keys))
     at = resolved.join(when, "id")
     again = at.where("repeats is not null").groupBy(F.col("repeats").alias("dedup_hash")).agg(F.count(F.lit(1)).alias("more"), F.max("at").alias("last"))
     fresh = at.where("repeats is null").select("id", F.col("hash").alias("dedup_hash"), F.col("at").alias("first_seen_at"), F.lit(1).alias("times_seen"), F.col("at").alias("last_seen_at"))
@@ -385,7 +525,7 @@ def update(store: Store, batch: DataFrame, ids: str, text: str, resolved: DataFr
         F.when(F.col("times_seen").isNotNull() | F.col("more").isNotNull(), F.coalesce("times_seen", F.lit(1)) + F.coalesce("more", F.lit(0))).cast("int").alias("times_seen"),
         F.greatest("last_seen_at", "last").alias("last_seen_at"),
     )
-    return replace(store, postings=postings, summary=merged, seen=seen)
+    return replace(store, rows=found, filters=filters, seen=seen, parts=store.parts + 1)
 
 
 def incoming_against_seen(raw: DataFrame, seen: DataFrame, incoming: DataFrame, k: int, t: Threshold, least_words: int) -> tuple[Store, DataFrame, DataFrame]:
@@ -396,8 +536,3 @@ def incoming_against_seen(raw: DataFrame, seen: DataFrame, incoming: DataFrame,
     store = build(history, "id", "text", accepted, k, least_words, t)
     members, verified = links(store, history, batch, "id", "text", t)
     return store, batch, resolve(store, batch.select("id", "seq", "hash"), members, verified)
-
-
-def written_postings(spark: SparkSession, path: str) -> DataFrame:
-    """Postings that an earlier run wrote with store.postings.write.parquet(path)."""
-    return spark.read.parquet(path)

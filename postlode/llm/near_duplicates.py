@@ -15,8 +15,8 @@ classes, and members are expanded only at the end, so a text that a third of all
 entry per map task.
 
 Scale. The order comes from counts over all texts in a table of 2^order_bits cells, and the filter of texts to fetch for
-verification is a Bloom filter of 2^filter_bits bits: both have a fixed size, and a cell shared by two shingles only
-makes the order a little less sharp, never wrong, since any one order gives the same result. Texts are read in place
+verification is a Bloom filter of 16 bits a text, at most 2^MOST_FILTER_BITS bits. A cell shared by two shingles only
+makes the order a little less sharp, never wrong, since any one order gives the same result; a full filter reads more. Texts are read in place
 and never shuffled. Postings travel packed, about five bytes each.
 
 Defined cases: a NULL, blank or short text (under least_words) agrees with none; repeated rows of one id count once;
@@ -42,7 +42,7 @@ BITS = 512
 LEVEL_SIZE = 234
 TOKEN_BITS = 40
 ORDER_BITS = 20
-FILTER_BITS = 23
+MOST_FILTER_BITS = 30
 SMALL_LIST = 48
 BLOCK = 384
 
@@ -384,11 +384,16 @@ def _code(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (lo << 32) | hi
 
 
-def fetch_sets(df: DataFrame, ids: str, text: str, wanted: DataFrame, k: int, least_words: int, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(fp, key, shingles) of the records whose key is in `wanted` (one bigint column); a Bloom filter of fixed size
+def filter_bits(count: int) -> int:
+    """Size of a Bloom filter of so many keys, as a power of two: 16 bits a key, at most 2^MOST_FILTER_BITS bits."""
+    return min(MOST_FILTER_BITS, max(16, (16 * count).bit_length()))
+
+
+def fetch_sets(df: DataFrame, ids: str, text: str, wanted: DataFrame, k: int, least_words: int) -> DataFrame:
+    """(fp, key, shingles) of the records whose key is in `wanted` (one bigint column); a Bloom filter of bounded size
     keeps other texts from being read into sets, and the join that follows drops its few false hits."""
     spark = df.sparkSession
-    bloom = share(spark, bloom_of(wanted, filter_bits))
+    bloom = share(spark, bloom_of(wanted, filter_bits(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = bloom.value

@@ -119,6 +119,45 @@ def test_store_carries_over_batches(spark):
     assert later == {i: v for i, v in whole.items() if i >= "n060"}
 
 
+def test_store_is_read_back_by_another_session(spark, tmp_path):
+    """A second session loads the written store and checks a batch against it, without fingerprinting history again."""
+    rows = texts(33, 120)
+    old, new = rows[:60], rows[60:]
+    frame = lambda s, part: s.createDataFrame([(f"r{i:03}", t, k, f"hash{i}") for k, (i, t) in enumerate(part)], "id string, text string, seq int, hash string")
+    history = frame(spark, old)
+    seen = history.select("id", history["hash"].alias("dedup_hash"), hs.F.lit(AT).alias("first_seen_at"), hs.F.lit(1).alias("times_seen"), hs.F.lit(AT).alias("last_seen_at"))
+    path = str(tmp_path / "store")
+    whole = hs.build(history, "id", "text", seen, 3, 25, T, path=path)
+    hs.save_seen(whole)
+    other = spark.newSession()
+    store = hs.load(other, path)
+    assert store.parts == 1 and store.window == hs.WINDOW and store.rows.where("what = 0").count() > 0 and store.filters.count() > 0
+    first, second = frame(other, new[:30]), frame(other, new[30:])
+    texts_so_far = frame(other, old)
+    repeats = {}
+    for batch in (first, second):
+        members, links = hs.links(store, texts_so_far, batch, "id", "text", T)
+        resolved = hs.resolve(store, batch.select("id", "seq", "hash"), members, links)
+        repeats |= {r["id"]: r["repeats"] for r in resolved.where("repeats is not null").collect()}
+        store = hs.update(store, batch, "id", "text", resolved, batch.select("id", hs.F.lit(AT).alias("at")))
+        hs.save_seen(store)
+        texts_so_far = texts_so_far.union(batch)
+        store = hs.load(other, path)
+    want = sequential([(f"hash{i}", t) for i, t in old], [(f"r{i:03}", f"hash{i}", t) for i, t in new])
+    assert set(repeats) == set(want) and all(repeats[i] in want[i] for i in repeats) and store.parts == 3
+
+
+def test_fingerprints_that_no_filter_has_go_no_further(spark, tmp_path):
+    rows = [("old", " ".join(f"o{i}" for i in range(60)))]
+    frame = lambda part: spark.createDataFrame(part, "id string, text string")
+    seen = frame(rows).selectExpr("id", "id as dedup_hash", "timestamp'2026-01-01' as first_seen_at", "1 as times_seen", "timestamp'2026-01-01' as last_seen_at")
+    store = hs.build(frame(rows), "id", "text", seen, 3, 25, T, path=str(tmp_path / "store"))
+    batch = frame([("new", " ".join(f"n{i}" for i in range(60))), ("same", " ".join(f"o{i}" for i in range(50)))])
+    mine = hs._postings(batch, "id", "text", store.order, 1, store.keys, 3, 25, T, store.window)
+    left = hs._screened(mine, store.filters, len(store.keys))
+    assert mine.where("what = 0").agg({"n": "sum"}).first()[0] > left.agg({"n": "sum"}).first()[0] > 0
+
+
 def test_empty(spark):
     raw, seen, inc = tables(spark, [("old", "x " * 30)], [("n", "t", "c", "l", "x " * 30)])
     assert hs.incoming_against_seen(raw, seen, inc.limit(0), 3, T, 25)[2].collect() == []
