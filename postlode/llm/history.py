@@ -54,7 +54,7 @@ SHORT_LIST = 48
 BLOCK = 256
 FLUSH = 60_000
 AGREE = Threshold(4, 5)
-# what: 0 postings, 1 memberships, 2 a Bloom filter of the bucket's fingerprints.
+# what: 0 postings, 1 memberships, 2 a Bloom filter of the bucket's fingerprints; bucket -1 where it is not told apart.
 ROWS = "bucket int, what int, n bigint, blob binary"
 _NAMES = ["bucket", "what", "n", "blob"]
 _BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -109,10 +109,10 @@ def _unpack_postings(x: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], list[by
     return head, x.column("large")[0].values, _tokens(x), _take(x, "doc", np.uint32).astype(np.int64), _take(x, "pos", np.uint32).astype(np.int64)
 
 
-def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int, keys: list[int], k: int, least_words: int, t: Threshold, window: int) -> DataFrame:
-    """Packed rows: postings by bucket of fingerprints with their texts' headers, and memberships."""
+def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int, k: int, least_words: int, t: Threshold, window: int) -> DataFrame:
+    """Packed rows: postings with their texts' headers, and memberships. Headers are written once; postings are told apart
+    by bucket only when they are shuffled."""
     shared = share(df.sparkSession, order)
-    n_buckets = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -127,14 +127,8 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int,
                 return
             whole = tuple(np.concatenate(x) for x in zip(*head, strict=True))
             tok, doc, pos = (np.concatenate(x) for x in zip(*post, strict=True))
-            bucket = (mix(tok) >> U(33)) % U(n_buckets)
-            by = np.lexsort((tok, bucket))
-            tok, doc, pos, bucket = tok[by], doc[by], pos[by], bucket[by]
-            ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            for b in range(n_buckets):
-                i = slice(ends[b], ends[b + 1])
-                if ends[b + 1] > ends[b]:
-                    yield _packed(keys[b], 0, int(ends[b + 1] - ends[b]), _pack_postings(side, whole, large, tok[i], doc[i], pos[i]))
+            by = np.argsort(tok)
+            yield _packed(-1, 0, len(tok), _pack_postings(side, whole, large, tok[by], doc[by], pos[by]))
             base = 0
             for x in (head, large, post):
                 x.clear()
@@ -143,7 +137,7 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int,
             ident, key = b.column(0), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for s, f in winnowed_sets(b.column(2).to_pylist(), k, least_words, window):
                 fp = s.fingerprints()
-                yield _packed(keys[0], 1, len(fp), pack(fp=_one(fp), id=_list(ident.take(pa.array(s.which)).cast(pa.string()))))
+                yield _packed(-1, 1, len(fp), pack(fp=_one(fp), id=_list(ident.take(pa.array(s.which)).cast(pa.string()))))
                 first, inverse = _first_of_each(fp)
                 low = np.full(len(first), np.iinfo(np.uint64).max, dtype=np.uint64)
                 np.minimum.at(low, inverse, key[s.which])
@@ -164,6 +158,18 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int,
     return df.where(F.col(ids).isNotNull()).select(ids, F.xxhash64(ids), text).mapInArrow(run, ROWS)
 
 
+def _bucket_of(tok: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((mix(tok) >> U(33)) % U(n_buckets)).astype(np.int64)
+
+
+def _split(side: int, keys: list[int], head: tuple[np.ndarray, ...], large: list[bytes], tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row of postings for every bucket that has some."""
+    bucket = _bucket_of(tok, len(keys))
+    for b in np.unique(bucket):
+        at = np.flatnonzero(bucket == b)
+        yield _packed(keys[b], 0, len(at), _pack_postings(side, head, large, tok[at], doc[at], pos[at]))
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
     """(bucket, rows) of a task whose rows are sorted by bucket."""
     held: tuple[int, list] | None = None
@@ -178,14 +184,17 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield held
 
 
-def _filters(written: DataFrame, n_buckets: int) -> DataFrame:
+def _filters(written: DataFrame, keys: list[int]) -> DataFrame:
     """One Bloom filter a bucket of the written postings, sized by its fingerprints."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for blob in b.column(3).to_pylist():
                 tok = np.unique(_tokens(unpack(blob)))
-                yield _packed(bucket, 3, len(tok), pack(**_steps(tok)))
+                bucket = _bucket_of(tok, len(keys))
+                for i in np.unique(bucket):
+                    mine = tok[bucket == i]
+                    yield _packed(keys[i], 3, len(mine), pack(**_steps(mine)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, found in _by_bucket(batches):
@@ -194,12 +203,18 @@ def _filters(written: DataFrame, n_buckets: int) -> DataFrame:
                 bloom.add(_tokens(unpack(blob)))
             yield _packed(bucket, 2, bloom.log2_bits, pack(v=bloom.bits))
 
-    return exchange(written.where("what = 0").mapInArrow(tokens, ROWS), n_buckets).sortWithinPartitions("bucket").mapInArrow(build, ROWS)
+    return exchange(written.where("what = 0").mapInArrow(tokens, ROWS), len(keys)).sortWithinPartitions("bucket").mapInArrow(build, ROWS)
 
 
-def _screened(batch_rows: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
+def _screened(batch_rows: DataFrame, filters: DataFrame, keys: list[int]) -> DataFrame:
     """The batch's postings without fingerprints that the bucket's filters lack and that the batch has once."""
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(3).to_pylist():
+                head, large, tok, doc, pos = _unpack_postings(unpack(blob))
+                yield from _split(1, keys, head, large.to_pylist(), tok, doc, pos)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, found in _by_bucket(batches):
             blooms = [Bloom(n, column(unpack(blob), "v")) for what, n, blob in found if what == 2]
@@ -216,11 +231,11 @@ def _screened(batch_rows: DataFrame, filters: DataFrame, n_buckets: int) -> Data
                 if len(at):
                     yield _packed(bucket, 0, len(at), _pack_postings(1, head, large.to_pylist(), t[at], doc[at], pos[at]))
 
-    both = batch_rows.where("what = 0").unionByName(filters)
-    return exchange(both, n_buckets).sortWithinPartitions("bucket", "what").mapInArrow(run, ROWS)
+    both = batch_rows.where("what = 0").mapInArrow(split, ROWS).unionByName(filters)
+    return exchange(both, len(keys)).sortWithinPartitions("bucket", "what").mapInArrow(run, ROWS)
 
 
-def _hit(written: DataFrame, wanted: DataFrame) -> DataFrame:
+def _hit(written: DataFrame, wanted: DataFrame, keys: list[int]) -> DataFrame:
     """The store's postings of fingerprints that a screened batch has, up to a Bloom filter's false hits."""
     count = wanted.agg(F.sum("n")).first()[0] or 0
     bits = filter_bits(count)
@@ -237,11 +252,10 @@ def _hit(written: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for blob in b.column(3).to_pylist():
                 head, large, tok, doc, pos = _unpack_postings(unpack(blob))
                 at = np.flatnonzero(bloom.has(tok))
-                if len(at):
-                    yield _packed(bucket, 0, len(at), _pack_postings(0, head, large.to_pylist(), tok[at], doc[at], pos[at]))
+                yield from _split(0, keys, head, large.to_pylist(), tok[at], doc[at], pos[at])
 
     return written.where("what = 0").mapInArrow(run, ROWS)
 
@@ -407,10 +421,10 @@ def _fresh_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stores/{uuid.uuid4().hex}"
 
 
-def _add_part(spark: SparkSession, path: str, part: int, postings: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+def _add_part(spark: SparkSession, path: str, part: int, postings: DataFrame, keys: list[int]) -> tuple[DataFrame, DataFrame]:
     """(rows, filters) of the store with a part more; a part written again replaces its former self."""
     postings.write.mode("overwrite").parquet(f"{path}/rows/part={part}")
-    _filters(spark.read.schema(ROWS).parquet(f"{path}/rows/part={part}"), n_buckets).write.mode("overwrite").parquet(f"{path}/filters/part={part}")
+    _filters(spark.read.schema(ROWS).parquet(f"{path}/rows/part={part}"), keys).write.mode("overwrite").parquet(f"{path}/filters/part={part}")
     return _tables(spark, path)
 
 
@@ -426,7 +440,7 @@ def build(texts: DataFrame, ids: str, text: str, seen: DataFrame, k: int = 5, le
     path = path or _fresh_path(spark)
     order = _order(texts, text, k, least_words, window)
     keys = spread_keys(spark, max(2, shuffle_width(spark) // 2))
-    found, filters = _add_part(spark, path, 0, _postings(texts, ids, text, order, 0, keys, k, least_words, t, window), len(keys))
+    found, filters = _add_part(spark, path, 0, _postings(texts, ids, text, order, 0, k, least_words, t, window), keys)
     meta = [(bytearray(pack(v=order)), keys, k, least_words, t.num, t.den, window)]
     spark.createDataFrame(meta, "order_ binary, keys array<int>, k int, least_words int, num int, den int, window int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return Store(path, found, filters, order, seen, keys, k, least_words, t, window, 1)
@@ -451,10 +465,9 @@ def links(store: Store, history: DataFrame, batch: DataFrame, ids: str, text: st
     """(members, links): members (kind, fp, id) with kind 1 for history and 2 for the batch, of all classes that the batch
     has or is linked to; links (fa, fb, shared, total) between different classes of which one has a batch member.
     history: the texts behind the store."""
-    n = len(store.keys)
-    mine = cut(_postings(batch, ids, text, store.order, 1, store.keys, store.k, store.least_words, t, store.window))
-    screened = cut(_screened(mine, store.filters, n))
-    packed = exchange(_hit(store.rows, screened).unionByName(screened), n)
+    mine = cut(_postings(batch, ids, text, store.order, 1, store.k, store.least_words, t, store.window))
+    screened = cut(_screened(mine, store.filters, store.keys))
+    packed = exchange(_hit(store.rows, screened, store.keys).unionByName(screened), len(store.keys))
     both = cut(_candidates(packed, t, store.window))
     pairs = cut(both.groupBy("fa", "fb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb")))
     wanted = pairs.select("ka").union(pairs.select("kb"))
@@ -515,7 +528,7 @@ def update(store: Store, batch: DataFrame, ids: str, text: str, resolved: DataFr
     new = resolved.where("repeats is null")
     texts = batch.join(new.select(F.col("id").alias(ids)), ids, "left_semi")
     spark = batch.sparkSession
-    found, filters = _add_part(spark, store.path, store.parts, _postings(texts, ids, text, store.order, 0, store.keys, store.k, store.least_words, store.t, store.window), len(store.keys))
+    found, filters = _add_part(spark, store.path, store.parts, _postings(texts, ids, text, store.order, 0, store.k, store.least_words, store.t, store.window), store.keys)
     at = resolved.join(when, "id")
     again = at.where("repeats is not null").groupBy(F.col("repeats").alias("dedup_hash")).agg(F.count(F.lit(1)).alias("more"), F.max("at").alias("last"))
     fresh = at.where("repeats is null").select("id", F.col("hash").alias("dedup_hash"), F.col("at").alias("first_seen_at"), F.lit(1).alias("times_seen"), F.col("at").alias("last_seen_at"))

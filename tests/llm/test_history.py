@@ -153,8 +153,8 @@ def test_fingerprints_that_no_filter_has_go_no_further(spark, tmp_path):
     seen = frame(rows).selectExpr("id", "id as dedup_hash", "timestamp'2026-01-01' as first_seen_at", "1 as times_seen", "timestamp'2026-01-01' as last_seen_at")
     store = hs.build(frame(rows), "id", "text", seen, 3, 25, T, path=str(tmp_path / "store"))
     batch = frame([("new", " ".join(f"n{i}" for i in range(60))), ("same", " ".join(f"o{i}" for i in range(50)))])
-    mine = hs._postings(batch, "id", "text", store.order, 1, store.keys, 3, 25, T, store.window)
-    left = hs._screened(mine, store.filters, len(store.keys))
+    mine = hs._postings(batch, "id", "text", store.order, 1, 3, 25, T, store.window)
+    left = hs._screened(mine, store.filters, store.keys)
     assert mine.where("what = 0").agg({"n": "sum"}).first()[0] > left.agg({"n": "sum"}).first()[0] > 0
 
 
