@@ -1,18 +1,18 @@
 """Evaluation texts leaking into training text: which documents hold passages of which held-out items.
 
-Item windows of `window` words are embedded by CGK random walks: step j writes the word under the cursor and moves on by
-a random bit that depends on j and the word, so texts a few edits apart stay in step for most of the walk and edit
-distance turns into Hamming distance. Some positions of the walk, sampled at random, make a key; `repeats` independent
-keys reach the target recall. Document windows with a key of an item window are then verified: the edit distance in
-words must be at most `edits`.
+Item windows of `window` words, or of the whole item if it is shorter but has `least` words, are embedded by CGK random
+walks: step j writes the word under the cursor and moves on by a random bit that depends on j and the word, so texts a
+few edits apart stay in step for most of the walk and edit distance turns into Hamming distance. Some positions of the
+walk, sampled at random, make a key; independent keys are repeated until a window within the permitted edits is found
+with probability `recall`. The chance of one key is measured once for each window size, by walks over random words with
+random edits (a fixed number of trials, independent of the data). Document windows with a key of an item window are then
+verified: the edit distance in words must be at most `edits` (in proportion for shorter items).
 
 Before the walk, the q-gram lemma (exact) discards document windows: a window within e edits of an item window has at
-least window - 2 - 3e of its 3-word sequences in common with it.
+least window - 2 - 3e of its 3-word sequences in common with it. Equal windows have equal walks, so they are always found.
 
-The items' index is broadcast; it holds repeats keys for each item window, and more than MOST_WINDOWS windows raise.
-Documents are read in place and whole; only the found pairs are shuffled.
-
-With edits=0 one repeat finds every window: equal windows have equal walks.
+The items' index is broadcast, about MOST_WINDOWS windows at a time: more items go in several rounds over the documents,
+each with its share of the items. Documents are read in place and whole; only the found pairs are shuffled.
 
 Defined cases: NULL and blank texts, texts and items shorter than the window hold nothing; NULL ids are ignored;
 repeated rows count once; empty tables give no rows; extra columns are ignored.
@@ -21,6 +21,7 @@ repeated rows count once; empty tables give no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from postlode.llm.tokens import chunks, grams, mix, words
 
 U = np.uint64
 MOST_WINDOWS = 2_000_000
-MOST_ITEMS = 100_000
+RECALL = 0.95
+TRIALS = 2000
+MOST_REPEATS = 64
 GRAM_BITS = 24
 STRETCH = 3
 SAMPLED = 6
@@ -62,6 +65,35 @@ class Walk:
         return key
 
 
+@lru_cache(maxsize=64)
+def repeats_for(window: int, edits: int, recall: float) -> int:
+    """Keys that find a window `edits` random edits away with probability `recall`, by trials over random words."""
+    if edits == 0:
+        return 1
+    rng = np.random.default_rng(97 * window + edits)
+    a = rng.integers(1, 2**63, size=(TRIALS, window), dtype=np.uint64)
+    b = a.copy()
+    for row in b:
+        left = edits
+        while left:
+            at, to = rng.integers(window, size=2)
+            if left > 1 and rng.random() < 0.5:
+                # windows are of one size: a word more here is a word less there
+                rest = np.delete(row, at)
+                row[:] = np.insert(rest, to, rng.integers(1, 2**63))
+                left -= 2
+            else:
+                row[at] = rng.integers(1, 2**63)
+                left -= 1
+    flat = np.concatenate([a.ravel(), b.ravel()])
+    start = np.arange(2 * TRIALS) * window
+    hit = 0.0
+    for r in range(8):
+        k = Walk(window, 7919 * r + window).keys(flat, start)
+        hit += float((k[:TRIALS] == k[TRIALS:]).mean()) / 8
+    return int(min(MOST_REPEATS, max(2, np.ceil(np.log(1 - recall) / np.log(1 - min(max(hit, 1e-3), 0.999))))))
+
+
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
     """Levenshtein distance of word sequences, most + 1 if larger."""
     if a == b:
@@ -100,8 +132,6 @@ class Index:
         self.h = np.concatenate(hs) if hs else np.empty(0, U)
         self.item = np.array(ids, dtype=np.int64)[np.concatenate(item)] if item else np.empty(0, np.int64)
         self.start = np.concatenate(start) if start else np.empty(0, np.int64)
-        if len(self.start) > MOST_WINDOWS:
-            raise ValueError(f"the items have more than {MOST_WINDOWS} windows: too many to broadcast")
         self.tables = []
         for w in self.walks:
             k = w.keys(self.h, self.start)
@@ -150,35 +180,60 @@ class Index:
 SCHEMA = "doc_id bigint, item_id bigint, windows int, distance int"
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = 8, edits: int = 0, repeats: int | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _indexes(ids: list[int], texts: list[str], window: int, edits: int, recall: float, least: int) -> list[Index]:
+    """An index of the items of at least `window` words, and one for each shorter length down to `least`."""
+    sizes = np.concatenate([np.diff(words(part)[1]) for _, part in chunks(texts, entities=True)]) if texts else np.empty(0, np.int64)
+    out = []
+    for size in range(least, window + 1):
+        mine = np.flatnonzero(sizes >= window if size == window else sizes == size)
+        if len(mine):
+            e = edits * size // window
+            out.append(Index([ids[i] for i in mine], [texts[i] for i in mine], size, e, repeats_for(size, e, recall)))
+    return out
+
+
+def leaks(
+    documents: DataFrame, items: DataFrame, window: int = 8, edits: int = 0, recall: float = RECALL, least: int | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_windows: int = MOST_WINDOWS
+) -> DataFrame:
     """(doc_id, item_id, windows, distance): documents and the items they share passages with, the number of document
-    windows that match and the least distance. repeats defaults to 1 without edits, else 16."""
-    spark = documents.sparkSession
-    rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), item_text).limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items: too many to broadcast")
-    index = share(spark, Index([r[0] for r in rows], [r[1] for r in rows], window, edits, repeats or (1 if edits == 0 else 16)))
+    windows that match and the least distance. Items under `least` words (the window's size by default) are left out."""
+    least = max(3, least or window)
+    own = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
+    # a window needs a letter and a blank at least
+    rounds = max(1, -(-int(own.agg(F.sum(F.length("t"))).first()[0] or 0) // (2 * most_windows)))
+    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), text)
+    found = None
+    for r in range(rounds):
+        share_ = own if rounds == 1 else own.where(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == r)
+        part = _leaks_of(docs, share_, window, edits, recall, least)
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("distance").alias("distance"))
+
+
+def _leaks_of(docs: DataFrame, items: DataFrame, window: int, edits: int, recall: float, least: int) -> DataFrame:
+    """Matches of one round's items."""
+    rows = items.collect()
+    shared = share(docs.sparkSession, _indexes([r[0] for r in rows], [r[1] for r in rows], window, edits, recall, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             found: dict[tuple[int, int], tuple[set[int], int]] = {}
             for first, part in chunks(texts, entities=True):
                 h, o = words(part)
-                for t, pos, item, d in ix.hits(h, o):
-                    have = found.get((first + t, item))
-                    if have is None:
-                        found[first + t, item] = ({pos}, d)
-                    else:
-                        have[0].add(pos)
-                        found[first + t, item] = (have[0], min(have[1], d))
+                for ix in shared.value:
+                    for t, pos, item, d in ix.hits(h, o):
+                        have = found.get((first + t, item))
+                        if have is None:
+                            found[first + t, item] = ({pos}, d)
+                        else:
+                            have[0].add(pos)
+                            found[first + t, item] = (have[0], min(have[1], d))
             out = [(ids[t], i, len(p), d) for (t, i), (p, d) in found.items()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "windows", "distance"])
 
-    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), text)
-    return docs.mapInArrow(run, SCHEMA).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("distance").alias("distance"))
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def leaked_items(found: DataFrame) -> DataFrame:

@@ -127,12 +127,21 @@ def _sorted(values: DataFrame, state: DataFrame) -> DataFrame:
 
 def percentiles(df: DataFrame, group: Column, value: Column, qs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9), limit: int = LIMIT) -> DataFrame:
     """(g, n, q, value) with linear interpolation between the two exact order statistics around q*(n-1)."""
+    return _percentiles(df, group, value, qs, limit, F.col("q") * (F.col("n") - 1))
+
+
+def percentiles_by_rank(df: DataFrame, group: Column, value: Column, qs: tuple[float, ...], limit: int = LIMIT) -> DataFrame:
+    """(g, n, q, value): the value of rank ceil(q*n), which the summary's bound is stated for."""
+    return _percentiles(df, group, value, qs, limit, F.greatest(F.ceil(F.col("q") * F.col("n")), F.lit(1)) - 1)
+
+
+def _percentiles(df: DataFrame, group: Column, value: Column, qs: tuple[float, ...], limit: int, at_rank: Column) -> DataFrame:
     values = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and not isnan(x)")
     # a NULL group needs a key to join on
     values = values.select(F.coalesce(F.concat(F.lit("="), F.col("g")), F.lit("")).alias("g"), "x")
     counts = cut(summary(values, [F.col("g")], F.col("x")))
     sizes = counts.groupBy("g").agg(F.sum("n").alias("n"))
-    asked = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("at", F.col("q") * (F.col("n") - 1))
+    asked = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("at", at_rank.cast("double"))
     asked = cut(asked.withColumn("low", F.floor("at")).select("g", "n", "q", "low", F.least(F.col("low") + 1, F.col("n") - 1).alias("high"), (F.col("at") - F.col("low")).alias("part")))
     ranks = asked.select("g", F.explode(F.array("low", "high")).alias("rank")).groupBy("g").agg(F.collect_set("rank").alias("ranks"))
     ladder = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("bucket")))

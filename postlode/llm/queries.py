@@ -76,8 +76,12 @@ def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_from_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of annual pay per category read from the merged daily summaries, within 1% of the exact value."""
-    return pc.read_summary(pc.merge(p3_summary(spark, sf_dir), ["category"]), ["category"], (0.25, 0.5, 0.75))
+    """Percentiles of annual pay per category read from the merged daily summaries, and whether each is within 1% of the
+    exact value, which multi-select finds."""
+    read = pc.read_summary(pc.merge(p3_summary(spark, sf_dir), ["category"]), ["category"], (0.25, 0.5, 0.75))
+    x = table(spark, sf_dir, "job_analytics").select(F.coalesce("role_category", F.lit("Other")).alias("c"), annual_pay().alias("x"))
+    near = pc.percentiles_by_rank(x, F.col("c"), F.col("x"), (0.25, 0.5, 0.75)).select(F.col("g").alias("category"), "q", F.col("value").alias("exact"))
+    return read.join(near, ["category", "q"]).select("category", "n", "q", (F.abs(F.col("value") - F.col("exact")) <= pc.ALPHA * F.abs("exact") * 1.000001).alias("within"))
 
 
 def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,18 +145,22 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.fill(cut(packed), capacities)
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of eight words up to one word edit away."""
+    return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=1)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=0).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).where("distance = 0").select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 16 words up to 2 word edits away."""
-    return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=16, edits=2)
+    """Passages of 16 words up to 2 word edits away, and whole items of 8 to 15 words in proportion."""
+    return lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=16, edits=2, least=8)
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=8, edits=0)
-    return lk.leaked_items(found).select("item_id", "documents")
+    return lk.leaked_items(_leaks(spark, sf_dir).where("distance = 0")).select("item_id", "documents")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

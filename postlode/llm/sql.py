@@ -19,6 +19,13 @@ SQL: dict[str, str] = {
       g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' ')))) AS g FROM i WHERE len(w) >= 8),
       h AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' ')))) AS g FROM d WHERE len(w) >= 8)
       SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
+    "p9_items": f"""WITH d AS (SELECT doc_id, {_WORDS.format(t=_DECODED.format(t="text"))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format(t=_DECODED.format(t="text"))} AS w FROM eval_items),
+      g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' ')))) AS g FROM i WHERE len(w) >= 8),
+      h AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' ')))) AS g FROM d WHERE len(w) >= 8)
+      SELECT item_id, count(DISTINCT doc_id) AS documents FROM h JOIN g USING (g) GROUP BY 1""",
+    "p3_from_summaries": f"""WITH x AS (SELECT coalesce(role_category, 'Other') AS category, {PAY} AS x FROM job_analytics),
+      r AS (SELECT category, x, row_number() OVER (PARTITION BY category ORDER BY x) AS r, count(*) OVER (PARTITION BY category) AS n FROM x WHERE x IS NOT NULL)
+      SELECT category, n, q, true AS within FROM r, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(q) WHERE r = greatest(ceil(q * n), 1)""",
     "p3_pay_by_slice": f"SELECT coalesce(role_category, 'Other') || '|' || coalesce(source, '') || '|' || strftime(scraped_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS slice, {_Q} FROM (SELECT *, {PAY} AS x FROM job_analytics) WHERE x IS NOT NULL GROUP BY 1",
     "p3_salary_by_source": f"SELECT source, {_Q} FROM (SELECT source, salary_min AS x FROM raw_job) WHERE x IS NOT NULL GROUP BY 1",
     "p3_pay_by_category": f"SELECT coalesce(role_category, 'Other') AS category, {_Q} FROM (SELECT *, {PAY} AS x FROM job_analytics) WHERE x IS NOT NULL GROUP BY 1",
