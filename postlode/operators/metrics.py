@@ -10,6 +10,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlode.operators.quantiles import beside, quantiles
+
 LEAST_SAMPLE = 5
 DIVERGENCE = 0.15
 R2, FLAT = 0.8, 0.3
@@ -64,17 +66,14 @@ def top_skills(fact: DataFrame, n: int = 10) -> DataFrame:
 
 def salary_stats(fact: DataFrame) -> DataFrame:
     paid = fact.where("salary_period = 'annual' and (salary_annual_min is not null or salary_annual_max is not null)")
-    return paid.agg(
-        F.count(F.lit(1)).alias("n"), F.bround(F.avg("salary_annual_min"), 0).alias("avg_min"), F.bround(F.avg("salary_annual_max"), 0).alias("avg_max"),
-        F.bround(F.percentile(half_filled_midpoint(), F.lit(0.5)), 0).alias("median"),
-    )
+    one = paid.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("salary_annual_min"), 0).alias("avg_min"), F.bround(F.avg("salary_annual_max"), 0).alias("avg_max"))
+    return beside(one, quantiles(paid, None, half_filled_midpoint(), (0.5,))).select("n", "avg_min", "avg_max", F.bround(F.col("p")[0], 0).alias("median"))
 
 
 def percentile_groups(df: DataFrame, key: Column | None, name: str = "key", least: int = 0) -> DataFrame:
     """n and quartiles of the annual midpoint; under `least` values the quartiles are withheld and flagged."""
-    x = df.select(*([key.alias(name)] if key is not None else []), midpoint().alias("m")).where("m is not null")
-    g = x.groupBy(name) if key is not None else x.groupBy()
-    r = g.agg(F.count("m").alias("n"), F.percentile("m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    r = quantiles(df, key, midpoint(), (0.25, 0.5, 0.75))
+    r = r.withColumnRenamed("key", name) if key is not None else beside(df.agg(F.count(midpoint()).alias("n")), r)
     quartile = lambda i: F.when(F.col("n") >= least, F.round(F.col("p")[i], 2))
     out = r.select(*([name] if key is not None else []), "n", quartile(0).alias("p25"), quartile(1).alias("p50"), quartile(2).alias("p75"))
     return out.withColumn("suppressed", F.col("n") < least) if least else out
@@ -83,7 +82,9 @@ def percentile_groups(df: DataFrame, key: Column | None, name: str = "key", leas
 def divergence(fact: DataFrame, at: datetime, threshold: float = DIVERGENCE) -> DataFrame:
     """Median of the last week against the median of the whole window."""
     recent = F.col("scraped_at") >= F.lit(at) - F.expr("INTERVAL 7 DAYS")
-    r = fact.agg(F.percentile(F.when(recent, midpoint()), F.lit(0.5)).alias("weekly"), F.percentile(midpoint(), F.lit(0.5)).alias("rolling"))
+    window = F.explode(F.filter(F.array(F.lit("rolling"), F.when(recent, F.lit("weekly"))), lambda w: w.isNotNull()))
+    q = quantiles(fact.select(midpoint().alias("m"), window.alias("w")), F.col("w"), F.col("m"), (0.5,))
+    r = q.agg(*[F.max(F.when(F.col("key") == k, F.col("p")[0])).alias(k) for k in ("weekly", "rolling")])
     ratio = F.abs(F.col("weekly") - F.col("rolling")) / F.nullif(F.col("rolling"), F.lit(0.0))
     return r.select("weekly", "rolling", F.round(ratio, 4).alias("ratio"), F.coalesce(ratio > threshold, F.lit(False)).alias("diverged"))
 
@@ -105,10 +106,14 @@ def deltas(fact: DataFrame, at: datetime, skill_names: list[str], weeks: int = 1
         "total_volume": lambda w: any_(w, F.count_if(w)),
         "sponsorship_rate": lambda w: share(w, "offers_sponsorship"),
         "startup_share": lambda w: share(w, "is_startup"),
-        "salary_median": lambda w: F.percentile(F.when(w, midpoint()), F.lit(0.5)),
+        "salary_median": lambda w: F.lit(None).cast("double"),
         **{s: (lambda w, s=s: any_(w, F.count_if(w & F.array_contains(skills(), s)))) for s in skill_names},
     }
     one = fact.agg(*[f(w).alias(f"{i}_{k}") for i, f in enumerate(metrics.values()) for k, w in (("c", now), ("p", before))])
+    # medians are found by group and take their place in the row
+    pay = list(metrics).index("salary_median")
+    medians = quantiles(fact.where(now | before), F.when(now, "c").otherwise("p"), midpoint(), (0.5,)).agg(*[F.max(F.when(F.col("key") == k, F.col("p")[0])).alias(k) for k in ("c", "p")])
+    one = one.drop(f"{pay}_c", f"{pay}_p").withColumn("_one", F.lit(1)).join(medians.select(F.lit(1).alias("_one"), F.col("c").alias(f"{pay}_c"), F.col("p").alias(f"{pay}_p")), "_one", "left").drop("_one")
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{i}_c").cast("double").alias("current"), F.col(f"{i}_p").cast("double").alias("previous")) for i, m in enumerate(metrics)])
     r = one.select(F.explode(rows).alias("r")).select("r.*")
     change = F.bround(F.col("current") - F.col("previous"), 2)
@@ -172,14 +177,16 @@ def persistence(fact: DataFrame, seen: DataFrame) -> DataFrame:
     """Median days between first and last sight, by category."""
     j = fact.select("dedup_hash", F.coalesce("role_category", F.lit("Other")).alias("category")).join(seen.select("dedup_hash", "first_seen_at", "last_seen_at"), "dedup_hash")
     days = (F.unix_micros("last_seen_at") - F.unix_micros("first_seen_at")) / 86400000000.0
-    return j.groupBy("category").agg(F.round(F.percentile(days, F.lit(0.5)), 4).alias("median_days"), F.count(F.lit(1)).alias("n"))
+    median = quantiles(j, F.col("category"), days, (0.5,)).select(F.col("key").alias("category"), F.round(F.col("p")[0], 4).alias("median_days"))
+    return j.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(median, "category", "left").select("category", "median_days", "n")
 
 
 def pay_by_skill(fact: DataFrame, least: int = 15) -> DataFrame:
     paid = fact.select(midpoint().alias("m"), F.array_distinct(skills()).alias("s")).where("m is not null")
-    market = F.lit(paid.agg(F.percentile("m", F.lit(0.5))).first()[0]).cast("double")
-    per = paid.select("m", F.explode("s").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"), F.percentile("m", F.lit(0.5)).alias("median")).where(F.col("n") >= least)
-    return per.select("skill", "n", F.round("median", 2).alias("median_salary"), F.round(market, 2).alias("market_median"), F.bround(100 * (F.col("median") - market) / market, 1).alias("premium_pct"))
+    market = quantiles(paid, None, F.col("m"), (0.5,)).select(F.col("p")[0].alias("market"))
+    per = quantiles(paid.select("m", F.explode("s").alias("skill")), F.col("skill"), F.col("m"), (0.5,)).where(F.col("n") >= least)
+    per = per.select(F.lit(1).alias("_one"), F.col("key").alias("skill"), "n", F.col("p")[0].alias("median")).join(F.broadcast(market.withColumn("_one", F.lit(1))), "_one")
+    return per.select("skill", "n", F.round("median", 2).alias("median_salary"), F.round("market", 2).alias("market_median"), F.bround(100 * (F.col("median") - F.col("market")) / F.col("market"), 1).alias("premium_pct"))
 
 
 STAGES = ("total_scraped", "total_after_dedup", "total_after_prescreen", "total_scored", "total_qualified")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postlode.functions import rules
 from postlode.functions import text as tx
 from postlode.operators import metrics as m
+from postlode.operators.quantiles import quantiles
 from postlode.plans.market import SKILLS, WEEK, fact
 from postlode.registry import query
 from postlode.session import ensure_checkpoint_dir
@@ -174,5 +175,7 @@ def text_report(spark, d):
 def slide_pay(spark, d):
     """The eight categories of highest median pay; those with too few figures have none and come last."""
     x = (F.coalesce("salary_annual_min", "salary_annual_max") + F.coalesce("salary_annual_max", "salary_annual_min")) / 2
-    g = table(spark, d, "job_analytics").groupBy(F.coalesce("role_category", F.lit("Other")).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(x) >= 5, F.median(x)).alias("median"))
+    f = table(spark, d, "job_analytics").withColumn("category", F.coalesce("role_category", F.lit("Other")))
+    median = quantiles(f, F.col("category"), x, (0.5,)).where("n >= 5").select(F.col("key").alias("category"), F.col("p")[0].alias("median"))
+    g = f.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(median, "category", "left")
     return g.orderBy(F.desc_nulls_last("median"), "category").limit(8)

@@ -220,3 +220,21 @@ def test_funnel_nulls(spark):
     got = {r["run_id"]: r for r in m.funnel(df).collect()}
     assert set(got) == {"r1", "r3"} and got["r1"]["total_scraped_to_total_after_dedup"] == 50.0
     assert got["r1"]["total_after_dedup_to_total_after_prescreen"] is None and got["r3"]["total_scraped_to_total_after_dedup"] is None
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from postlode.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(3)
+    data = {"normal": rng.normal(0, 1000, 500), "ties": rng.integers(0, 4, 400).astype(float), "one": np.array([5.0]), "tail": rng.pareto(1.1, 300) * 1e4, "zeros": np.zeros(50), "negative": -rng.random(101), "close": 1e6 + rng.random(200)}
+    rows = [(g, float(x), 1) for g, v in data.items() for x in v] + [("normal", None, 1), ("none", None, 1), (None, 2.0, 1), (None, 4.0, 1), ("normal", float("nan"), 1)]
+    df = spark.createDataFrame(rows, "g string, x double, b int")
+    qs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r["key"]: r for r in quantiles(df, F.col("g"), F.col("x"), qs).collect()}
+    for g, v in [*data.items(), (None, np.array([2.0, 4.0]))]:
+        assert got[g]["n"] == len(v) and got[g]["p"] == pytest.approx(list(np.quantile(v, qs)), rel=1e-12, abs=1e-9)
+    assert "none" not in got and quantiles(df.limit(0), None, F.col("x"), qs).collect() == []
+    every = np.concatenate([*data.values(), [2.0, 4.0]])
+    assert quantiles(df, None, F.col("x"), (0.5,)).first()["p"][0] == pytest.approx(np.median(every))
