@@ -111,6 +111,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting with a usable description, the class of its text, and how many other classes agree with it."""
+    members, links = nd.near_duplicates(table(spark, sf_dir, "raw_job"), "job_id", "description", k=3, num=1, den=2, least_words=25)
+    links = cut(links)
+    degree = links.select(F.col("fa").alias("fp")).union(links.select("fb")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(degree, "fp", "left").select(F.col("id").alias("job_id"), F.lower(F.hex("fp")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p7_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.endings(table(spark, sf_dir, "raw_job"), "job_id", "description", "source")
 
@@ -185,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p7_sources": p7_sources,
     "p7_lengths": p7_lengths,
