@@ -71,7 +71,10 @@ def url_parts(spark, d):
     return table(spark, d, "raw_job").where("url is not null").select("job_id", F.try_parse_url(F.col("url"), F.lit("HOST")).alias("host")).distinct()
 
 
-@query("ref_f22_title_of_slug")
+@query(
+    "ref_f22_title_of_slug",
+    "SELECT DISTINCT job_id, array_to_string(list_transform(string_split(regexp_replace(regexp_extract(url, '//[^/]+/([a-z0-9-]+)', 1), '[-_]+', ' ', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS name FROM raw_job",
+)
 def title_of_slug(spark, d):
     from postlode.functions.text import title_of_slug as titled
 
