@@ -74,15 +74,31 @@ def cosine_topk(spark, d):
     return sim.nearest(v, "vec_id", "embedding", list(first[0]) if first else [0.0], 10).select("vec_id", F.round("similarity", 3).alias("similarity"))
 
 
+_PROFILE = ("docker", "kafka", "python", "sql")
+
+
 @query(
     "ref_f16_f17_ensemble_gate",
-    """WITH o AS (SELECT DISTINCT job_id, len(list_intersect(['docker', 'kafka', 'python', 'sql'], regexp_extract_all(lower(coalesce(description, '')), '\\b[a-z][a-z0-9+#.\\-]{1,}\\b'))) / 4 AS overlap, (length(title) % 10) / 10 AS rank, (length(title) % 7) / 7 AS emb FROM raw_job)
-    SELECT job_id FROM o WHERE 0.5 * emb + 0.3 * rank + 0.2 * overlap >= 0.30""",
+    """WITH t AS (SELECT job_id, regexp_extract_all(lower(regexp_replace(coalesce(max(description), ''), '[^ -~]', ' ', 'g')), '\\b[a-z][a-z0-9+#.\\-]{1,}\\b') AS w FROM raw_job GROUP BY job_id), c AS (SELECT count(*) AS corpus, avg(len(w)) AS avgdl FROM t),
+    d AS (SELECT w, ln(any_value(corpus) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM (SELECT job_id, unnest(list_distinct(w)) AS w FROM t), c GROUP BY w), a AS (SELECT avg(idf) AS mean FROM d),
+    q AS (SELECT d.w, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM (SELECT unnest(['docker', 'kafka', 'python', 'sql']) AS w) k JOIN d USING (w), a),
+    f AS (SELECT job_id, dl, w, count(*) AS tf FROM (SELECT job_id, len(w) AS dl, unnest(w) AS w FROM t) GROUP BY 1, 2, 3),
+    s AS (SELECT job_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM f JOIN q USING (w), c GROUP BY job_id), z AS (SELECT job_id, coalesce(s, 0) AS s FROM t LEFT JOIN s USING (job_id)),
+    v AS (SELECT job_id, list_transform(['docker', 'kafka', 'python', 'sql'], lambda x: len(list_filter(w, lambda y: y = x))) AS v FROM t),
+    p AS (SELECT job_id, len(list_filter(v, lambda x: x > 0)) / 4 AS overlap, CASE WHEN list_sum(v) > 0 THEN list_sum(v) / (2 * sqrt(list_sum(list_transform(v, lambda x: x * x)))) ELSE 0 END AS emb FROM v)
+    SELECT job_id, round(0.5 * emb + 0.3 * s / (SELECT CASE WHEN max(s) > 0 THEN max(s) ELSE 1 END FROM z) + 0.2 * overlap, 6) AS score FROM z JOIN p USING (job_id) WHERE round(0.5 * emb + 0.3 * s / (SELECT CASE WHEN max(s) > 0 THEN max(s) ELSE 1 END FROM z) + 0.2 * overlap, 9) >= 0.30""",
 )
 def ensemble_gate(spark, d):
-    # the embedding and rank parts are stand-ins of known value: models are injected by the caller
-    j = table(spark, d, "raw_job").select("job_id", sim.skill_share(["Python", "SQL", "Docker", "Kafka"], F.col("description")).alias("o"), F.length("title").alias("n")).distinct()
-    return j.where(sim.ensemble((F.col("n") % 7) / 7, (F.col("n") % 10) / 10, F.col("o")) >= sim.GATE).select("job_id")
+    """Postings that pass the gate: cosine of their vectors of profile words, BM25 rank and overlap with the profile. A
+    sentence model's vectors would take the place of the word counts."""
+    j = table(spark, d, "raw_job").groupBy("job_id").agg(F.regexp_replace(F.coalesce(F.max("description"), F.lit("")), "[^ -~]", " ").alias("text"))
+    rank = sim.bm25(j, "job_id", F.col("text"), list(_PROFILE)).withColumnRenamed("score", "rank")
+    times = lambda w: F.size(F.filter(tx.tokens(F.col("text")), lambda t: t == w))
+    counted = j.select("job_id", sim.skill_share(list(_PROFILE), F.col("text")).alias("overlap"), F.array(*[times(w) for w in _PROFILE]).alias("v"))
+    near = F.coalesce(sim.cosine(F.col("v"), F.array(*[F.lit(1.0)] * len(_PROFILE))), F.lit(0.0))
+    both = rank.join(counted.select("job_id", "overlap", F.when(F.array_max("v") > 0, near).otherwise(0.0).alias("near")), "job_id")
+    score = sim.ensemble(F.col("near"), F.col("rank"), F.col("overlap"))
+    return both.where(F.round(score, 9) >= sim.GATE).select("job_id", F.round(score, 6).alias("score"))
 
 
 @query("ref_j06_f07_register_match")
