@@ -93,3 +93,19 @@ def register_csv(spark, d):
     line = F.concat(F.lit('"Firm of '), F.col("city"), F.lit(' Ltd", '), F.col("city"), F.lit(",County,Worker (A rating),Skilled Worker"))
     lines = cities.select(F.lit(1).alias("line"), line.alias("value")).union(spark.createDataFrame([(0, "﻿Organisation Name,Town/City,County,Type & Rating,Route")], "line int, value string"))
     return ps.register_csv(lines).select("town")
+
+
+@query("ref_s12_register_copy", "SELECT status, epoch_us(max(completed_at)) AS us, epoch_us((SELECT max(started_at) FROM run_history)) - epoch_us(max(completed_at)) < 7 * 86400000000 AS fresh FROM run_history WHERE completed_at IS NOT NULL GROUP BY 1")
+def register_copy(spark, d):
+    """Landed files, here one a status of runs, with the age of the latest at the last start."""
+    r = table(spark, d, "run_history")
+    now = r.agg(F.max("started_at")).first()[0]
+    copies = ps.landed_copy(r, "status", "completed_at", F.lit(now).cast("timestamp"))
+    return copies.select("status", F.unix_micros("completed_at").alias("us"), "fresh")
+
+
+@query("ref_s14_inventory", "SELECT DISTINCT role_category AS category, role_title AS skill FROM role_titles")
+def inventory(spark, d):
+    """An inventory document of the roles by category, with blanks and repeats, read back."""
+    r = table(spark, d, "role_titles").groupBy("role_category").agg(F.concat(F.collect_list("role_title"), F.collect_list(F.concat(F.lit(" "), "role_title")), F.array(F.lit(" "))).alias("s"))
+    return ps.inventory(r.select(F.to_json(F.create_map("role_category", "s")).alias("payload")))

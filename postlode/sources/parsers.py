@@ -176,6 +176,27 @@ def recruiter_results(results: DataFrame, agency: str, most: int = 8000) -> Data
     return r.select(surrogate("rec", F.col("url")).alias("job_id"), result_title(F.col("t")).alias("title"), result_company(F.col("t"), agency).alias("company"), F.when(place == "", "London, UK").otherwise(place).alias("location"), F.substring(text, 1, most).alias("description"), "url")
 
 
+# Fixed value: address of the register's file on its publication page.
+REGISTER_FILE = r'https://assets\.publishing\.service\.gov\.uk/media/[^"]+\.csv'
+
+
+def register_link(html: Column) -> Column:
+    """Address of the register's present file, from its publication page."""
+    return F.nullif(F.regexp_extract(html, REGISTER_FILE, 0), F.lit(""))
+
+
+def landed_copy(files: DataFrame, name: str, at: str, now: Column, days: int = 7) -> DataFrame:
+    """(name, at, fresh): the latest landed copy of each file, and whether it is younger than `days` days."""
+    last = files.where(F.col(at).isNotNull()).groupBy(name).agg(F.max(at).alias(at))
+    return last.select(name, at, (F.unix_micros(now) - F.unix_micros(at) < days * 86_400_000_000).alias("fresh"))
+
+
+def inventory(documents: DataFrame, body: str = "payload") -> DataFrame:
+    """(category, skill) of skill inventories: JSON objects of category -> list of skills; blank and repeated ones left out."""
+    by = documents.select(F.explode(F.from_json(body, "map<string,array<string>>")).alias("category", "skills"))
+    return by.select("category", F.explode("skills").alias("skill")).select("category", strip("skill").alias("skill")).where("skill <> ''").distinct()
+
+
 def register_csv(lines: DataFrame, column: str = "value") -> DataFrame:
     """Register of organisations from CSV lines: BOM dropped, fields trimmed, first row of each normalised name."""
     from postlode.functions.text import company_key

@@ -129,6 +129,8 @@ def test_parsers(spark):
     bad = spark.createDataFrame([("{broken",), ('{"id":"1","title":"T","created":"2026-03-01T00:00:00Z"}',)], "payload string")
     assert [r["job_id"] for r in ps.adzuna(bad).collect()] == ["adzuna_1"]
     assert [r["payload"] for r in ps.quarantine(bad, "payload", ps.ADZUNA, "id").collect()] == ["{broken"]
+    page = spark.createDataFrame([('<a href="https://assets.publishing.service.gov.uk/media/65a/2026-01_Worker.csv">CSV</a>',), ("none",)], "h string")
+    assert [r[0] for r in page.select(ps.register_link(F.col("h"))).collect()] == ["https://assets.publishing.service.gov.uk/media/65a/2026-01_Worker.csv", None]
     lines = [("Firm | Engineer | Remote", "Engineer", "Firm"), ("Firm - Engineer", "Engineer", "Firm"), ("Hello there", "Hello there", "Hello there"), ("Anyone hiring?", "", ""), ("", "", "")]
     t, c = ps.first_line(F.col("x"))
     for text, title, company in lines:
