@@ -16,33 +16,67 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHTS = (0.5, 0.3, 0.2)
 GATE = 0.30
 NAME_RATIO = 92.0
+# Cells of the table of shingle counts (a power of two), most classes of sets that are broadcast, and what a bound gives way to rounding.
+ORDER_BITS = 17
+BROADCAST = 200_000
+SLACK = 1e-6
+
+
+def _hashed(df: DataFrame, keep: list[Column], shingles: Column) -> DataFrame:
+    """(keep, h, n, c, b): 64-bit hashes of the shingles, their number, and the class of equal sets: a hash of the set and
+    the parities of its shingles in 64 cells. The class of an empty set is NULL."""
+    # shingles are made once and read several times; written out before anything filters on them
+    made = df.select(*keep, F.array_distinct(shingles).alias("s")).select(*[F.col(c) for c in df.select(*keep).columns], F.expr("array_sort(array_distinct(transform(s, x -> xxhash64(x))))").alias("h"))
+    parity = F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(pmod(shiftrightunsigned(x, 20), 64) as int)))")
+    some = F.size("h") > 0
+    return cut(made.withColumns({"n": F.size("h"), "c": F.when(some, F.xxhash64("h")), "b": F.when(some, parity)}))
+
+
+def _class_links(made: DataFrame, threshold: float) -> DataFrame:
+    """(ca, ba, cb, bb, j) of the pairs of different classes that reach the threshold.
+
+    Prefix filter: only the rarest n - ceil(t n) + 1 shingles of each set are posted, in an order by counts in a table of
+    fixed size. Postings meet under the length, positional and parity filters (two sets differ in at least as many shingles
+    as their parities), and every pair that is left is verified once on its whole sets."""
+    spark = made.sparkSession
+    cells = 1 << ORDER_BITS
+    counts = made.select(F.explode("h").alias("w")).groupBy(F.pmod("w", F.lit(cells)).alias("cell")).agg(F.count(F.lit(1)).alias("f"))
+    every = spark.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast("bigint").alias("f")).union(counts).groupBy("cell").agg(F.sum("f").alias("f"))
+    # one byte a cell (four steps a doubling), as Spark copies the table to every row that it is read for
+    order = cut(every.agg(F.expr("transform(array_sort(collect_list(struct(cell, f))), x -> cast(floor(4 * log2(x.f + 1)) as tinyint))").alias("f")))
+    ranked = made.where("n > 0").crossJoin(F.broadcast(order)).select("n", "c", "b", F.expr(f"array_sort(transform(h, x -> struct(element_at(f, cast(pmod(x, {cells}) as int) + 1) as f, x as w)))").alias("r"))
+    # less a little, so that a product that is a whole number isn't rounded up
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - SLACK) + 1
+    posted = ranked.select("n", "c", "b", F.posexplode(F.slice("r", F.lit(1), prefix.cast("int"))).alias("p", "x")).select(F.col("x.w").alias("w"), "c", "b", "n", "p")
+    # dealt by shingle before copies are dropped, so that postings are shuffled once
+    posted = posted.repartition("w").dropDuplicates(["w", "c", "b"])
+    x, y = (posted.select("w", *[F.col(c).alias(c + side) for c in ("c", "b", "n", "p")]) for side in "ab")
+    total = F.col("na") + F.col("nb")
+    needed = total * (threshold / (1 + threshold)) - SLACK
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed
+    apart = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= total - 2 * needed
+    near = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - SLACK) & room & apart
+    first = (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("ba") < F.col("bb")))
+    met = cut(x.join(y, "w").where(first & near).select("ca", "ba", "cb", "bb").distinct())
+    wanted = met.select(F.col("ca").alias("c"), F.col("ba").alias("b")).union(met.select("cb", "bb")).distinct()
+    # few classes are sent to the sets, many are met by a shuffle
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    sets = made.join(wanted, ["c", "b"], "left_semi").select("c", "b", "h").dropDuplicates(["c", "b"])
+    both = met.join(sets.select(F.col("c").alias("ca"), F.col("b").alias("ba"), F.col("h").alias("sa")), ["ca", "ba"]).join(sets.select(F.col("c").alias("cb"), F.col("b").alias("bb"), F.col("h").alias("sb")), ["cb", "bb"])
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.withColumn("j", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("j") >= threshold).select("ca", "ba", "cb", "bb", "j")
 
 
 def shingle_pairs(df: DataFrame, key: str, shingles: Column, threshold: float = FUZZY) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of rows whose shingle sets reach the threshold; rows with equal sets included.
-
-    Prefix filter: only the rarest n - ceil(t n) + 1 shingles of each row are joined, with the length filter in the join
-    condition, and every pair is verified once. Equal sets are one class, so copies are joined as one."""
-    # shingles are made once and read several times below; written out before anything filters on them
-    made = cut(df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(shingles)).alias("s")))
-    rows = made.where("size(s) > 0").withColumn("c", F.sha2(F.array_join("s", "\x1f"), 256))
-    classes = rows.groupBy("c").agg(F.first("s").alias("s"))
-    exploded = classes.select("c", F.size("s").alias("n"), F.explode("s").alias("w"))
-    frequency = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = exploded.join(frequency, "w", "left").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "w")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df is not null").select("c", "n", "w")
-    x, y = prefix.select(F.col("c").alias("ca"), F.col("n").alias("na"), "w"), prefix.select(F.col("c").alias("cb"), F.col("n").alias("nb"), "w")
-    near = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    met = x.join(y, "w").where((F.col("ca") < F.col("cb")) & near).select("ca", "cb").distinct()
-    sets = classes.select("c", "s")
-    both = met.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.withColumn("j", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("j") >= threshold).select("ca", "cb", "j")
-    members = rows.select("k", "c")
-    across = links.join(members.select(F.col("c").alias("ca"), F.col("k").alias("p")), "ca").join(members.select(F.col("c").alias("cb"), F.col("k").alias("q")), "cb").select("p", "q", "j")
-    own = members.select("c", F.col("k").alias("p")).join(members.select("c", F.col("k").alias("q")), "c").where("p < q").select("p", "q", F.lit(1.0).alias("j"))
-    every = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("j").alias("jaccard"))
-    return every.union(own)
+    """(a, b, jaccard), a < b: pairs of keys whose shingle sets reach the threshold; keys with equal sets included.
+
+    Links are found between classes of equal sets, so copies are joined as one; repeated rows of a key count once."""
+    made = _hashed(df, [F.col(key).alias("k")], shingles)
+    members = made.where("c is not null").groupBy("k").agg(F.min(F.struct("c", "b")).alias("m")).select("k", "m.*")
+    p, q = members.select(F.col("k").alias("p"), F.col("c").alias("ca"), F.col("b").alias("ba")), members.select(F.col("k").alias("q"), F.col("c").alias("cb"), F.col("b").alias("bb"))
+    across = _class_links(made, threshold).join(p, ["ca", "ba"]).join(q, ["cb", "bb"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("j").alias("jaccard"))
+    own = p.join(q, (F.col("ca") == F.col("cb")) & (F.col("ba") == F.col("bb")) & (F.col("p") < F.col("q"))).select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("jaccard"))
+    return across.union(own)
 
 
 def keep_new(df: DataFrame, key: str, order: str, hash_: str, shingles: Column, threshold: float = FUZZY) -> DataFrame:

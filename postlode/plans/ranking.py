@@ -24,7 +24,7 @@ def _shingled(df):
 
 
 def _rows(spark, d):
-    return _shingled(table(spark, d, "raw_job").select("job_id", "company", "description").dropDuplicates(["job_id"]))
+    return _shingled(table(spark, d, "raw_job").select("job_id", "company", "description"))
 
 
 @query("ref_j05_shingle_pairs", _SETS + " SELECT a, b, round(j, 6) AS jaccard FROM q")

@@ -103,6 +103,15 @@ def test_shingle_pairs_against_brute_force(spark):
     assert got == want
 
 
+def test_shingles_travel_as_hashes(spark):
+    """No shuffle or checkpoint of the pairs holds the text of a shingle; sets of a whole number of least shared ones meet."""
+    many = [f"shingle number {i}" for i in range(23)]
+    df = spark.createDataFrame([(1, many[:20]), (2, many[:17] + ["x"] * 3), (3, many[:17]), (3, many[:17]), (4, [])], "i int, s array<string>")
+    made = sim._hashed(df, [F.col("i").alias("k")], F.col("s"))
+    assert dict(made.dtypes) == {"k": "int", "h": "array<bigint>", "n": "int", "c": "bigint", "b": "bigint"}
+    assert {tuple(r) for r in sim.shingle_pairs(df, "i", F.col("s")).collect()} == {(1, 3, 0.85), (2, 3, 17 / 18)}
+
+
 def test_bm25_against_plain(spark):
     docs = [(1, "python data python"), (2, "data engineer"), (3, "painter"), (4, None)]
     terms = ["python", "data", "data"]
