@@ -80,13 +80,20 @@ def shingle_pairs(df: DataFrame, key: str, shingles: Column, threshold: float =
 
 
 def keep_new(df: DataFrame, key: str, order: str, hash_: str, shingles: Column, threshold: float = FUZZY) -> DataFrame:
-    """Keys to keep: the first of its hash with no earlier first occurrence of a similar text."""
-    first = df.groupBy(hash_).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
-    pairs = shingle_pairs(first, key, shingles, threshold)
-    place = first.select(F.col(key).alias("k"), F.col(order).alias("o"))
-    dated = pairs.join(place.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(place.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
-    later = dated.select(F.when(F.col("oa") > F.col("ob"), F.col("a")).otherwise(F.col("b")).alias(key)).distinct()
-    return first.join(later, key, "left_anti").select(key)
+    """Keys to keep: the first of its hash with no earlier first occurrence of a similar text. A key stands where its first
+    row does, ties by key.
+
+    What is compared are classes: a key goes if its own class or a linked one has an earlier member, so no pairs of members
+    are made."""
+    made = _hashed(df, [F.col(key).alias("k"), F.col(order).alias("o"), F.col(hash_).alias("h0")], shingles)
+    keys = made.groupBy("k").agg(F.min("o").alias("o"), F.min("h0").alias("h0"), F.min(F.when(F.col("c").isNotNull(), F.struct("c", "b"))).alias("m"))
+    first = cut(keys.withColumn("o", F.struct("o", "k")).groupBy("h0").agg(F.min_by(F.struct("o", "m"), "o").alias("r")).select("r.o", "r.m.*"))
+    least = first.where("c is not null").groupBy("c", "b").agg(F.min("o").alias("o"))
+    links = _class_links(made, threshold)
+    both = links.select("ca", "ba", "cb", "bb").union(links.select("cb", "bb", "ca", "ba"))
+    near = both.join(least.select(F.col("c").alias("cb"), F.col("b").alias("bb"), "o"), ["cb", "bb"]).select(F.col("ca").alias("c"), F.col("ba").alias("b"), "o")
+    earliest = least.union(near).groupBy("c", "b").agg(F.min("o").alias("earliest"))
+    return first.join(earliest, ["c", "b"], "left").where("earliest is null or earliest >= o").select(F.col("o.k").alias(key))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, terms: list[str]) -> DataFrame:

@@ -42,8 +42,7 @@ _H = "substr(sha256(" + " || '|' || ".join(f"regexp_replace(lower(coalesce({c},
 )
 def keep_new(spark, d):
     h = tx.dedup_hash(F.col("title"), F.col("company"), F.col("location"))
-    one = table(spark, d, "raw_job").groupBy("job_id").agg(F.struct(F.min("scraped_at").alias("a"), F.first("job_id").alias("b")).alias("o"), F.first(h).alias("h"), F.first("company").alias("company"), F.first("description").alias("description"))
-    return sim.keep_new(_shingled(one), "job_id", "o", "h", F.col("s"))
+    return sim.keep_new(_shingled(table(spark, d, "raw_job").select("job_id", "scraped_at", h.alias("h"), "company", "description")), "job_id", "scraped_at", "h", F.col("s"))
 
 
 _TERMS = ("python", "data", "engineer", "data", "kafka")

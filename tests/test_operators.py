@@ -112,6 +112,18 @@ def test_shingles_travel_as_hashes(spark):
     assert {tuple(r) for r in sim.shingle_pairs(df, "i", F.col("s")).collect()} == {(1, 3, 0.85), (2, 3, 17 / 18)}
 
 
+def test_keep_new_compares_classes(spark):
+    """Copies of one text are compared with the earliest alone; the plan makes no pairs of keys of a class."""
+    w = [f"w{i}" for i in range(40)]
+    near = w[:38] + ["x", "y"]
+    rows = [("b", 2, "h1", w), ("b", 5, "h1", w), ("a", 2, "h2", w), ("c", 1, "h3", near), ("d", 9, "h4", []), ("e", 3, "h4", ["z"]), ("f", 4, "h5", []), ("g", 0, "h1", ["q"])]
+    rows += [(f"m{i}", 10 + i, f"k{i}", ["one", "text"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i string, at int, h string, s array<string>")
+    kept = sim.keep_new(df, "i", "at", "h", F.col("s"))
+    assert sorted(r[0] for r in kept.collect()) == ["c", "e", "f", "g", "m0"]
+    assert "p#" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bm25_against_plain(spark):
     docs = [(1, "python data python"), (2, "data engineer"), (3, "painter"), (4, None)]
     terms = ["python", "data", "data"]
