@@ -80,3 +80,16 @@ def test_members_and_links(spark):
     for r in links.collect():
         assert bytes(r["fa"]) < bytes(r["fb"]) or bytes(r["fa"]) != bytes(r["fb"])
         assert 2 * r["shared"] >= r["total"]
+
+
+def test_recurring_sentences_share_a_bucket(spark):
+    """Of texts made of recurring sentences, headers go to about as many buckets as they have sentences, not shingles."""
+    rng = random.Random(8)
+    pool = [" ".join(f"s{k}w{i}" for i in range(14)) for k in range(10)]
+    rows = [(f"j{i:03}", " ".join([*rng.sample(pool, 6), f"end{i}"])) for i in range(200)]
+    df = frame(spark, rows).repartition(2)
+    order = nd.share(spark, nd.rarity(df, "text", 3, 5))
+    packed = nd.postings(df, "id", "text", order, list(range(64)), 3, 5, nd.Threshold(1, 2)).select("blob").collect()
+    found = [x for x in (nd.unpack(bytes(r["blob"])) for r in packed) if x.column("what")[0].as_py() == 0]
+    assert sum(len(nd._take(x, "n", nd.np.int32)) for x in found) < 15 * len(rows)
+    assert {tuple(r) for r in nd.agreeing_pairs(df, "id", "text", 3, 1, 2, 5).collect()} == brute(rows, 3, 1, 2, 5)
