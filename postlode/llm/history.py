@@ -21,10 +21,14 @@ A batch goes through
 A hash class or text class that a third of all rows share is one class: rounds use the least arrival of each class,
 never its pairs.
 
+A bucket repeats the headers of the texts it names, so that many buckets copy a header nearly as often as a text has
+postings. Steps 1 and 2 therefore go in rounds over parts of the buckets: a round shuffles about MOST_COPIES copies of a
+header, and its files are removed before the next. The store has buckets enough that one names about MOST_HEADERS texts.
+
 Scale. What is broadcast is the order, of a fixed size, and Bloom filters of the batch's fingerprints and of the texts to
 verify, sized by their count up to 2^MOST_FILTER_BITS bits; a fuller filter lets more through and loses nothing. History's
-texts are fingerprinted once, when they enter. A batch reads the store's postings without shuffling those it does not
-hit, and scans history's texts once, keeping only those a surviving pair names.
+texts are fingerprinted once, when they enter. A round reads the store's postings without shuffling those that the batch does
+not hit, and scans history's texts once, keeping only those a surviving pair names.
 
 Defined cases: a NULL, blank or short text agrees with none and only its hash counts; missing parts of the hash are
 empty; ties of similarity go to the posting accepted first; an empty batch or history gives no rows or only new ones;
@@ -36,23 +40,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlode.llm.blobs import Bloom, bloom_of, column, exchange, pack, rows, share, sketch_sum, spread_keys, unpack
-from postlode.llm.near_duplicates import BITS, ORDER_BITS, PAIR, TOKEN_BITS, Threshold, _bin, _code, _first_of_each, _fold, _large_bitmaps, _list, _one, _refine, _take, fetch_sets, filter_bits, levels, rare_first, verify
+from postlode.llm.near_duplicates import BITS, ORDER_BITS, PAIR, SIGNS, TOKEN_BITS, Threshold, _bin, _code, _first_of_each, _fold, _large_bitmaps, _list, _one, _refine, _take, fetch_sets, filter_bits, levels, rare_first, verify
 from postlode.llm.tokens import mix, winnowed_sets
-from postlode.session import cut, ensure_checkpoint_dir, shuffle_width
+from postlode.session import cut, ensure_checkpoint_dir, release, shuffle_width
 
 U = np.uint64
 WINDOW = 1
 SHORT_LIST = 48
 BLOCK = 256
-FLUSH = 60_000
+FLUSH = 30_000
+# Texts that a bucket names, and copies of a text's header that a round shuffles.
+MOST_HEADERS = 350_000
+MOST_COPIES = 6
 AGREE = Threshold(4, 5)
 # what: 0 postings, 1 memberships, 2 a Bloom filter of the bucket's fingerprints; bucket -1 where it is not told apart.
 ROWS = "bucket int, what int, n bigint, blob binary"
@@ -96,15 +105,15 @@ def _tokens(x: pa.RecordBatch) -> np.ndarray:
     return np.cumsum((_take(x, "hi", np.uint32).astype(U) << U(32)) | _take(x, "lo", np.uint32).astype(U), dtype=U)
 
 
-def _pack_postings(side: int, head: tuple[np.ndarray, ...], large: list[bytes], tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+def _pack_postings(side: int, head: tuple[np.ndarray, ...], large: pa.Array, tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
     """Postings ascending by fingerprint, with the headers of the texts they name."""
     used, local = np.unique(doc, return_inverse=True)
     fp, n, nf, key, bits = (h[used] for h in head)
     return pack(side=pa.array([side]), fp=_one(fp), n=_one(n.astype(np.int32)), nf=_one(nf.astype(np.int32)), key=_one(key), bits=_one(bits),
-                large=pa.array([[large[d] for d in used]], pa.list_(pa.binary())), **_steps(tok), doc=_one(local.astype(np.uint32)), pos=_one(pos.astype(np.uint32)))
+                large=pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), large.take(pa.array(used))), **_steps(tok), doc=_one(local.astype(np.uint32)), pos=_one(pos.astype(np.uint32)))
 
 
-def _unpack_postings(x: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_postings(x: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     head = (_take(x, "fp", U, 2), _take(x, "n", np.int32).astype(np.int64), _take(x, "nf", np.int32).astype(np.int64), _take(x, "key", U), _take(x, "bits", np.uint8, BITS // 8))
     return head, x.column("large")[0].values, _tokens(x), _take(x, "doc", np.uint32).astype(np.int64), _take(x, "pos", np.uint32).astype(np.int64)
 
@@ -128,7 +137,7 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int,
             whole = tuple(np.concatenate(x) for x in zip(*head, strict=True))
             tok, doc, pos = (np.concatenate(x) for x in zip(*post, strict=True))
             by = np.argsort(tok)
-            yield _packed(-1, 0, len(tok), _pack_postings(side, whole, large, tok[by], doc[by], pos[by]))
+            yield _packed(-1, 0, len(tok), _pack_postings(side, whole, pa.array(large, pa.binary()), tok[by], doc[by], pos[by]))
             base = 0
             for x in (head, large, post):
                 x.clear()
@@ -158,16 +167,77 @@ def _postings(df: DataFrame, ids: str, text: str, order: np.ndarray, side: int,
     return df.where(F.col(ids).isNotNull()).select(ids, F.xxhash64(ids), text).mapInArrow(run, ROWS)
 
 
+@dataclass
+class Round:
+    """Buckets that are compared at one time, `part` of those of the `stored` keys, and the keys that spread them over
+    the round's partitions."""
+
+    stored: list[int]
+    part: range
+    keys: list[int]
+
+    @property
+    def n_buckets(self) -> int:
+        return len(self.stored)
+
+    def own(self, filters: DataFrame) -> DataFrame:
+        """The filters of the round's buckets, under its keys."""
+        if self.keys == self.stored:
+            return filters
+        names = self.stored[self.part.start : self.part.stop]
+        to = F.create_map(*[F.lit(x) for pair in zip(names, self.keys, strict=False) for x in pair])
+        return filters.where(F.col("bucket").isin(names)).withColumn("bucket", F.element_at(to, F.col("bucket")))
+
+
+def _copies(n_buckets: int, each: float) -> float:
+    """Expected number of buckets that a text of so many postings goes to, a copy of its header to each."""
+    return n_buckets * (1 - (1 - 1 / n_buckets) ** each)
+
+
+def _n_buckets(least: int, texts: int, posted: int) -> int:
+    """Buckets for a store: at least so many, and more until one names about MOST_HEADERS texts."""
+    n = least
+    while texts * _copies(n, posted / max(1, texts)) / n > MOST_HEADERS:
+        n += max(1, n // 4)
+    return n
+
+
+def _rounds(spark: SparkSession, stored: list[int], texts: int, posted: int) -> list[Round]:
+    """All buckets of the store, in rounds that copy a text's header about MOST_COPIES times each."""
+    n = len(stored)
+    times = min(n, max(1, round(_copies(n, posted / max(1, texts)) / MOST_COPIES)))
+    if times == 1:
+        return [Round(stored, range(n), stored)]
+    width = ceil(n / times)
+    keys = spread_keys(spark, width)
+    return [Round(stored, range(a, min(a + width, n)), keys) for a in range(0, n, width)]
+
+
+def _counts(rows_: DataFrame) -> tuple[int, int]:
+    """(texts, postings) of packed rows."""
+    n = {r["what"]: r["n"] for r in rows_.groupBy("what").agg(F.sum("n").alias("n")).collect()}
+    return n.get(1, 0), n.get(0, 0)
+
+
 def _bucket_of(tok: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((mix(tok) >> U(33)) % U(n_buckets)).astype(np.int64)
 
 
-def _split(side: int, keys: list[int], head: tuple[np.ndarray, ...], large: list[bytes], tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row of postings for every bucket that has some."""
-    bucket = _bucket_of(tok, len(keys))
-    for b in np.unique(bucket):
-        at = np.flatnonzero(bucket == b)
-        yield _packed(keys[b], 0, len(at), _pack_postings(side, head, large, tok[at], doc[at], pos[at]))
+def _places(tok: np.ndarray, n_buckets: int, part: range) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in the part, indices of its tokens in their order) of every bucket of the part that has some."""
+    bucket = _bucket_of(tok, n_buckets)
+    at = np.flatnonzero((bucket >= part.start) & (bucket < part.stop))
+    place = (bucket[at] - part.start).astype(np.uint16 if len(part) < 2**16 else np.int64)
+    by = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[by], np.arange(len(part) + 1))
+    for i in np.flatnonzero(np.diff(ends)):
+        yield int(i), at[by[ends[i] : ends[i + 1]]]
+
+
+def _split(side: int, which: Round, head: tuple[np.ndarray, ...], large: pa.Array, tok: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row of postings for every bucket of the round that has some."""
+    for i, at in _places(tok, which.n_buckets, which.part):
+        yield _packed(which.keys[i], 0, len(at), _pack_postings(side, head, large, tok[at], doc[at], pos[at]))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
@@ -191,10 +261,8 @@ def _filters(written: DataFrame, keys: list[int]) -> DataFrame:
         for b in batches:
             for blob in b.column(3).to_pylist():
                 tok = np.unique(_tokens(unpack(blob)))
-                bucket = _bucket_of(tok, len(keys))
-                for i in np.unique(bucket):
-                    mine = tok[bucket == i]
-                    yield _packed(keys[i], 3, len(mine), pack(**_steps(mine)))
+                for i, at in _places(tok, len(keys), range(len(keys))):
+                    yield _packed(keys[i], 3, len(at), pack(**_steps(tok[at])))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, found in _by_bucket(batches):
@@ -206,14 +274,16 @@ def _filters(written: DataFrame, keys: list[int]) -> DataFrame:
     return exchange(written.where("what = 0").mapInArrow(tokens, ROWS), len(keys)).sortWithinPartitions("bucket").mapInArrow(build, ROWS)
 
 
-def _screened(batch_rows: DataFrame, filters: DataFrame, keys: list[int]) -> DataFrame:
-    """The batch's postings without fingerprints that the bucket's filters lack and that the batch has once."""
+def _screened(batch_rows: DataFrame, filters: DataFrame, keys: list[int], which: Round | None = None) -> DataFrame:
+    """The batch's postings, of a round or of all buckets, without fingerprints that the bucket's filters lack and that
+    the batch has once. keys: those of the store's buckets."""
+    which = which or Round(keys, range(len(keys)), keys)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(3).to_pylist():
                 head, large, tok, doc, pos = _unpack_postings(unpack(blob))
-                yield from _split(1, keys, head, large.to_pylist(), tok, doc, pos)
+                yield from _split(1, which, head, large, tok, doc, pos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, found in _by_bucket(batches):
@@ -229,14 +299,14 @@ def _screened(batch_rows: DataFrame, filters: DataFrame, keys: list[int]) -> Dat
             for head, large, t, doc, pos in mine:
                 at = np.flatnonzero(np.isin(t, live))
                 if len(at):
-                    yield _packed(bucket, 0, len(at), _pack_postings(1, head, large.to_pylist(), t[at], doc[at], pos[at]))
+                    yield _packed(bucket, 0, len(at), _pack_postings(1, head, large, t[at], doc[at], pos[at]))
 
-    both = batch_rows.where("what = 0").mapInArrow(split, ROWS).unionByName(filters)
-    return exchange(both, len(keys)).sortWithinPartitions("bucket", "what").mapInArrow(run, ROWS)
+    both = batch_rows.where("what = 0").mapInArrow(split, ROWS).unionByName(which.own(filters))
+    return exchange(both, len(which.keys)).sortWithinPartitions("bucket", "what").mapInArrow(run, ROWS)
 
 
-def _hit(written: DataFrame, wanted: DataFrame, keys: list[int]) -> DataFrame:
-    """The store's postings of fingerprints that a screened batch has, up to a Bloom filter's false hits."""
+def _hit(written: DataFrame, wanted: DataFrame, which: Round) -> DataFrame:
+    """The store's postings of the round's fingerprints that a screened batch has, up to a Bloom filter's false hits."""
     count = wanted.agg(F.sum("n")).first()[0] or 0
     bits = filter_bits(count)
 
@@ -254,8 +324,10 @@ def _hit(written: DataFrame, wanted: DataFrame, keys: list[int]) -> DataFrame:
         for b in batches:
             for blob in b.column(3).to_pylist():
                 head, large, tok, doc, pos = _unpack_postings(unpack(blob))
-                at = np.flatnonzero(bloom.has(tok))
-                yield from _split(0, keys, head, large.to_pylist(), tok[at], doc[at], pos[at])
+                bucket = _bucket_of(tok, which.n_buckets)
+                at = np.flatnonzero((bucket >= which.part.start) & (bucket < which.part.stop))
+                at = at[bloom.has(tok[at])]
+                yield from _split(0, which, head, large, tok[at], doc[at], pos[at])
 
     return written.where("what = 0").mapInArrow(run, ROWS)
 
@@ -370,10 +442,8 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bits
         if not len(mine):
             continue
         m = n[d]
-        signs = np.unpackbits(coarse[d], axis=1).astype(np.float32) * 2 - 1
+        signs = np.take(SIGNS, coarse[d], axis=0).reshape(len(d), width)
         w = (2 * (1 - 2 * share_) * m).astype(np.float32)
-        one = np.ones((len(d), 1), np.float32)
-        left, right = np.concatenate([signs, w[:, None], one], axis=1)[mine], np.concatenate([signs, one, w[:, None]], axis=1)
         for x in range(0, len(mine), BLOCK):
             rows_ = mine[x : x + BLOCK]
             # only partners of sizes in reach; sizes are ascending
@@ -387,7 +457,9 @@ def _meet(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, bits
                     c = c[p[c] <= m[c] - t.needed(m[c], np.maximum(m[rows_[0]], -(-m[c] * t.num // t.den)))]
                 if not len(r) or not len(c):
                     continue
-                hit = np.flatnonzero((left[x + r] @ right[c].T >= width - 0.01).ravel())
+                product = signs[rows_[r]] @ (signs[y:ye] if len(c) == ye - y else signs[c]).T
+                product += w[rows_[r]][:, None]
+                hit = np.flatnonzero((product >= width - 0.01 - w[c]).ravel())
                 if not len(hit):
                     continue
                 i, j = rows_[r[hit // len(c)]], c[hit % len(c)]
@@ -421,11 +493,14 @@ def _fresh_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stores/{uuid.uuid4().hex}"
 
 
-def _add_part(spark: SparkSession, path: str, part: int, postings: DataFrame, keys: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(rows, filters) of the store with a part more; a part written again replaces its former self."""
+def _add_part(spark: SparkSession, path: str, part: int, postings: DataFrame, keys: list[int] | None) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(rows, filters, keys) of the store with a part more; a part written again replaces its former self. No keys: a new
+    store, whose number of buckets follows from its postings."""
     postings.write.mode("overwrite").parquet(f"{path}/rows/part={part}")
+    if keys is None:
+        keys = spread_keys(spark, _n_buckets(max(2, shuffle_width(spark) // 2), *_counts(spark.read.schema(ROWS).parquet(f"{path}/rows/part={part}"))))
     _filters(spark.read.schema(ROWS).parquet(f"{path}/rows/part={part}"), keys).write.mode("overwrite").parquet(f"{path}/filters/part={part}")
-    return _tables(spark, path)
+    return *_tables(spark, path), keys
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -439,8 +514,7 @@ def build(texts: DataFrame, ids: str, text: str, seen: DataFrame, k: int = 5, le
     spark = texts.sparkSession
     path = path or _fresh_path(spark)
     order = _order(texts, text, k, least_words, window)
-    keys = spread_keys(spark, max(2, shuffle_width(spark) // 2))
-    found, filters = _add_part(spark, path, 0, _postings(texts, ids, text, order, 0, k, least_words, t, window), keys)
+    found, filters, keys = _add_part(spark, path, 0, _postings(texts, ids, text, order, 0, k, least_words, t, window), None)
     meta = [(bytearray(pack(v=order)), keys, k, least_words, t.num, t.den, window)]
     spark.createDataFrame(meta, "order_ binary, keys array<int>, k int, least_words int, num int, den int, window int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return Store(path, found, filters, order, seen, keys, k, least_words, t, window, 1)
@@ -461,14 +535,27 @@ def load(spark: SparkSession, path: str) -> Store:
     return Store(path, found, filters, column(unpack(bytes(m["order_"])), "v"), versions.where(F.col("version") == last).drop("version"), m["keys"], m["k"], m["least_words"], Threshold(m["num"], m["den"]), m["window"], last)
 
 
+def _all_candidates(store: Store, mine: DataFrame, t: Threshold) -> DataFrame:
+    """Candidate pairs of a batch's packed rows, round by round: what a round shuffles is given back before the next."""
+    spark = mine.sparkSession
+    found: list[DataFrame] = []
+    todo = _rounds(spark, store.keys, *_counts(store.rows.unionByName(mine)))
+    for which in todo:
+        screened = _screened(mine, store.filters, store.keys, which).persist(StorageLevel.DISK_ONLY)
+        found.append(cut(_candidates(exchange(_hit(store.rows, screened, which).unionByName(screened), len(which.keys)), t, store.window)))
+        screened.unpersist()
+        del screened
+        if len(todo) > 1:
+            release(spark)
+    return reduce(DataFrame.unionByName, found)
+
+
 def links(store: Store, history: DataFrame, batch: DataFrame, ids: str, text: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (kind, fp, id) with kind 1 for history and 2 for the batch, of all classes that the batch
     has or is linked to; links (fa, fb, shared, total) between different classes of which one has a batch member.
     history: the texts behind the store."""
     mine = cut(_postings(batch, ids, text, store.order, 1, store.k, store.least_words, t, store.window))
-    screened = cut(_screened(mine, store.filters, store.keys))
-    packed = exchange(_hit(store.rows, screened, store.keys).unionByName(screened), len(store.keys))
-    both = cut(_candidates(packed, t, store.window))
+    both = _all_candidates(store, mine, t)
     pairs = cut(both.groupBy("fa", "fb").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb")))
     wanted = pairs.select("ka").union(pairs.select("kb"))
     texts = history.select(ids, text).unionByName(batch.select(ids, text))
@@ -528,7 +615,7 @@ def update(store: Store, batch: DataFrame, ids: str, text: str, resolved: DataFr
     new = resolved.where("repeats is null")
     texts = batch.join(new.select(F.col("id").alias(ids)), ids, "left_semi")
     spark = batch.sparkSession
-    found, filters = _add_part(spark, store.path, store.parts, _postings(texts, ids, text, store.order, 0, store.k, store.least_words, store.t, store.window), store.keys)
+    found, filters, _ = _add_part(spark, store.path, store.parts, _postings(texts, ids, text, store.order, 0, store.k, store.least_words, store.t, store.window), store.keys)
     at = resolved.join(when, "id")
     again = at.where("repeats is not null").groupBy(F.col("repeats").alias("dedup_hash")).agg(F.count(F.lit(1)).alias("more"), F.max("at").alias("last"))
     fresh = at.where("repeats is null").select("id", F.col("hash").alias("dedup_hash"), F.col("at").alias("first_seen_at"), F.lit(1).alias("times_seen"), F.col("at").alias("last_seen_at"))

@@ -158,6 +158,34 @@ def test_fingerprints_that_no_filter_has_go_no_further(spark, tmp_path):
     assert mine.where("what = 0").agg({"n": "sum"}).first()[0] > left.agg({"n": "sum"}).first()[0] > 0
 
 
+def test_many_buckets_go_in_rounds(spark, monkeypatch):
+    """With many buckets no shuffle copies the texts' headers more than a few times, and the links are the same."""
+    rows = texts(41, 200)
+    old = [(f"old{i}", t) for i, (_, t) in enumerate(rows[:100])]
+    new = [(f"n{k:03}", f"title {k}", "firm", None, t) for k, (_, t) in enumerate(rows[100:])]
+    copies, compare = [], hs._candidates
+
+    def watched(packed, *rest):
+        copies.append(sum(len(hs._unpack_postings(hs.unpack(bytes(r["blob"])))[0][1]) for r in packed.select("blob").collect()))
+        return compare(packed, *rest)
+
+    monkeypatch.setattr(hs, "_candidates", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        check(spark, old, new)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(copies) > 8 * len(rows) >= max(copies)
+
+
+def test_buckets_follow_the_postings():
+    """A bucket names no more texts than its bound, however few partitions a shuffle has."""
+    for texts_, posted in ((0, 0), (1, 1), (200_000, 11_000_000), (15_000_000, 860_000_000)):
+        n = hs._n_buckets(6, texts_, posted)
+        assert n >= 6 and texts_ * hs._copies(n, posted / max(1, texts_)) / n <= hs.MOST_HEADERS
+    assert hs._n_buckets(6, 200_000, 11_000_000) == 6
+
+
 def test_empty(spark):
     raw, seen, inc = tables(spark, [("old", "x " * 30)], [("n", "t", "c", "l", "x " * 30)])
     assert hs.incoming_against_seen(raw, seen, inc.limit(0), 3, T, 25)[2].collect() == []
